@@ -4,20 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe_trie, quality_rules, ring, secret_scan, token_counts, warc
 from ._shared import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.roundtrip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ring.assign(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_trie.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decode=True)
+    digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n_tokens", digest(F.col("ids")).alias("ids_sha256"), digest(F.col("decoded").cast("binary")).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), eod=49407)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_quality_rules": op2_quality_rules,
+        "op4_secret_scans": op4_secret_scans,
+        "op5_sharding": op5_sharding,
+        "op7_bpe": op7_bpe,
+        "op10_token_counts": op10_token_counts,
     }
 
 
