@@ -1 +1,8 @@
-"""Part of the rookery package."""
+"""Chess-game analytics and corpus curation on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
