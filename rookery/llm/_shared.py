@@ -102,9 +102,9 @@ def window_hashes(hashes: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.
     if len(short):
         whole = np.empty(len(short), np.uint64)
         for j, d in enumerate(short):
-            h = np.uint64(n[d])
-            for x in hashes[ends[d] : ends[d + 1]]:
-                h = mix(np.array([h * np.uint64(31) + x], np.uint64))[0]
-            whole[j] = h
+            h = np.array([n[d]], np.uint64)
+            for k in range(ends[d], ends[d + 1]):
+                h = mix(h * np.uint64(31) + hashes[k : k + 1])
+            whole[j] = h[0]
         windows, owners = np.concatenate((windows, whole)), np.concatenate((owners, short))
     return windows, owners

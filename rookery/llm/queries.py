@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, html_cut, quality_rules, ring, secret_scan, token_counts, warc
+from . import bpe_trie, html_cut, probminhash, quality_rules, ring, secret_scan, token_counts, warc
 from ._shared import table
 
 
@@ -41,6 +41,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), eod=49407)
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op7_bpe": op7_bpe,
         "op8_html_extraction": op8_html_extraction,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_token_counts": op10_token_counts,
     }
 
