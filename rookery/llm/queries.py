@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, html_cut, probminhash, quality_rules, ring, secret_scan, token_counts, warc
+from . import bpe_trie, decontam, html_cut, probminhash, quality_rules, ring, secret_scan, token_counts, warc
 from ._shared import table
 
 
@@ -31,6 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("node")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_trie.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decode=True)
     digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op4_secret_scans": op4_secret_scans,
         "op5_sharding": op5_sharding,
+        "op6_decontamination": op6_decontamination,
         "op7_bpe": op7_bpe,
         "op8_html_extraction": op8_html_extraction,
         "op9_near_duplicates": op9_near_duplicates,
