@@ -64,7 +64,9 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.transform("_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - x, F.lit(WINDOW))))
     covered = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_at")
+    # generated, so that a filter on the statistics isn't rewritten to compute them for each of its terms
+    made = F.struct(*(F.col(c) for c in STATISTICS[:-1]), covered.cast("long").alias(STATISTICS[-1]))
+    return out.select(*(c for c in docs.columns if c not in STATISTICS), F.inline(F.array(made)))
 
 
 def base_failed() -> Column:
