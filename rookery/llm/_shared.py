@@ -62,13 +62,19 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word; every distinct word is hashed once."""
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def word_hashes(words: pa.Array, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each word, with A to Z in lower case if asked for; every distinct word is hashed once."""
     if len(words) == 0:
         return np.empty(0, np.uint64)
     coded = words.dictionary_encode()
     hashed = xxhash.xxh3_64_intdigest
-    known = np.fromiter((hashed(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    own = coded.dictionary.to_pylist()
+    if lower:
+        own = [w.lower() if w.isascii() else w.translate(LOWER) for w in own]
+    known = np.fromiter(map(hashed, own), np.uint64, len(own))
     return known[coded.indices.to_numpy()]
 
 

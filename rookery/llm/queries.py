@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, decontam, html_cut, probminhash, quality_rules, ring, secret_scan, token_counts, warc
+from . import bpe_trie, decontam, html_cut, katz, probminhash, quality_rules, ring, secret_scan, token_counts, warc
 from ._shared import table
 
 
@@ -22,6 +22,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = katz.held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = katz.Katz(docs.where(~F.col("held_out")))
+    out = katz.held_out(model.score(docs))
+    return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_quality_rules": op2_quality_rules,
+        "op3_katz": op3_katz,
         "op4_secret_scans": op4_secret_scans,
         "op5_sharding": op5_sharding,
         "op6_decontamination": op6_decontamination,
