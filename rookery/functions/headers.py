@@ -44,9 +44,10 @@ def drop_tags(headers: Column, prefix: str) -> Column:
 
 
 def with_headers(df, headers: Column):
-    """``df`` with new headers, and tags to match."""
-    out = df.withColumn("headers", headers)
-    return out.withColumn("tags", tags_of(F.col("headers")))
+    """``df`` with new headers, and tags to match. Tags are generated, so that later tests of tags read a map that is
+    made once and don't make it again each."""
+    out = df.withColumn("headers", headers).drop("tags")
+    return out.select("*", F.inline(F.array(F.struct(tags_of(F.col("headers")).alias("tags")))))
 
 
 def blank(c: Column) -> Column:
@@ -134,16 +135,16 @@ def eval_centipawns(comment: Column) -> Column:
     """The first [%eval] of a comment in centipawns from White's side; a mate in n is 100000 - 100 n at least."""
     token = F.regexp_extract(comment, r"\[%eval\s+([^\s\],]+)", 1)
     n = F.regexp_extract(token, r"^#([+-]?\d+)$", 1).try_cast("int")
-    mate = F.when(F.startswith(token, F.lit("#-")), F.lit(-1)).otherwise(F.lit(1)) * (F.lit(MATE) - 100 * F.least(F.lit(999), F.abs(n)))
+    mate = F.when(F.startswith(token, F.lit("#-")), F.lit(-1)).otherwise(F.lit(1)) * F.when(n.isNotNull(), F.lit(MATE) - 100 * F.least(F.lit(999), F.abs(n)))
     pawns = F.when(token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), F.round(token.try_cast("double") * 100))
-    return F.coalesce(mate, F.greatest(F.lit(-MATE), F.least(F.lit(MATE), pawns.cast("int"))))
+    return F.coalesce(mate, F.when(pawns.isNotNull(), F.greatest(F.lit(-MATE), F.least(F.lit(MATE), pawns.cast("int")))))
 
 
 def eval_text(cp: Column) -> Column:
-    """#n near mate, else pawns with two digits."""
+    """#n for a mate in less than a hundred moves, else pawns with two digits."""
     n = ((F.lit(MATE) - F.abs(cp)) / 100).cast("int")
     mate = F.concat(F.when(cp < 0, F.lit("#-")).otherwise(F.lit("#")), n.cast("string"))
-    return F.when(F.abs(cp) >= MATE - 99_900, mate).otherwise(F.format_string("%.2f", cp / 100))
+    return F.when(F.abs(cp) > MATE - 10_000, mate).otherwise(F.format_string("%.2f", cp / 100))
 
 
 def move_quality(mover_delta: Column) -> Column:

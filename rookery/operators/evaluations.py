@@ -14,21 +14,27 @@ from ..functions.headers import band, eval_text, length_penalty, move_quality
 #: Default of the swing and the deviation of a game without evaluations, and the bands of components.
 DEFAULT_SWING, DEFAULT_DEVIATION = 350.0, 220.0
 BANDS = {"swing": (20.0, 350.0, False), "forcing": (8.0, 55.0, True), "quiet": (0.0, 12.0, True), "trend": (0.0, 18.0, False), "deviation": (30.0, 220.0, False), "errors": (0.0, 10.0, False)}
-GAME = Window.partitionBy("game_id").orderBy("ply")
-SIDE = Window.partitionBy("game_id", "is_white").orderBy("ply")
+
+
+def _game() -> Window:
+    return Window.partitionBy("game_id").orderBy("ply")
+
+
+def _side() -> Window:
+    return Window.partitionBy("game_id", "is_white").orderBy("ply")
 
 
 def swings(plies: DataFrame) -> DataFrame:
     """Evaluated plies with swing (change since the last evaluated ply) and mover_delta (seen by the side that moved)."""
     done = plies.where("eval_white_cp is not null")
-    out = done.withColumn("swing", F.col("eval_white_cp") - F.lag("eval_white_cp").over(GAME))
+    out = done.withColumn("swing", F.col("eval_white_cp") - F.lag("eval_white_cp").over(_game()))
     return out.withColumn("mover_delta", F.when(F.col("is_white"), F.col("swing")).otherwise(-F.col("swing")))
 
 
 def trend_breaks(plies: DataFrame) -> DataFrame:
     """Evaluated plies with trend_break: the side's evaluation turns round by at least half a pawn."""
-    d1 = F.col("eval_white_cp") - F.lag("eval_white_cp").over(SIDE)
-    out = plies.where("eval_white_cp is not null").withColumn("_d1", d1).withColumn("_p1", F.lag("_d1").over(SIDE))
+    d1 = F.col("eval_white_cp") - F.lag("eval_white_cp").over(_side())
+    out = plies.where("eval_white_cp is not null").withColumn("_d1", d1).withColumn("_p1", F.lag("_d1").over(_side()))
     turn = (F.signum(F.col("_d1").cast("double")) * F.signum(F.col("_p1").cast("double")) < 0) & (F.abs(F.col("_d1") - F.col("_p1")) >= 50)
     return out.withColumn("trend_break", F.coalesce(turn, F.lit(False))).drop("_d1", "_p1")
 
@@ -111,9 +117,9 @@ def validate(cases: DataFrame, scores: DataFrame) -> DataFrame:
 def sacrifices(plies: DataFrame, white_material: str = "white_material", black_material: str = "black_material") -> DataFrame:
     """Per game: sound and unsound sacrifices and their centipawns. A side that is at least a pawn's worth down after a
     ply is sound if its evaluation fell no further, and stands no lower, than the size allows."""
-    lost_w = F.lag(white_material).over(GAME) - F.col(white_material)
-    lost_b = F.lag(black_material).over(GAME) - F.col(black_material)
-    out = plies.withColumns({"_w": lost_w, "_b": lost_b, "_before": F.lag("eval_white_cp").over(GAME)})
+    lost_w = F.lag(white_material).over(_game()) - F.col(white_material)
+    lost_b = F.lag(black_material).over(_game()) - F.col(black_material)
+    out = plies.withColumns({"_w": lost_w, "_b": lost_b, "_before": F.lag("eval_white_cp").over(_game())})
     white = F.col("_w") >= 100
     lost = F.when(white, F.col("_w")).when(F.col("_b") >= 100, F.col("_b"))
     sign = F.when(white, F.lit(1)).otherwise(F.lit(-1))

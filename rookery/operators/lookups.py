@@ -18,11 +18,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def with_moves(games: DataFrame) -> DataFrame:
+    """``games`` with the moves of the main line, generated so that no later use makes them again."""
+    return games.select("*", F.inline(F.array(F.struct(mt.book_moves(F.col("movetext")).alias("moves")))))
+
+
 def opening_book(lines: DataFrame) -> DataFrame:
     """(prefix, depth, eco, opening, variation) from book games; of several lines on one node the last non-blank field wins."""
     filled = lambda t: F.nullif(F.trim(h.tag(t)), F.lit(""))
-    moves = mt.book_moves(F.col("movetext"))
-    rows = lines.select(F.array_join(moves, " ").alias("prefix"), F.size(moves).alias("depth"), *(filled(t).alias(t.lower()) for t in ("ECO", "Opening", "Variation")), F.struct("source_file", "seq").alias("at"))
+    moves = F.col("moves")
+    rows = with_moves(lines).select(F.array_join(moves, " ").alias("prefix"), F.size(moves).alias("depth"), *(filled(t).alias(t.lower()) for t in ("ECO", "Opening", "Variation")), F.struct("source_file", "seq").alias("at"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     return rows.where("depth > 0").groupBy("prefix", "depth").agg(*map(last, ("eco", "opening", "variation"))).where("coalesce(eco, opening, variation) is not null")
 
@@ -40,7 +45,7 @@ def longest_prefix(games: DataFrame, book: DataFrame, moves: str = "moves", orde
 
 
 def tag_openings(games: DataFrame, book: DataFrame) -> DataFrame:
-    out = longest_prefix(games.withColumn("moves", mt.book_moves(F.col("movetext"))), book)
+    out = longest_prefix(with_moves(games), book)
     head = F.col("headers")
     for name in ("ECO", "Opening", "Variation"):
         head = h.set_tag(head, name, F.col(name.lower()))

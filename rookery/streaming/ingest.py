@@ -14,7 +14,7 @@ from ..sources.pgn import parse_texts
 
 def stream_pgn(spark: SparkSession, landing: str) -> DataFrame:
     """Games of files as they land; every file is parsed once, whole. All per-game operators apply to the result."""
-    raw = spark.readStream.option("wholetext", True).text(landing)
+    raw = spark.readStream.text(landing, wholetext=True)
     return parse_texts(raw.select(F.col("_metadata.file_path").alias("source_file"), "value"))
 
 
