@@ -6,9 +6,9 @@ later than the latest register, so the work is near shingles + registers x log(r
 probability Jaccard similarity of the texts.
 
 Candidates: registers are hashed in bands. Copies are one node from the start (the hash of the text). In each bucket all
-nodes are paired with its least node only; what these pairs leave unconnected is then compared across components
-(pairs within a component could not change it), so a bucket of any size costs little when it is one group, and no link
-is given up. Signatures sort out hopeless pairs (``MARGIN`` below the threshold: five standard errors).
+nodes are paired with one only, that which shares most buckets with others. Between the components that this leaves in a
+bucket, pairs are sought by prefix filtering of their shingles, which is exact and makes no pair within a component.
+Signatures sort out hopeless pairs (``MARGIN`` below the threshold: four standard errors).
 
 Verification: exact Jaccard similarity of the shingle sets, at least ``threshold``. Classes are the connected components.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -33,7 +33,8 @@ from ._shared import mix, plain, saved, split_words, window_hashes, word_hashes
 WORDS = 5
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
-MARGIN = 0.19
+MARGIN = 0.15
+BROADCAST_NODES = 500_000
 SLICE = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,10 +117,21 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return saved(rows.mapInArrow(run, schema), "sketches")
 
 
+def _of(sketches: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """(node, column) for some nodes, once each. Their list is broadcast if a count finds it short (8 bytes a node)."""
+    nodes = saved(nodes.distinct(), "nodes")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    return sketches.where(F.col(column).isNotNull()).select("node", column).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 def _hopeful(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    light = sketches.where("signature is not null").select("node", "signature").join(some, "node", "left_semi").dropDuplicates(["node"])
+    light = saved(_of(sketches, "signature", _ends(pairs)), "signatures")
     both = pairs.join(light.toDF("a", "sa"), "a").join(light.toDF("b", "sb"), "b")
     least = math.floor((threshold - MARGIN) * REGISTERS)
 
@@ -135,10 +147,8 @@ def _hopeful(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
 
 def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with exact Jaccard similarity of at least the threshold."""
-    pairs = saved(_hopeful(pairs, sketches, threshold), "pairs")
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = sketches.where("shingles is not null").select("node", "shingles").join(some, "node", "left_semi").dropDuplicates(["node"])
-    sets = saved(sets, "shingle-sets")
+    pairs = saved(_hopeful(saved(pairs, "candidates"), sketches, threshold), "pairs")
+    sets = saved(_of(sketches, "shingles", _ends(pairs)), "shingle-sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +164,39 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     return saved(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
 
 
+def _across(placed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes (node, comp) of different components that may be linked, by prefix filtering.
+
+    In any common order of shingles, two sets as similar as the threshold share one of the first
+    n - ceil(threshold * n) + 1 of each. Rare ones come first, so a text with many shingles of its own, as a much
+    altered copy has, meets nobody. Components meet on a shingle before their nodes do: what is in one component makes
+    no pairs.
+    """
+    sets = _of(sketches, "shingles", placed.select("node"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(np.full(len(x), len(x))), pa.array(x)], names=["node", "n", "shingle"])
+
+    each = saved(sets.mapInArrow(spell, "node long, n long, shingle long"), "spelled")
+    known = each.groupBy("shingle").count().where("count > 1")
+    both = each.join(known, "shingle").select("node", "n", "shingle", "count")
+    by = Window.partitionBy("node").orderBy("count", "shingle")
+    ranked = both.select("node", "shingle", "n", F.row_number().over(by).alias("k"), F.count("*").over(Window.partitionBy("node")).alias("m"))
+    # n - m shingles are the text's own and come first
+    first = ranked.where(F.col("k") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1)
+    first = saved(first.select("node", "shingle", "n").join(placed.select("node", "comp"), "node").select("node", "comp", "shingle", "n"), "prefixes")
+    torn = first.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shingle")
+    first = first.join(torn, "shingle").select("node", "comp", "shingle", "n")
+    comps = first.select("shingle", "comp").distinct()
+    meet = comps.toDF("shingle", "c1").join(comps.toDF("shingle", "c2"), "shingle").where("c1 < c2").select("c1", "c2", "shingle")
+    one, two = first.toDF("a", "c1", "shingle", "na"), first.toDF("b", "c2", "shingle", "nb")
+    pairs = meet.join(one, ["shingle", "c1"]).join(two, ["shingle", "c2"]).where(f"least(na, nb) >= {threshold} * greatest(na, nb)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the least node of the connected component."""
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -177,18 +220,16 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, node (hash of the text), comp (least node of the class) and class_id (its least doc_id) for every row."""
     sketches = _sketches(docs)
     members = sketches.where("bands is not null").select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
-    members = saved(members.join(shared, "bucket"), "buckets")
-    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = saved(members.join(shared, "bucket").select("node", "bucket", "size"), "buckets")
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    middle = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("middle"))
+    stars = members.join(middle, "bucket").where("node <> middle").select(F.col("middle").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(stars, sketches, threshold)
     labels = components(links)
-    placed = saved(_labelled(members.select("node", "bucket"), labels), "placed")
+    placed = saved(_labelled(members.select("node", "bucket"), labels).select("node", "bucket", "comp"), "placed")
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    placed = placed.join(torn, "bucket", "left_semi").select("node", "bucket", "comp")
-    comps = placed.select("bucket", "comp").distinct()
-    across = comps.toDF("bucket", "c1").join(comps.toDF("bucket", "c2"), "bucket").where("c1 < c2")
-    one, two = placed.toDF("a", "bucket", "c1"), placed.toDF("b", "bucket", "c2")
-    pairs = across.join(one, ["bucket", "c1"]).join(two, ["bucket", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _across(saved(placed.join(torn, "bucket", "left_semi").select("node", "comp").distinct(), "torn"), sketches, threshold)
     more = _verified(pairs, sketches, threshold)
     if not more.isEmpty():
         labels = components(links.union(more))
