@@ -34,10 +34,10 @@ from ._shared import mix, saved, split_words, word_hashes
 
 HOT = 1 << 18
 HOT_PAIRS = 1 << 16
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_500_000
 DISCOUNTED = 5
-SLICE = 512
-FLUSH = 3_000_000
+SLICE = 1024
+FLUSH = 1_000_000
 END = np.uint64(2)
 RARE = np.uint64(1 << 63)
 
@@ -135,8 +135,22 @@ def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
     return [k[at] for k in keys], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: the ids of frequent words have few bytes that are not 0."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(x: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    if not size:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(x[8:], size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
+    return np.concatenate([np.empty(0, kind), *(_unpack(x, kind) for x in column.to_pylist() if x is not None)])
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -195,7 +209,7 @@ class Katz:
                 rare = w < 0
                 w, c = w[rare], batch.column(1).to_numpy()[rare]
                 for b, at in _parts(hot.bucket(w, w)):
-                    yield _table({"bucket": pa.array([b], pa.int32()), "v": pa.array([None], pa.binary()), "w": [w[at].tobytes()], "n": [c[at].tobytes()]})
+                    yield _table({"bucket": pa.array([b], pa.int32()), "v": pa.array([None], pa.binary()), "w": [_pack(w[at])], "n": [_pack(c[at])]})
 
         return self.words.select("word", "n").mapInArrow(run, "bucket int, v binary, w binary, n binary")
 
@@ -207,7 +221,7 @@ class Katz:
             v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             (v, w), c = _summed([v, w], np.ones(len(v), np.int64))
             for b, at in _parts(hot.bucket(v, w)):
-                yield _table({"bucket": pa.array([b], pa.int32()), "v": [v[at].tobytes()], "w": [w[at].tobytes()], "n": [c[at].tobytes()]})
+                yield _table({"bucket": pa.array([b], pa.int32()), "v": [_pack(v[at])], "w": [_pack(w[at])], "n": [_pack(c[at])]})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
@@ -225,7 +239,7 @@ class Katz:
             own, rare = group.filter(is_pair), group.filter(pc.invert(is_pair))
             (v, w), n = _summed([_numbers(own.column("v"), "<i8"), _numbers(own.column("w"), "<i8")], _numbers(own.column("n"), "<i8"))
             (rw,), rn = _summed([_numbers(rare.column("w"), "<i8")], _numbers(rare.column("n"), "<i8"))
-            return pa.table({"bucket": group.column("bucket")[:1], **{k: [x.tobytes()] for k, x in (("v", v), ("w", w), ("n", n), ("rw", rw), ("rn", rn))}})
+            return pa.table({"bucket": group.column("bucket")[:1], **{k: [_pack(x)] for k, x in (("v", v), ("w", w), ("n", n), ("rw", rw), ("rn", rn))}})
 
         raw = train.select("text").mapInArrow(run, "bucket int, v binary, w binary, n binary").union(self._rare_words())
         return saved(raw.groupBy("bucket").applyInArrow(merge, "bucket int, v binary, w binary, n binary, rw binary, rn binary"), "pairs")
@@ -251,7 +265,7 @@ class Katz:
             m = model.value
             for batch in batches:
                 for row in batch.to_pylist():
-                    v, w, n, rw, rn = (np.frombuffer(row[k], "<i8") for k in ("v", "w", "n", "rw", "rn"))
+                    v, w, n, rw, rn = (_unpack(row[k], "<i8") for k in ("v", "w", "n", "rw", "rn"))
                     if not len(v):
                         continue
                     values = (n, _factor(m.d2, n) * n, m.chance(m._word_counts(w, rw, rn)))
@@ -276,7 +290,7 @@ class Katz:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    v, w, n = (np.frombuffer(row[k], "<i8") for k in ("v", "w", "n"))
+                    v, w, n = (_unpack(row[k], "<i8") for k in ("v", "w", "n"))
                     on = n > max(least, 1)
                     yield _table({"v": v[on], "w": w[on], "n": n[on]})
 
@@ -309,11 +323,11 @@ class Katz:
                 # of the texts themselves: sums so far (columns v, w, n, rw, rn)
                 for b, k in _parts((nodes.view(np.uint64) % np.uint64(m.hot.buckets)).astype(np.int32)):
                     values = (size, known.astype(np.int64), base, score)
-                    yield _table({"bucket": pa.array([b], pa.int32()), **{n: [x[k].tobytes()] for n, x in zip(("v", "w", "n", "rw"), values, strict=True)}, "rn": pa.array([None], pa.binary()), "o": pa.array([None], pa.binary()), "nodes": [nodes[k].tobytes()]})
-                v, w, o = v[~top], w[~top], o[~top]
+                    yield _table({"bucket": pa.array([b], pa.int32()), **{n: [_pack(x[k])] for n, x in zip(("v", "w", "n", "rw"), values, strict=True)}, "rn": pa.array([None], pa.binary()), "o": pa.array([None], pa.binary()), "nodes": [_pack(nodes[k])]})
+                v, w, o, packed = v[~top], w[~top], o[~top], _pack(nodes)
                 for b, k in _parts(m.hot.bucket(v, w)):
                     none = pa.array([None], pa.binary())
-                    yield _table({"bucket": pa.array([b], pa.int32()), "v": [v[k].tobytes()], "w": [w[k].tobytes()], "n": none, "rw": none, "rn": none, "o": [o[k].astype("<u2").tobytes()], "nodes": [nodes.tobytes()]})
+                    yield _table({"bucket": pa.array([b], pa.int32()), "v": [_pack(v[k])], "w": [_pack(w[k])], "n": none, "rw": none, "rn": none, "o": [_pack(o[k].astype("<u2"))], "nodes": [packed]})
 
         def meet(group: pa.Table) -> pa.Table:
             return model.value.meet(group)
@@ -346,8 +360,8 @@ class Katz:
         out = [{"node": nodes, "v": pa.nulls(len(nodes), pa.int64()), "copies": zero + 1, "size": size, "known": known, "base": base, "score": score, "hits": zero, "misses": zero}]
         if tokens.num_rows:
             v, w = (_numbers(tokens.column(k), "<i8") for k in ("v", "w"))
-            lists = [np.frombuffer(x, "<i8") for x in tokens.column("nodes").to_pylist()]
-            owner = np.concatenate([x[np.frombuffer(o, "<u2")] for x, o in zip(lists, tokens.column("o").to_pylist(), strict=True)])
+            lists = [_unpack(x, "<i8") for x in tokens.column("nodes").to_pylist()]
+            owner = np.concatenate([x[_unpack(o, "<u2")] for x, o in zip(lists, tokens.column("o").to_pylist(), strict=True)])
             pv, pw, pn, rw, rn = (_numbers(own.column(k), "<i8") for k in ("v", "w", "n", "rw", "rn"))
             codes = _code(pv, pw)
             order = np.argsort(codes)
@@ -378,7 +392,7 @@ class Katz:
 def _few_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("n").to_pylist():
-            n = np.frombuffer(x, "<i8")
+            n = _unpack(x, "<i8")
             k, count = np.unique(n[n <= DISCOUNTED + 1], return_counts=True)
             yield _table({"n": k, "k": count})
 
