@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import movetext as mt
@@ -13,6 +14,12 @@ from ..functions.headers import natural_key, safe_file_name, tag
 SORT_KEYS = ("Event", "Site", "Date", "Round", "White", "Black", "ECO")
 
 
+def need_checkpoints(spark: SparkSession) -> None:
+    """Lets ``checkpoint`` work where the cluster names no shared folder, as in tests."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
 def sort_games(games: DataFrame, criteria: list[str]) -> DataFrame:
     """Natural order that ignores case by the named headers (missing: ""), then input order; a range sort."""
     if unknown := set(criteria) - set(SORT_KEYS):
@@ -105,6 +112,7 @@ def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing:
     Rows that come first on all their keys stay; rows that share a key with them go; the rest is looked at again. Each
     round settles at least the first row of what is left; nearly always one round does.
     """
+    need_checkpoints(games.sparkSession)
     each = games.select(*order, F.explode(F.array_distinct(F.col(keys))).alias("_key"))
     if existing is not None:
         hit = each.join(existing.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").select(*order).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import blank, elo, set_tag, tag, with_headers
 from ..functions.similarity import clean_name
+from .collections import need_checkpoints
 
 LEDGER = "timestamp_utc string, event_id int, status string, http_status int, bytes long, games int, message string, url string, output_kind string"
 DEAD = ("Missing", "Gone", "NonPgn")
@@ -85,6 +86,7 @@ def enrich_players(games: DataFrame, known: DataFrame, require_real_names: bool
 def frontier(edges: DataFrame, seeds: DataFrame, levels: int, cap: int | None = None) -> DataFrame:
     """(player, level) reached from ``seeds`` (player) over ``edges`` (player, opponent), a level at a time. The set of
     visited players stays a table; the driver sees only whether a level found anyone."""
+    need_checkpoints(edges.sparkSession)
     visited = seeds.select("player").distinct().withColumn("level", F.lit(0)).checkpoint()
     last = visited
     for level in range(1, levels + 1):
