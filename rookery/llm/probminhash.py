@@ -5,10 +5,13 @@ one of the registers, which keep the earliest. Processes are advanced together a
 later than the latest register, so the work is near shingles + registers x log(registers). Two registers agree with the
 probability Jaccard similarity of the texts.
 
-Candidates: registers are hashed in bands. Copies are one node from the start (the hash of the text). In each bucket all
+A text that repeats shingles has a second, plain sketch, all weights 1, whose registers agree with the probability of the
+set similarity that is verified. Without repeats both sketches are the same, so plain ones compare with all texts.
+
+Candidates: registers of both sketches are hashed in bands, in common buckets. Copies are one node from the start (the hash of the text). In each bucket all
 nodes are paired with one only, that which shares most buckets with others. Between the components that this leaves in a
 bucket, pairs are sought by prefix filtering of their shingles, which is exact and makes no pair within a component.
-Signatures sort out hopeless pairs (``MARGIN`` below the threshold: four standard errors).
+Plain signatures sort out hopeless pairs (``MARGIN`` below the threshold: four standard errors of the set similarity).
 
 Verification: exact Jaccard similarity of the shingle sets, at least ``threshold``. Classes are the connected components.
 
@@ -82,8 +85,19 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def plain_sketch(weighted: np.ndarray, windows: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sketch with all weights 1, made anew only for owners that repeat a shingle."""
+    out = weighted.copy()
+    repeats = np.unique(owners[counts > 1])
+    if len(repeats):
+        on = np.isin(owners, repeats)
+        out[repeats] = sketch(windows[on], np.searchsorted(repeats, owners[on]), np.ones(int(on.sum())), len(repeats))
+    return out
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, and for the first row of a node in its task: bands, signature bytes, sorted shingle hashes."""
+    """doc_id, node, and for the first row of a node in its task: bands of both sketches, bytes of the plain signature,
+    sorted shingle hashes."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     schema = docs.select("doc_id").schema.add("node", "long").add("bands", ArrayType(LongType())).add("signature", "binary").add("shingles", "binary")
 
@@ -102,13 +116,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 words, ends = split_words(plain(part.column(2).take(pa.array(fresh, pa.int64()))))
                 windows, owners, counts = counted(*window_hashes(word_hashes(words), ends, WORDS))
-                signatures = sketch(windows, owners, 1 + np.log(counts), len(fresh))
-                bands, small = band_hashes(signatures), mix(signatures.ravel()).astype(np.uint8).reshape(len(fresh), REGISTERS)
+                weighted = sketch(windows, owners, 1 + np.log(counts), len(fresh))
+                signatures = plain_sketch(weighted, windows, owners, counts)
+                bands = np.concatenate((band_hashes(weighted), band_hashes(signatures)), axis=1)
+                small = mix(signatures.ravel()).astype(np.uint8).reshape(len(fresh), REGISTERS)
                 cuts = np.searchsorted(owners, np.arange(len(fresh) + 1))
                 columns: list[list] = [[None] * len(nodes) for _ in range(3)]
                 for k, row in enumerate(fresh):
                     if cuts[k] < cuts[k + 1]:
-                        columns[0][row] = bands[k]
+                        columns[0][row] = np.unique(bands[k])
                         columns[1][row] = small[k].tobytes()
                         columns[2][row] = np.unique((windows[cuts[k] : cuts[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes()
                 kinds = (pa.list_(pa.int64()), pa.binary(), pa.binary())

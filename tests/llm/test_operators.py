@@ -244,6 +244,17 @@ def test_near_duplicates(docs, texts, none):
     assert probminhash.classes(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):
+        text, line = prose(rng, 200), prose(rng, 30)
+        rows += [(2 * k, f"{text}\n{line}"), (2 * k + 1, "\n".join([text] + [line] * (100, 300, 1000)[k % 3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in probminhash.classes(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(24)}  # weights differ much, the sets of shingles hardly
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     x = rng.integers(1, 2**63, 300).astype(np.uint64)
