@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions import movetext as mt
 from ..functions.headers import natural_key, safe_file_name, tag
 
 SORT_KEYS = ("Event", "Site", "Date", "Round", "White", "Black", "ECO")
+CHAIN_KEYS = 1_000_000
 
 
 def need_checkpoints(spark: SparkSession) -> None:
@@ -106,31 +109,61 @@ def deduplicate(games: DataFrame) -> DataFrame:
     return first_of(games, identity_hash(), ["source_file", "seq"])
 
 
-def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+def _greedy(each: DataFrame) -> DataFrame:
+    """(_at) of the rows that stay, judged one after the other in a single task."""
+    rows = each.groupBy("_at").agg(F.collect_list("_key").alias("_keys")).repartition(1).sortWithinPartitions("_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set = set()
+        for batch in batches:
+            stays = []
+            for own in batch.column(1).to_pylist():
+                own = {x["key"] for x in own}
+                stays.append(taken.isdisjoint(own))
+                if stays[-1]:
+                    taken |= own
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(stays, pa.bool_()))], names=["_at"])
+
+    return rows.mapInArrow(run, each.select("_at").schema)
+
+
+def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Greedy deduplication in order: a row goes if any of its keys was taken by a kept row, or is in ``existing`` (key).
 
-    Rows that come first on all their keys stay; rows that share a key with them go; the rest is looked at again. Each
-    round settles at least the first row of what is left; nearly always one round does.
+    Rows that come first on all their keys stay; rows that share a key with them go; the rest is looked at again until
+    nothing is left. Each round settles at least the first row of what is left; nearly always one round does. Chains of
+    rows need many, so what a round leaves is judged in one task when it has at most ``CHAIN_KEYS`` keys.
+
+    Defined cases: a null among the keys is a key, equal to other nulls as in GROUP BY; a row without keys stays.
     """
     need_checkpoints(games.sparkSession)
-    each = games.select(*order, F.explode(F.array_distinct(F.col(keys))).alias("_key"))
+    games = games.withColumn("_at", F.struct(*order))
+    keyless = F.col(keys).isNull() | (F.size(keys) == 0)
+    as_key = lambda c: F.struct(F.col(c).alias("key")).alias("_key")  # noqa: E731  # structs are equal where both hold null
+    each = games.select("_at", F.explode(F.array_distinct(F.col(keys))).alias("_k")).select("_at", as_key("_k"))
     if existing is not None:
-        hit = each.join(existing.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").select(*order).distinct()
-        each = each.join(hit, order, "left_anti").select(*order, "_key")
+        hit = each.join(existing.select(as_key("key")).distinct(), "_key", "left_semi").select("_at").distinct()
+        each = each.join(hit, "_at", "left_anti").select("_at", "_key")
     each, kept = each.checkpoint(), []
-    for _ in range(rounds):
-        if each.isEmpty():
+    left = each.count()
+    while left:
+        if kept and left <= CHAIN_KEYS:
+            kept.append(_greedy(each).checkpoint())
             break
-        first = each.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-        judged = each.join(first, "_key").groupBy(*order).agg(F.bool_and(F.col("_first") == F.struct(*order)).alias("_stays"))
-        stays = judged.where("_stays").select(*order).checkpoint()
+        first = each.groupBy("_key").agg(F.min("_at").alias("_first"))
+        judged = each.join(first, "_key").groupBy("_at").agg(F.bool_and(F.col("_first") == F.col("_at")).alias("_stays"))
+        stays = judged.where("_stays").select("_at").checkpoint()
         kept.append(stays)
-        taken = each.join(stays, order, "left_semi").select("_key").distinct()
-        gone = each.join(taken, "_key", "left_semi").select(*order).distinct()
-        each = each.join(gone, order, "left_anti").select(*order, "_key").checkpoint()
+        taken = each.join(stays, "_at", "left_semi").select("_key").distinct()
+        gone = each.join(taken, "_key", "left_semi").select("_at").distinct()
+        each = each.join(gone, "_at", "left_anti").select("_at", "_key").checkpoint()
+        before, left = left, each.count()
+        if left >= before:
+            raise RuntimeError(f"a round of deduplication settled none of {left} keys")
+    alone = games.where(keyless)
     if not kept:
-        return games.limit(0)
-    return games.join(reduce(DataFrame.union, kept), order, "left_semi")
+        return alone.drop("_at")
+    return games.where(~keyless).join(reduce(DataFrame.union, kept), "_at", "left_semi").unionByName(alone).drop("_at")
 
 
 def distinct_ignoring_case(df: DataFrame, column: str) -> DataFrame:

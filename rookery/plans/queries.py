@@ -187,6 +187,14 @@ def multi_key_dedup(spark, d):
     return co.deduplicate_by_keys(pages, "keys", ["page_id"]).select("page_id")
 
 
+@query(None)
+def multi_key_dedup_two(spark, d):
+    """Pages by two kinds of keys, address and content. Greedy choice is not SQL; tests hold it against plain Python."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace("url", r"[?#].*$", "")), "/+$", "")
+    pages = table(spark, d, "pages").withColumn("keys", F.array(F.concat(F.lit("url:"), bare), F.concat(F.lit("html:"), F.sha2("html", 256))))
+    return co.deduplicate_by_keys(pages, "keys", ["page_id"]).select("page_id")
+
+
 PRECISION = {"century": "substr(date, 1, 2) || 'xx'", "decade": "substr(date, 1, 3) || 'x'", "year": "substr(date, 1, 4)", "month": "replace(substr(date, 1, 7), '.', '-')", "day": "replace(replace(date, '.', '-'), '?', 'x')"}
 
 

@@ -96,6 +96,33 @@ def test_greedy_keys_follow_chains(spark):
     assert sorted(r.seq for r in co.deduplicate_by_keys(rows, "keys", ["seq"], known).collect()) == [0, 2, 4]
 
 
+def test_greedy_keys_settle_long_chains(spark):
+    rows = spark.createDataFrame([(k, [f"k{k}", f"k{k + 1}"]) for k in range(450)], "seq long, keys array<string>")
+    assert sorted(r.seq for r in co.deduplicate_by_keys(rows, "keys", ["seq"]).collect()) == list(range(0, 450, 2))
+
+
+def test_greedy_keys_of_null_and_none(spark):
+    rows = spark.createDataFrame([(0, [None]), (1, ["a", None]), (2, []), (3, None), (4, ["a"]), (5, ["a"])], "seq long, keys array<string>")
+    kept = lambda known: sorted(r.seq for r in co.deduplicate_by_keys(rows, "keys", ["seq"], known).collect())
+    assert kept(None) == [0, 2, 3, 4]
+    assert kept(spark.createDataFrame([(None,)], "key string")) == [2, 3, 4]
+
+
+def test_two_kinds_of_keys(spark, tmp_path):
+    from rookery.plans import queries
+
+    rng = random.Random(4)
+    pages = [(k, rng.choice([None, *(f"http://H/{n}/?q" for n in range(30))]), rng.choice([None, *map(str, range(30))])) for k in range(90)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    taken, want = set(), []
+    for k, url, html in pages:
+        own = {url and "u" + url, html and "h" + html}
+        if not own & taken:
+            want.append(k)
+            taken |= own
+    assert sorted(r.page_id for r in queries.QUERIES["multi_key_dedup_two"](spark, str(tmp_path)).collect()) == want
+
+
 def test_natural_order(spark):
     names = ["Round 10", "round 2", "Round 02", "A", "9", "10", ""]
     df = spark.createDataFrame([(n,) for n in names], "x string")
