@@ -71,26 +71,65 @@ def rate_asof(rows: DataFrame, ratings: DataFrame, name: str, date: Column, orde
     return each.join(rating_months(ratings), ["name_key", "year", "month"]).groupBy(*order).agg(F.min_by("rating", "k").alias("rating"))
 
 
-def fuzzy_names(names: DataFrame, players: DataFrame) -> DataFrame:
-    """(name, player) for distinct names that resemble one player clearly: within the block of their last name and
-    initial, by Jaro-Winkler of canonical names, sure (0.97) or good (0.90) with a gap to the runner-up."""
+def resolve_last_names(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, last): for distinct last names (block) the most similar known one of the same initial, by Jaro-Winkler of
+    at least 0.92, which needs the shorter to have 0.6 of the longer's length: the join is by initial and length."""
+    initial = lambda c: F.substring(c, 1, 1).alias("_i")
+    n = F.length("block")
+    lengths = F.explode(F.sequence(F.ceil(n * 3 / 5).cast("int"), F.floor(n * 5 / 3).cast("int"))).alias("_n")
+    left = unknown.where("block <> ''").select("block", initial("block"), lengths)
+    right = known.where("block <> ''").select(F.col("block").alias("last"), initial("block"), n.alias("_n"))
+    scored = left.join(right, ["_i", "_n"]).withColumn("score", jaro_winkler(F.col("block"), F.col("last"))).where(F.col("score") >= LAST_NAME_LEAST)
+    return scored.groupBy("block").agg(F.min_by("last", F.struct(-F.col("score"), F.col("last"))).alias("last"))
+
+
+def fuzzy_names(names: DataFrame, players: DataFrame, whole: bool = True) -> DataFrame:
+    """(name, player) for distinct names that resemble one player clearly: within the block of their last name, by
+    Jaro-Winkler, sure (0.97) or good (0.90) with a gap to the runner-up.
+
+    A last name that no player has stands for the most similar one (``resolve_last_names``); the score is the greater of
+    the name's and its swapped form's; a name of one word is its block's player if that has one only. Without ``whole``
+    last names must be equal and canonical names are compared as written, which is what the SQL of ``add_elo_fuzzy`` says.
+    """
     key = lambda c: (h.last_name_key(c).alias("block"), h.canonical_name(c).alias("canon"))
     left = names.select(F.col("name")).distinct().select("name", *key(F.col("name")))
     right = players.select(F.col("name").alias("player")).distinct().select("player", *key(F.col("player"))).withColumnRenamed("canon", "other")
-    pairs = left.join(right, "block").withColumn("score", jaro_winkler(F.col("canon"), F.col("other"))).where(F.col("score") >= FUZZY_LEAST - FUZZY_GAP)
+    score, alone = jaro_winkler(F.col("canon"), F.col("other")), F.lit(False)
+    if whole:
+        right = right.join(right.groupBy("block").agg(F.count("*").alias("_players")), "block")
+        known = right.select("block").distinct()
+        near = resolve_last_names(left.select("block").distinct().join(known, "block", "left_anti"), known)
+        left = left.join(near, "block", "left").select("name", "canon", F.coalesce("last", "block").alias("block"))
+        bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+        score = F.greatest(jaro_winkler(bare("canon"), bare("other")), jaro_winkler(h.swapped_name_key(F.col("canon")), bare("other")))
+        alone = ~F.contains("canon", F.lit(" ")) & (F.col("_players") == 1)
+    pairs = left.join(right, "block").withColumn("score", score).withColumn("alone", alone).where((F.col("score") >= FUZZY_LEAST - FUZZY_GAP) | F.col("alone"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "player")
-    ranked = pairs.select("name", "player", "score", F.row_number().over(w).alias("k"), F.lead("score").over(w).alias("next"))
-    clear = (F.col("score") >= FUZZY_SURE) | (F.col("score") >= FUZZY_LEAST) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= FUZZY_GAP)
+    ranked = pairs.select("name", "player", "score", "alone", F.row_number().over(w).alias("k"), F.lead("score").over(w).alias("next"))
+    clear = F.col("alone") | (F.col("score") >= FUZZY_SURE) | (F.col("score") >= FUZZY_LEAST) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= FUZZY_GAP)
     return ranked.where((F.col("k") == 1) & clear).select("name", "player", F.round("score", 6).alias("score"))
 
 
-def add_ratings(games: DataFrame, ratings: DataFrame) -> DataFrame:
-    """``games`` with WhiteElo and BlackElo filled in where absent, from the rating of the month."""
+def rate_fuzzy(rows: DataFrame, ratings: DataFrame, players: DataFrame, name: str, date: Column, order: list[str]) -> DataFrame:
+    """(order, rating) for rows with a month, by the player (name) whom their name resembles."""
+    dated = rows.withColumn("_m", h.year_month(date)).where("_m is not null").select(*order, F.col(name).alias("name"), F.col("_m.year").alias("year"), F.col("_m.month").alias("month"))
+    like = fuzzy_names(dated.where("name is not null").select("name"), players).select("name", h.name_key(F.col("player")).alias("name_key"))
+    return dated.join(like, "name").join(rating_months(ratings), ["name_key", "year", "month"]).select(*order, "rating")
+
+
+def add_ratings(games: DataFrame, ratings: DataFrame, players: DataFrame | None = None) -> DataFrame:
+    """``games`` with WhiteElo and BlackElo filled in where absent, from the rating of the month. What no key finds is
+    looked up by resemblance to ``players`` (name) or the names in ``ratings``; keys alone have no last names."""
     out, order = games, ["source_file", "seq"]
+    if players is None and "name" in ratings.columns:
+        players = ratings.select("name")
     for side in ("White", "Black"):
         lack = out.where(h.blank(h.tag(f"{side}Elo"))).select(*order, h.tag(side).alias("_name"), h.tag("Date").alias("_date"))
-        found = rate_asof(lack, ratings, "_name", F.col("_date"), order).withColumnRenamed("rating", "_elo")
-        out = out.join(found, order, "left")
+        found = rate_asof(lack, ratings, "_name", F.col("_date"), order)
+        if players is not None:
+            rest = lack.join(found, order, "left_anti")
+            found = found.unionByName(rate_fuzzy(rest, ratings, players, "_name", F.col("_date"), order))
+        out = out.join(found.withColumnRenamed("rating", "_elo"), order, "left")
         out = h.with_headers(out, h.set_tag(F.col("headers"), f"{side}Elo", F.col("_elo").cast("string"))).drop("_elo")
     return out
 

@@ -286,6 +286,14 @@ SELECT name, player, round(score, 6) AS score FROM r WHERE k = 1 AND (score >= 0
 
 @query(FUZZY, base="")
 def add_elo_fuzzy(spark, d):
+    players = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    changed = F.explode(F.array(F.concat("name", F.lit("e")), F.concat(F.substring("name", 1, 1), F.lit("x"), F.expr("substr(name, 2)"))))
+    return lookups.fuzzy_names(players.select(changed.alias("name")), players, whole=False)
+
+
+@query(None)
+def add_elo_fuzzy_whole(spark, d):
+    """As ``add_elo_fuzzy``, whose SQL knows equal last names only, with misspelt, swapped and single names."""
     players = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     changed = F.explode(F.array(F.concat("name", F.lit("e")), F.concat(F.substring("name", 1, 1), F.lit("x"), F.expr("substr(name, 2)"))))
     return lookups.fuzzy_names(players.select(changed.alias("name")), players)

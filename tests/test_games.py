@@ -169,6 +169,22 @@ def test_ratings_and_names(spark):
     assert si.clean_name_of("xx_9") is None
 
 
+def test_fuzzy_names_of_misspelt_swapped_and_single(spark):
+    players = spark.createDataFrame([("Magnus Carlsen",), ("Hikaru Nakamura",), ("Carl Smith",), ("Anna Smith",)], "name string")
+    names = spark.createDataFrame([("Magnus Carlsson",), ("Nakamura",), ("Nakamurra",), ("Smith",), ("Hikarru, Nakamura",), ("Bob Zzz",)], "name string")
+    got = {r.name: r.player for r in lookups.fuzzy_names(names, players).collect()}
+    assert got == {"Magnus Carlsson": "Magnus Carlsen", "Nakamura": "Hikaru Nakamura", "Nakamurra": "Hikaru Nakamura"}
+    swapped = spark.createDataFrame([("Nakamura Hikaru",)], "name string"), spark.createDataFrame([("Hikaru, Nakamura",)], "name string")
+    assert lookups.fuzzy_names(*swapped).count() == 1
+
+
+def test_add_ratings_ends_with_resemblance(spark):
+    ratings = spark.createDataFrame([("magnuscarlsen", 2020, 6, 2863, "Magnus Carlsen")], "name_key string, year int, month int, rating int, name string")
+    games = make(spark, [({"White": "Magnus Carlsson", "Black": "Bob", "Date": "2020.06.01"}, "*")])
+    row = lookups.add_ratings(games, ratings).first()
+    assert (row.tags.get("whiteelo"), row.tags.get("blackelo")) == ("2863", None)
+
+
 def test_engine_versions(spark):
     releases = spark.createDataFrame([("Stockfish 16.1", dt.date(2024, 2, 24), dt.date(2024, 9, 5))], "name string, start date, end date")
     games = make(spark, [({"White": "Stockfish dev 240901", "Black": "Stockfish 15"}, "*")])
