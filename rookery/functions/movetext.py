@@ -79,6 +79,9 @@ def book_mainline(text: Column) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\{[^}]*(\}|$)|;[^\r\n]*|\[[^\]]*(\]|$)", " ")
     for _ in range(DEPTH):
         out = F.regexp_replace(out, r"\([^()]*\)", " ")
+    # what is nested deeper has at most as many levels left as openers
+    left = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(out, F.lit(r"\("))))
+    out = F.when(out.rlike(r"\([^()]*\)"), F.aggregate(left, out, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", " "))).otherwise(out)
     return F.regexp_replace(out, r"\((?s:.)*$", " ")
 
 

@@ -66,6 +66,12 @@ def test_dialects(spark):
     assert mt.unannotated_text("1. e4! {n} e5?! (x) $3 *") == "1. e4 e5 *"
 
 
+def test_deep_variations_leave_the_rest(spark):
+    deep = lambda n: "1. e4 " + "(a " * n + ")" * n + " e5 2. Nf3 Nc6 1-0"
+    df = spark.createDataFrame([(deep(6),), (deep(7),), (deep(40),), ("1. e4 " + "(a " * 9 + ")" * 8 + " e5 1-0",)], "movetext string")
+    assert [r[0] for r in df.select(mt.book_moves(F.col("movetext"))).collect()] == [["e4", "e5", "Nf3", "Nc6"]] * 3 + [["e4"]]
+
+
 def test_mate_only_on_the_main_line(spark):
     games = make(spark, [(ALPHA, MATE), (ALPHA, "1. e4 {Qxf7#} e5 (1... f6 2. Qh5#) *")])
     assert [r.seq for r in fi.filter_checkmates(games).collect()] == [0]
