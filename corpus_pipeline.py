@@ -1,7 +1,8 @@
 """A pipeline over ``documents``; each stage's result is written as Parquet and read again for the next.
 
 Quality rules drop what they reject, near-duplicate detection keeps one document of each class, decontamination drops
-documents that hold a test item, the secret scan replaces reported spans, and BPE encodes what is left.
+documents that hold a test item, the secret scan replaces reported spans, and BPE encodes what is
+left and decodes it again.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_trie.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_trie.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decode=True)
 
 
 STAGES = [

@@ -297,3 +297,16 @@ def test_pipeline(spark, tmp_path):
         assert stage.columns == docs.columns, name
     clean = {r.doc_id: r for r in stage.collect()}
     assert "hunter" not in clean[34].text and clean[34].n_chars == len(clean[34].text) and not F is pa
+
+
+def test_pipeline_decodes_what_it_encodes(spark):
+    import corpus_pipeline
+
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(TOKENIZER)
+    texts = ["A first text, with words.", "", None, "  ΑΣ é 12 "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    for k, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        got = np.frombuffer(rows[k].ids, "<u4").tolist(), rows[k].n_tokens, rows[k].decoded
+        assert got == (ids, len(ids), t.decode(ids, skip_special_tokens=False))
