@@ -15,6 +15,12 @@ NOISE = re.compile(r"https?:|www\.|@|\d|[<>{}\[\]_#]", re.I)
 TITLES = ("gm", "im", "fm", "cm", "wgm", "wim", "wfm", "wcm", "nm", "dr", "prof", "mr", "mrs", "ms")
 STOP = ("unknown", "anonymous", "n/a", "none", "player", "chess", "test", "admin")
 
+#: Writing of other alphabets in Latin letters, and Latin letters that do not decompose.
+ARABIC = {"\u0627": "a", "\u0623": "a", "\u0625": "i", "\u0622": "a", "\u0628": "b", "\u0629": "a", "\u062a": "t", "\u062b": "th", "\u062c": "j", "\u062d": "h", "\u062e": "kh", "\u062f": "d", "\u0630": "dh", "\u0631": "r", "\u0632": "z", "\u0633": "s", "\u0634": "sh", "\u0635": "s", "\u0636": "d", "\u0637": "t", "\u0638": "z", "\u0639": "a", "\u063a": "gh", "\u0641": "f", "\u0642": "q", "\u0643": "k", "\u0644": "l", "\u0645": "m", "\u0646": "n", "\u0647": "h", "\u0648": "w", "\u0624": "u", "\u064a": "y", "\u0649": "a", "\u0626": "i", "\u0621": "", "\u067e": "p", "\u0686": "ch", "\u0698": "zh", "\u06af": "g", "\u06a9": "k", "\u06cc": "y", "\u06c0": "e", "\ufefb": "la"}
+HEBREW = {"\u05d0": "a", "\u05d1": "b", "\u05d2": "g", "\u05d3": "d", "\u05d4": "h", "\u05d5": "v", "\u05d6": "z", "\u05d7": "h", "\u05d8": "t", "\u05d9": "y", "\u05db": "k", "\u05da": "k", "\u05dc": "l", "\u05de": "m", "\u05dd": "m", "\u05e0": "n", "\u05df": "n", "\u05e1": "s", "\u05e2": "a", "\u05e4": "p", "\u05e3": "p", "\u05e6": "ts", "\u05e5": "ts", "\u05e7": "k", "\u05e8": "r", "\u05e9": "sh", "\u05ea": "t"}
+LATIN = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i", "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "þ": "th", "Þ": "Th"}
+IN_LATIN = str.maketrans(ARABIC | HEBREW | LATIN)
+
 
 def jaro_winkler_of(a: str, b: str) -> float:
     """Jaro-Winkler similarity: common prefix up to 4, scale 0.1."""
@@ -58,7 +64,9 @@ def clean_name_of(raw: str | None) -> str | None:
     if x.count(",") == 1:
         last, first = (p.strip() for p in x.split(","))
         x = f"{first} {last}"
-    x = "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
+    x = "".join(c for c in unicodedata.normalize("NFD", x.translate(IN_LATIN)) if not unicodedata.combining(c))
+    if any(c.isalpha() and not c.isascii() for c in x):  # of a script that has no map here
+        return None
     words = [w for w in re.split(r"[^A-Za-z'-]+", x) if w]
     while words and words[0].lower().strip(".") in TITLES:
         words = words[1:]

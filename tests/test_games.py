@@ -191,6 +191,13 @@ def test_add_ratings_ends_with_resemblance(spark):
     assert (row.tags.get("whiteelo"), row.tags.get("blackelo")) == ("2863", None)
 
 
+def test_names_of_other_scripts():
+    assert si.clean_name_of("\u0141ukasz \u017b\u00f3\u0142ty") == "Lukasz Zolty"
+    assert si.clean_name_of("\u05d3\u05d5\u05d3 \u05db\u05d4\u05df") == "Dvd Khn"
+    assert si.clean_name_of("\u0645\u062d\u0645\u062f \u0639\u0644\u064a") == "Mhmd Aly"
+    assert si.clean_name_of("\u0418\u0432\u0430\u043d Smith Jones") is None
+
+
 def test_engine_versions(spark):
     releases = spark.createDataFrame([("Stockfish 16.1", dt.date(2024, 2, 24), dt.date(2024, 9, 5))], "name string, start date, end date")
     games = make(spark, [({"White": "Stockfish dev 240901", "Black": "Stockfish 15"}, "*")])
