@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_object(kind: type, state: dict):
+    """An object of plain state: broadcasts hold no objects of this package, which workers needn't have."""
+    out = object.__new__(kind)
+    out.__dict__ = state
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")
@@ -62,6 +70,27 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of at most ``rows``, and of at most ``size`` bytes of a column unless one row has more."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+
+def cells(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The numbers in each cell of a binary column, without copies."""
+    data, at = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    numbers = np.frombuffer(data, kind) if data is not None and data.size else np.empty(0, kind)
+    at = at // np.dtype(kind).itemsize
+    return [numbers[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 

@@ -8,9 +8,11 @@ probability Jaccard similarity of the texts.
 A text that repeats shingles has a second, plain sketch, all weights 1, whose registers agree with the probability of the
 set similarity that is verified. Without repeats both sketches are the same, so plain ones compare with all texts.
 
-Candidates: registers of both sketches are hashed in bands, in common buckets. Copies are one node from the start (the hash of the text). In each bucket all
-nodes are paired with one only, that which shares most buckets with others. Between the components that this leaves in a
-bucket, pairs are sought by prefix filtering of their shingles, which is exact and makes no pair within a component.
+Candidates: registers of both sketches are hashed in bands, in common buckets. Copies are one node from the start (the
+hash of the text). In each bucket all nodes are paired with one only, its pivot, that which shares most buckets with
+others. Where this leaves nodes of one pivot in several components, pairs of these are sought by what the nodes changed
+of the pivot: linked nodes must share changes. This is exact, and altered copies of one text make pairs only where they
+share alterations (see ``_across``).
 Plain signatures sort out hopeless pairs (``MARGIN`` below the threshold: four standard errors of the set similarity).
 
 Verification: exact Jaccard similarity of the shingle sets, at least ``threshold``. Classes are the connected components.
@@ -31,14 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ._shared import mix, plain, saved, split_words, window_hashes, word_hashes
+from ._shared import cells, mix, plain, saved, slices, split_words, window_hashes, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 MARGIN = 0.15
 BROADCAST_NODES = 500_000
-SLICE = 512
+SLICE, SLICE_BYTES, SEEN = 512, 1 << 20, 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,32 +105,30 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                nodes = part.column(1).to_pylist()
-                fresh = []
-                for k, x in enumerate(nodes):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh.append(k)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                words, ends = split_words(plain(part.column(2).take(pa.array(fresh, pa.int64()))))
-                windows, owners, counts = counted(*window_hashes(word_hashes(words), ends, WORDS))
-                weighted = sketch(windows, owners, 1 + np.log(counts), len(fresh))
-                signatures = plain_sketch(weighted, windows, owners, counts)
-                bands = np.concatenate((band_hashes(weighted), band_hashes(signatures)), axis=1)
-                small = mix(signatures.ravel()).astype(np.uint8).reshape(len(fresh), REGISTERS)
-                cuts = np.searchsorted(owners, np.arange(len(fresh) + 1))
-                columns: list[list] = [[None] * len(nodes) for _ in range(3)]
-                for k, row in enumerate(fresh):
-                    if cuts[k] < cuts[k + 1]:
-                        columns[0][row] = np.unique(bands[k])
-                        columns[1][row] = small[k].tobytes()
-                        columns[2][row] = np.unique((windows[cuts[k] : cuts[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes()
-                kinds = (pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
+        for part in slices(batches, 2, SLICE, SLICE_BYTES):
+            nodes = part.column(1).to_pylist()
+            fresh = []
+            for k, x in enumerate(nodes):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            words, ends = split_words(plain(part.column(2).take(pa.array(fresh, pa.int64()))))
+            windows, owners, counts = counted(*window_hashes(word_hashes(words), ends, WORDS))
+            weighted = sketch(windows, owners, 1 + np.log(counts), len(fresh))
+            signatures = plain_sketch(weighted, windows, owners, counts)
+            bands = np.concatenate((band_hashes(weighted), band_hashes(signatures)), axis=1)
+            small = mix(signatures.ravel()).astype(np.uint8).reshape(len(fresh), REGISTERS)
+            cuts = np.searchsorted(owners, np.arange(len(fresh) + 1))
+            columns: list[list] = [[None] * len(nodes) for _ in range(3)]
+            for k, row in enumerate(fresh):
+                if cuts[k] < cuts[k + 1]:
+                    columns[0][row] = np.unique(bands[k])
+                    columns[1][row] = small[k].tobytes()
+                    columns[2][row] = np.sort(windows[cuts[k] : cuts[k + 1]].view(np.int64)).astype("<i8").tobytes()
+            kinds = (pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
 
     return saved(rows.mapInArrow(run, schema), "sketches")
 
@@ -170,8 +170,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for x, y in zip(cells(batch.column(2), "<i8"), cells(batch.column(3), "<i8"), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(common >= threshold * (len(x) + len(y) - common))
             keep = pa.array(good, pa.bool_())
@@ -180,37 +179,64 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     return saved(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
 
 
-def _across(placed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes (node, comp) of different components that may be linked, by prefix filtering.
-
-    In any common order of shingles, two sets as similar as the threshold share one of the first
-    n - ceil(threshold * n) + 1 of each. Rare ones come first, so a text with many shingles of its own, as a much
-    altered copy has, meets nobody. Components meet on a shingle before their nodes do: what is in one component makes
-    no pairs.
-    """
-    sets = _of(sketches, "shingles", placed.select("node"))
+def _differences(stars: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """For stars (a, b, comp of b): a as ``pivot``, b as ``node``, comp, the sizes n of b and np of a, whether b is far
+    (less similar to the pivot than the threshold), the number nd of shingles that only one of them has, and these."""
+    sets = saved(_of(sketches, "shingles", _ends(stars)), "shingle-sets")
+    both = stars.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "node", "comp", "n", "np", "far", "nd", "shingle"]
         for batch in batches:
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x, "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(np.full(len(x), len(x))), pa.array(x)], names=["node", "n", "shingle"])
-
-    each = saved(sets.mapInArrow(spell, "node long, n long, shingle long"), "spelled")
-    known = each.groupBy("shingle").count().where("count > 1")
-    both = each.join(known, "shingle").select("node", "n", "shingle", "count")
-    by = Window.partitionBy("node").orderBy("count", "shingle")
-    ranked = both.select("node", "shingle", "n", F.row_number().over(by).alias("k"), F.count("*").over(Window.partitionBy("node")).alias("m"))
-    # n - m shingles are the text's own and come first
-    first = ranked.where(F.col("k") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1)
-    first = saved(first.select("node", "shingle", "n").join(placed.select("node", "comp"), "node").select("node", "comp", "shingle", "n"), "prefixes")
-    torn = first.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shingle")
-    first = first.join(torn, "shingle").select("node", "comp", "shingle", "n")
-    comps = first.select("shingle", "comp").distinct()
-    meet = comps.toDF("shingle", "c1").join(comps.toDF("shingle", "c2"), "shingle").where("c1 < c2").select("c1", "c2", "shingle")
-    one, two = first.toDF("a", "c1", "shingle", "na"), first.toDF("b", "c2", "shingle", "nb")
-    pairs = meet.join(one, ["shingle", "c1"]).join(two, ["shingle", "c2"]).where(f"least(na, nb) >= {threshold} * greatest(na, nb)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            ids = (batch.column(k).to_pylist() for k in range(3))
+            for pivot, node, comp, x, y in zip(*ids, *(cells(batch.column(k), "<i8") for k in (3, 4)), strict=True):
+                apart = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(apart)) // 2
+                far = common < threshold * (len(x) + len(y) - common)
+                k = len(apart)
+                rows = [np.full(k, v) for v in (pivot, node, comp, len(y), len(x), far, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*rows, apart)], names=names)
+
+    kinds = "pivot long, node long, comp long, n long, np long, far boolean, nd long, shingle long"
+    return saved(both.select("a", "b", "comp", "sa", "sb").mapInArrow(run, kinds), "differences")
+
+
+def _across(stars: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes (a, b) of different components around one pivot that may be linked; exact.
+
+    ``stars`` are pairs (a: pivot, b: node) with the node's comp, of pivots whose nodes are in several components. With
+    Dx the difference of x from the pivot P, x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, of which a similarity
+    of t allows c (|x| + |y|), c = (1 - t) / (1 + t). So linked nodes share their changes: at least
+    (|Dx| + |Dy| - c (|x| + |y|)) / 2. At least one of them, x, is far from P (nodes near P are in one component), so
+    |Dx| > c (|x| + |P|), and y shares more than (|Dy| - c (|y| - |P|)) / 2, about half of its changes. By prefix
+    filtering it is enough to compare the ``half`` of y's changes that are rarest around P with a far x's (all but the
+    least number that it must share), and halves only if both are far. What a node has changed alone meets nobody, however
+    many copies of P there are.
+    """
+    each = _differences(stars, sketches, threshold)
+    known = each.groupBy("pivot", "shingle").agg(F.count("*").alias("count")).where("count > 1")
+    both = each.join(known, ["pivot", "shingle"])
+    by = Window.partitionBy("pivot", "node").orderBy("count", "shingle")
+    place = F.row_number().over(by) + F.col("nd") - F.count("*").over(Window.partitionBy("pivot", "node"))
+    c = (1 - threshold) / (1 + threshold)
+    # changes that a node has alone come first in the order, so ``place`` counts them
+    half = F.col("nd") - F.floor((F.col("nd") - c * (F.col("n") - F.col("np"))) / 2 - 1e-9)
+    most = F.col("nd") - F.greatest(F.lit(1), F.ceil(F.col("nd") - c * (1 + 1 / threshold) * F.col("n") - 1e-9)) + 1
+    ranked = both.select("pivot", "node", "comp", "n", "far", "nd", "shingle", place.alias("place"), half.alias("half"), most.alias("most"))
+    ranked = ranked.where((F.col("place") <= F.col("half")) | F.col("far") & (F.col("place") <= F.col("most")))
+    ranked = ranked.select("pivot", "shingle", "node", "comp", "n", "far", "nd", "place", (F.col("place") <= F.col("half")).alias("rare"))
+    ranked = saved(ranked, "prefixes")
+    met = ranked.groupBy("pivot", "shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("far").alias("f"), F.bool_or("rare").alias("r"))
+    ranked = ranked.join(met.where("x < y and f and r").select("pivot", "shingle"), ["pivot", "shingle"])
+    names = ["node", "comp", "n", "far", "nd", "place", "rare"]
+    one = ranked.where("rare").select("pivot", "shingle", *(F.col(x).alias(f"{x}1") for x in names))
+    two = ranked.where("far").select("pivot", "shingle", *(F.col(x).alias(f"{x}2") for x in names))
+    apart = (F.col("comp1") != F.col("comp2")) & (~F.col("far1") | F.col("rare2") & (F.col("comp1") < F.col("comp2")))
+    alike = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
+    # at the first change that they share, what is left of both must hold the others
+    enough = 2 * (1 + F.least(F.col("nd1") - F.col("place1"), F.col("nd2") - F.col("place2"))) >= F.col("nd1") + F.col("nd2") - c * (F.col("n1") + F.col("n2")) - 1e-6
+    pairs = one.join(two, ["pivot", "shingle"]).where(apart & alike & enough)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,12 +267,12 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     middle = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("middle"))
     stars = members.join(middle, "bucket").where("node <> middle").select(F.col("middle").alias("a"), F.col("node").alias("b")).distinct()
+    stars = saved(stars, "stars")
     links = _verified(stars, sketches, threshold)
     labels = components(links)
-    placed = saved(_labelled(members.select("node", "bucket"), labels).select("node", "bucket", "comp"), "placed")
-    torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    pairs = _across(saved(placed.join(torn, "bucket", "left_semi").select("node", "comp").distinct(), "torn"), sketches, threshold)
-    more = _verified(pairs, sketches, threshold)
+    placed = saved(_labelled(stars.toDF("a", "node"), labels).select("a", F.col("node").alias("b"), "comp"), "placed")
+    torn = placed.groupBy("a").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("a")
+    more = _verified(_across(placed.join(torn, "a", "left_semi").select("a", "b", "comp"), sketches, threshold), sketches, threshold)
     if not more.isEmpty():
         labels = components(links.union(more))
     named = saved(_labelled(sketches.select("doc_id", "node"), labels), "members")
