@@ -1,17 +1,19 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Of the texts of a slice of rows, the distinct words that are not yet known are put in a trie of symbols (the characters
-of the byte alphabet; a word's last symbol carries the end-of-word mark). A depth-first traversal gives every node the
-last token of the encoding of its path: the one token that ends there, fits on the path before it (whose state is
-known), and makes a pair that BPE would not have merged otherwise. The trie is kept as the sorted words: their order is
-the depth-first order, and the states of the path shared with the previous word stay on a stack, so what words share is
-computed once. A word's ids follow by walking back from its leaf.
+Of the texts of a slice of rows, the distinct words that are not yet known are put in a trie of symbols (bytes; a word's
+last one carries the end-of-word mark). A depth-first traversal gives every node the last token of the encoding of its
+path: the one token that ends there, fits on the path before it (whose state is known), and makes a pair that BPE would
+not have merged otherwise. Which tokens end at a node is the other state that goes down the trie: the place in an
+automaton of all tokens. The trie is kept as the sorted words: their order is the depth-first order, and the states of
+the path shared with the previous word stay on a stack, so what words share is computed once. A word's ids follow by
+walking back from its leaf.
 
 The vocabulary is read from a tokenizer file (JSON) whose ids are in merge order; its path is a parameter, and the
 executors need not see the file. Special tokens in a text become their ids, as in the file's own library.
 
 Defined cases: a null text counts as empty and has no ids. Texts of any length are encoded whole. The word memory of a
-task is bounded (``MEMORY`` words, then it starts anew), which changes no result. Only the named columns are used.
+task is bounded (twice ``MEMORY`` words: what was not used for long is forgotten), which changes no result. Only the
+named columns are used.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from ._shared import slices
+
 #: White space in the sense of Unicode. Python's own notion adds the four separators U+001C to U+001F.
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SEPARATORS = "".join(map(chr, range(0x1C, 0x20)))
-MEMORY = 600_000
-SLICE = 256
+MEMORY = 100_000
+PAIRS = 200_000
+SLICE, SLICE_BYTES = 256, 1 << 20
 
 
 def load_vocabulary(path: str) -> dict:
@@ -54,40 +60,76 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class TokenAutomaton:
+    """Which tokens end at a place: one state per beginning of a token, with links to the longest shorter one."""
+
+    def __init__(self, tokens: list[tuple[bytes, int, bool]]):
+        self.goto: dict[int, int] = {}  # state and next byte
+        self.fail, self.depth = [0], [0]
+        ends: list[dict[bool, int]] = [{}]
+        for piece, i, marked in tokens:
+            at = 0
+            for byte in piece:
+                key = at << 8 | byte
+                at = self.goto.get(key, 0)
+                if not at:
+                    at = self.goto[key] = len(self.fail)
+                    self.fail.append(0)
+                    self.depth.append(0)
+                    ends.append({})
+            ends[at][marked] = i
+        # tokens (length, id), longest first, that end at a state: without and with the end-of-word mark
+        self.inner: list[tuple] = [()] * len(self.fail)
+        self.final: list[tuple] = [()] * len(self.fail)
+        after: dict[int, list[tuple[int, int]]] = {}
+        for key, to in self.goto.items():
+            after.setdefault(key >> 8, []).append((key & 255, to))
+        todo = [0]
+        for at in todo:  # breadth first: links go to states that are done
+            for byte, to in after.get(at, ()):
+                self.depth[to], back = self.depth[at] + 1, 0
+                if at:
+                    back = self.fail[at]
+                    while back and back << 8 | byte not in self.goto:
+                        back = self.fail[back]
+                    back = self.goto.get(back << 8 | byte, 0)
+                self.fail[to] = back
+                for out, marked in ((self.inner, False), (self.final, True)):
+                    own = ((self.depth[to], ends[to][marked]),) if marked in ends[to] else ()
+                    out[to] = own + out[back] if own else out[back]
+                todo.append(to)
+
+
 class TrieEncoder:
     def __init__(self, vocabulary: dict, specials: bool = True):
         self.pieces = vocabulary["pieces"]
-        self.end = vocabulary["end"]
+        end = vocabulary["end"]
         self.special = vocabulary["special"] if specials else {}
-        self.merged = {(a, b): c for a, b, c in vocabulary["merges"]}
+        self.merged = {a << 20 | b: c for a, b, c in vocabulary["merges"]}
         self.left = list(range(len(self.pieces)))
         self.right = list(self.left)
         for a, b, c in vocabulary["merges"]:
             self.left[c], self.right[c] = a, b
-        # tokens by their symbols from last to first; "" holds the id
-        self.inner: dict = {}
-        self.final: dict = {}
-        outside = set(vocabulary["special"].values())
-        for i, piece in enumerate(self.pieces):
-            if i not in outside:
-                marked = piece.endswith(self.end)
-                node = self.final if marked else self.inner
-                for c in reversed(piece[: -len(self.end)] if marked else piece):
-                    node = node.setdefault(c, {})
-                node[""] = i
-        self.length = [len(p.removesuffix(self.end)) for p in self.pieces]
-        self.alphabet = byte_alphabet()
+        byte, outside = {c: k for k, c in enumerate(byte_alphabet())}, set(vocabulary["special"].values())
+        tokens = [(bytes(map(byte.__getitem__, p.removesuffix(end))), i, p.endswith(end)) for i, p in enumerate(self.pieces) if i not in outside]
+        self.length = [0] * len(self.pieces)
+        for piece, i, _ in tokens:
+            self.length[i] = len(piece)
+        self.tokens = TokenAutomaton(tokens)
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
+        self.strings = pa.array(self.pieces, pa.string())
         self.white = regex.compile(f"[{regex.escape(WHITE)}]+")
         self.words = regex.compile(vocabulary["split"].replace(r"[^\s\p{L}\p{N}]+", rf"[^{regex.escape(WHITE)}\p{{L}}\p{{N}}]+")).findall
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves the tokens a, b side by side: no merge across their border comes before they are made."""
         x, y, below, out = a, b, len(self.pieces), None
         while out is None:
-            made = self.merged.get((x, y))
+            made = self.merged.get(x << 20 | y)
             if made is not None and made < below:
                 out = False
             elif x > y:
@@ -103,50 +145,50 @@ class TrieEncoder:
                     below, x0 = x, x
                     x = self.right[x]
                     out = True if x == x0 else None
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = out
+        self.pairs[a << 20 | b] = out
         return out
 
-    def _state(self, path: str, n: int, node: dict, states: list[int]) -> int:
-        """Last token of the encoding of the first n symbols; ``node`` is the root of the tokens that may end there."""
-        found = []
-        at = n
-        while at:
-            node = node.get(path[at - 1])
-            if node is None:
-                break
-            at -= 1
-            if "" in node:
-                found.append((at, node[""]))
-        pairs = self.pairs
-        for at, token in reversed(found):
-            if not at:
-                return token
-            apart = pairs.get((states[at], token))
-            if apart or apart is None and self._apart(states[at], token):
-                return token
-        raise ValueError(f"no token for {path[:n]!r}")
-
-    def traverse(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each word, by one traversal of the trie of all of them."""
-        out: dict[str, list[int]] = {}
-        states, before = [0], ""
-        for path, word in sorted(("".join(map(self.alphabet.__getitem__, w.encode())), w) for w in words):
+    def traverse(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of each word, by one traversal of the trie of all of them."""
+        out: dict[str, bytes] = {}
+        goto, fail, inner, final = self.tokens.goto, self.tokens.fail, self.tokens.inner, self.tokens.final
+        get, length, packed, kept, apart = goto.get, self.length, self.packed, self.pairs, self._apart
+        states, nodes, before = [0], [0], b""
+        for path, word in sorted((w.encode(), w) for w in words):
             n, shared = len(path), 0
             top = min(len(states) - 1, n - 1)
             while shared < top and path[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for k in range(shared + 1, n):
-                states.append(self._state(path, k, self.inner, states))
-            token = self._state(path, n, self.final, states)
-            ids, at = [token], n - self.length[token]
+            del states[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
+            for k in range(shared, n):
+                byte = path[k]
+                to = get(node << 8 | byte)
+                while to is None:
+                    node = fail[node]
+                    to = get(node << 8 | byte)
+                node = to
+                k += 1
+                # the last token is the longest that ends here and stays apart from the last token before it
+                for size, token in inner[node] if k < n else final[node]:
+                    if size == k:
+                        break
+                    pair = states[k - size] << 20 | token
+                    if kept[pair] if pair in kept else apart(pair >> 20, token):
+                        break
+                else:
+                    raise ValueError(f"no token for {path[:k]!r}")
+                if k < n:
+                    nodes.append(node)
+                    states.append(token)
+            ids, at = [packed[token]], n - length[token]
             while at:
                 token = states[at]
-                ids.append(token)
-                at -= self.length[token]
-            out[word] = ids[::-1]
+                ids.append(packed[token])
+                at -= length[token]
+            out[word] = b"".join(ids[::-1])
             before = path
         return out
 
@@ -154,11 +196,14 @@ class TrieEncoder:
         """Keeps the packed ids of stretches without white space, each of which has some words."""
         split = {}
         for s in stretches:
-            t = s if s.isascii() else unicodedata.normalize("NFC", s).replace("\u03a3", "\u03c3")
-            split[s] = self.words(t.lower())
+            if s.isascii():
+                t = s.lower()
+                split[s] = (t,) if t.isalpha() else self.words(t)
+            else:
+                split[s] = self.words(unicodedata.normalize("NFC", s).replace("\u03a3", "\u03c3").lower())
         ids = self.traverse({w for ws in split.values() for w in ws})
         for s, ws in split.items():
-            self.known[s] = b"".join(np.array(ids[w], "<u4").tobytes() for w in ws)
+            self.known[s] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
 
     def _stretches(self, text: str) -> list[str]:
         return self.white.split(text) if any(c in text for c in SEPARATORS) else text.split()
@@ -174,22 +219,32 @@ class TrieEncoder:
             at = m.end()
         return out + self._stretches(text[at:])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids (little-endian unsigned 32-bit numbers) of each text."""
         parts = [self._parts(t) for t in texts]
         wanted = set().union(*parts)
-        for i in self.special.values():
-            self.known[i] = np.array([i], "<u4").tobytes()
         fresh = wanted.difference(self.known)
         if len(self.known) + len(fresh) > MEMORY:
-            self.known = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-            fresh = wanted.difference(self.known)
-        self.learn(fresh)
-        known = self.known
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+            self.older, self.known, fresh = self.known, {}, wanted
+        older, known = self.older, self.known
+        known.update((s, older[s]) for s in fresh if s in older)
+        known.update((i, self.packed[i]) for i in self.special.values())
+        self.learn(s for s in fresh if s not in known)
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def decode(self, ids: list[bytes | None]) -> pa.Array:
+        """The texts of packed ids: pieces with a space between them, as the file names no decoder."""
+        ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
+        pieces = self.strings.take(pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<u4")))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+        return pc.if_else(pa.array([x is not None for x in ids], pa.bool_()), pc.binary_join(lists, " "), None)
+
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Pieces with a space between them: the file names no decoder."""
-        return " ".join(map(self.pieces.__getitem__, ids.tolist()))
+def _coder(vocabulary: dict, specials: bool = True) -> TrieEncoder:
+    """The coder of a worker, kept with the broadcast vocabulary for the tasks to come."""
+    if specials not in (kept := vocabulary.setdefault("coders", {})):
+        kept[specials] = TrieEncoder(vocabulary, specials)
+    return kept[specials]
 
 
 def encode(docs: DataFrame, tokenizer: str, *, decode: bool = False, specials: bool = True) -> DataFrame:
@@ -200,15 +255,13 @@ def encode(docs: DataFrame, tokenizer: str, *, decode: bool = False, specials: b
         schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieEncoder(packed.value, specials)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-                if decode:
-                    columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        coder = _coder(packed.value, specials)
+        for part in slices(batches, 1, SLICE, SLICE_BYTES):
+            ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
+            columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decode:
+                columns.append(coder.decode(ids))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -219,9 +272,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     schema = encoded.select("doc_id").schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieEncoder(packed.value)
-        for batch in batches:
-            texts = [None if x is None else coder.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+        coder = _coder(packed.value)
+        for part in slices(batches, 1, SLICE, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column(0), coder.decode(part.column(1).to_pylist())], names=schema.names)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe_trie
-from ._shared import saved, scratch
+from ._shared import saved, scratch, slices
 
 BLOCK = 1 << 20
 
@@ -38,26 +38,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, eod: int, *, w
     schema = docs.select("doc_id").schema.add("file", "string").add("ordinal", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe_trie.TrieEncoder(packed.value, specials=False)
+        coder = bpe_trie._coder(packed.value, False)
         if len(coder.pieces) > 1 << 8 * width or eod >= 1 << 8 * width:
             raise ValueError(f"ids do not fit into {width} bytes")
         system, root = fs.FileSystem.from_uri(path)
         out, end = None, np.array([eod], f"<u{width}").tobytes()
         try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, bpe_trie.SLICE):
-                    part = batch.slice(at, bpe_trie.SLICE)
-                    if out is None or size >= file_bytes:
-                        if out is not None:
-                            out.close()
-                        name, size, n = f"tokens-{uuid.uuid4().hex}.bin", 0, 0
-                        out = system.open_output_stream(f"{root}/{name}", compression=None)
-                    ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                    data = b"".join(x.astype(f"<u{width}").tobytes() + end for x in ids)
-                    out.write(data)
-                    size += len(data)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(ids)), pa.array(range(n, n + len(ids)), pa.int64())], names=schema.names)
-                    n += len(ids)
+            for part in slices(batches, 1, bpe_trie.SLICE, bpe_trie.SLICE_BYTES):
+                if out is None or size >= file_bytes:
+                    if out is not None:
+                        out.close()
+                    name, size, n = f"tokens-{uuid.uuid4().hex}.bin", 0, 0
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
+                ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                data = b"".join(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in ids)
+                out.write(data)
+                size += len(data)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(ids)), pa.array(range(n, n + len(ids)), pa.int64())], names=schema.names)
+                n += len(ids)
         finally:
             if out is not None:
                 out.close()
