@@ -9,34 +9,39 @@ The model is three tables in the shared folder: words (word, count), pairs (in b
 words), contexts (context, norm, back-off weight). Scoring follows the recursion token by token: the pair if it was seen,
 else the weight of the context times the word. Tokens travel once, as packed numbers, to the bucket of their pair, where
 its count and the count of its second word are found by binary search; the terms of a context are added there if it is
-frequent, else in a join on contexts.
+frequent, else in a join on contexts. What a bucket finds for a slice of texts travels back packed, to be added up per
+slice.
 
-What is frequent has a proven bound. The HOT words of highest count go to all tasks (12 bytes each). Pairs that make up
+What is frequent has a proven bound. At most HOT words of highest count go to all tasks (32 bytes each). Pairs that make up
 more than 1/HOT_PAIRS of all tokens, of which there are fewer than HOT_PAIRS, go to all tasks and are scored in place;
 so no bucket gets more than its share plus 1/HOT_PAIRS of the tokens, and a pair whose second word is frequent is
 bucketed by the pair, else by the word.
 
+A slice is named by a hash of what is in it, so a task that is run again names its slices alike if it reads its rows in
+the same order, as it does from files; write other inputs of ``score`` to a table first.
+
 Defined cases: a null text counts as empty and consists of its end; a null doc_id is hashed as "". Equal rows get equal
 scores. Without training rows every token is unknown and scores log10(1). Words and pairs are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix, saved, split_words, word_hashes
+from ._shared import mix, plain_object, saved, slices, split_words, word_hashes
 
-HOT = 1 << 18
+HOT = 1 << 19
 HOT_PAIRS = 1 << 16
 BUCKET_TOKENS = 1_500_000
 DISCOUNTED = 5
-SLICE = 1024
+SLICE, SLICE_BYTES = 4096, 4 << 20
 FLUSH = 1_000_000
 END = np.uint64(2)
 RARE = np.uint64(1 << 63)
@@ -69,13 +74,16 @@ def _code(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(v.view(np.uint64)) + np.uint64(3) * w.view(np.uint64))
 
 
-def hashed_sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all tokens (words in lower case, then one end per text), and each text's first position (n + 1)."""
+def sequences(texts: pa.Array, ids: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all tokens (words in lower case, then one end per text), and each text's first position (n + 1).
+
+    ``ids`` gets the hashes of distinct words and the end."""
     words, ends = split_words(texts)
     n = len(ends) - 1
-    out = np.empty(len(words) + n, np.uint64)
-    out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(ends))] = word_hashes(words, lower=True)
-    out[ends[1:] + np.arange(n)] = END
+    coded = words.dictionary_encode()
+    known = ids(np.append(word_hashes(coded.dictionary, lower=True), END))
+    out = np.full(len(words) + n, known[-1])
+    out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(ends))] = known[coded.indices.to_numpy()]
     return out, ends + np.arange(n + 1)
 
 
@@ -92,12 +100,11 @@ class Words:
         return np.where(hot, at.astype(np.uint64), hashes | RARE).view(np.int64)
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Context and token of every token, and the number of its text."""
-        hashes, first = hashed_sequences(texts)
-        w = self.ids(hashes)
+        """Context and token of every token, and each text's first position (n + 1)."""
+        w, first = sequences(texts, self.ids)
         v = np.roll(w, 1)
         v[first[:-1]] = self.start
-        return v, w, np.repeat(np.arange(len(first) - 1), np.diff(first))
+        return v, w, first
 
     def bucket(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         code = np.where(w >= 0, _code(v, w), mix(w.view(np.uint64)))
@@ -111,20 +118,25 @@ def _table(columns: dict[str, object]) -> pa.RecordBatch:
 def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys (rows of parallel columns), in order, with their summed counts."""
+    """Distinct keys (rows of parallel columns) with their summed counts. Keys of 31 bits each are sorted as one number."""
+    if len(keys) == 2:
+        low = (keys[0] >= 0) & (keys[1] >= 0) & (keys[0] < 1 << 31) & (keys[1] < 1 << 31)
+        if low.any():
+            one = keys[0][low] << 31 | keys[1][low]
+            order = np.argsort(one)
+            one = one[order]
+            at = np.flatnonzero(np.diff(one, prepend=-1))
+            rest, more = _summed([np.append(k[~low], -1) for k in keys], np.append(counts[~low], 0))
+            sums = np.add.reduceat(counts[low][order], at)
+            some = more > 0
+            return [np.append(a, b[some]) for a, b in zip((one[at] >> 31, one[at] & (1 << 31) - 1), rest, strict=True)], np.append(sums, more[some])
     order = np.lexsort(keys)
     keys = [k[order] for k in keys]
     new = np.zeros(len(order), bool)
@@ -158,8 +170,8 @@ def count_words(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in _slices(batches):
-            held.append(hashed_sequences(part.column(0))[0])
+        for part in slices(batches, 0, SLICE, SLICE_BYTES):
+            held.append(sequences(part.column(0), lambda x: x)[0])
             size += len(held[-1])
             if size >= FLUSH:
                 w, c = np.unique(np.concatenate(held), return_counts=True)
@@ -180,14 +192,18 @@ class Katz:
         self.words = count_words(train)
         self.tokens, self.types = (x or 0 for x in self.words.agg(F.sum("n"), F.count("*")).first())
         few = dict(self.words.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect())
+        level = F.floor(16 * F.log2("n")).cast("int")
+        levels, least = dict(self.words.groupBy(level).count().collect()), 0  # at most 1024 rows
+        while sum(k for x, k in levels.items() if x >= least) > HOT:
+            least += 1
         self.d1 = good_turing(few)
         self.unknown = sum((1 - self.d1[r]) * r * few.get(r, 0) for r in range(1, DISCOUNTED + 1)) / max(1, self.tokens)
         self.mass = self.tokens
         if self.unknown <= 0:
             self.mass, self.unknown = self.tokens + 1, 1 / (self.tokens + 1)
-        top = self.words.orderBy(F.desc("n"), "word").limit(HOT).toPandas()
-        self.hot = Words(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), max(12, self.tokens // BUCKET_TOKENS))
-        self.sent = spark.sparkContext.broadcast(self.hot)
+        top = self.words.where(level >= least).toArrow()
+        self.hot = Words(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), max(12, self.tokens // BUCKET_TOKENS))
+        self.sent = spark.sparkContext.broadcast(vars(self.hot))
         self.pairs = self._count_pairs(train)
         few = dict(self.pairs.mapInArrow(_few_counts, "n long, k long").groupBy("n").agg(F.sum("k")).collect())
         self.d2 = good_turing(few)
@@ -203,7 +219,7 @@ class Katz:
         sent = self.sent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hot = sent.value
+            hot = plain_object(Words, sent.value)
             for batch in batches:
                 w = hot.ids(batch.column(0).to_numpy().view(np.uint64))
                 rare = w < 0
@@ -224,15 +240,15 @@ class Katz:
                 yield _table({"bucket": pa.array([b], pa.int32()), "v": [_pack(v[at])], "w": [_pack(w[at])], "n": [_pack(c[at])]})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-            for part in _slices(batches):
-                held.append(sent.value.pairs(part.column(0))[:2])
+            held, size, hot = [], 0, plain_object(Words, sent.value)
+            for part in slices(batches, 0, SLICE, SLICE_BYTES):
+                held.append(hot.pairs(part.column(0))[:2])
                 size += len(held[-1][0])
                 if size >= FLUSH:
-                    yield from flush(held, sent.value)
+                    yield from flush(held, hot)
                     held, size = [], 0
             if held:
-                yield from flush(held, sent.value)
+                yield from flush(held, hot)
 
         def merge(group: pa.Table) -> pa.Table:
             is_pair = group.column("v").is_valid()
@@ -251,18 +267,17 @@ class Katz:
         counts = self.hot.counts
         return np.where(w >= 0, counts[np.clip(w, 0, max(0, len(counts) - 1))] if len(counts) else 0, rare)
 
-    def _light(self) -> Katz:
-        """What the tasks need: without DataFrames and broadcast variables."""
-        out = object.__new__(Katz)
-        out.__dict__ = {k: x for k, x in self.__dict__.items() if k not in ("words", "pairs", "contexts", "sent", "own")}
-        return out
+    def _state(self) -> dict:
+        """What the tasks need, in plain arrays and numbers: they rebuild the model with ``_model``."""
+        out = {k: x for k, x in vars(self).items() if k not in ("words", "pairs", "contexts", "sent")}
+        return out | {"hot": vars(self.hot)}
 
     def _contexts(self) -> DataFrame:
         """Table contexts: context, logs of its norm and of its back-off weight."""
-        model = self.pairs.sparkSession.sparkContext.broadcast(self._light())
+        model = self.pairs.sparkSession.sparkContext.broadcast(self._state())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = model.value
+            m = _model(model.value)
             for batch in batches:
                 for row in batch.to_pylist():
                     v, w, n, rw, rn = (_unpack(row[k], "<i8") for k in ("v", "w", "n", "rw", "rn"))
@@ -283,8 +298,8 @@ class Katz:
     def _frequent(self) -> None:
         """Takes in the contexts that are hot words (or the start) and the pairs of more than 1/HOT_PAIRS of the tokens."""
         self.norm, self.weight = np.zeros(self.hot.start + 1), np.zeros(self.hot.start + 1)
-        own = self.contexts.where(F.col("v") >= 0).toPandas()
-        self.norm[own["v"]], self.weight[own["v"]] = own["norm"], own["weight"]
+        own = self.contexts.where(F.col("v") >= 0).toArrow()
+        self.norm[own["v"].to_numpy()], self.weight[own["v"].to_numpy()] = own["norm"].to_numpy(), own["weight"].to_numpy()
         least = self.tokens / HOT_PAIRS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,74 +309,76 @@ class Katz:
                     on = n > max(least, 1)
                     yield _table({"v": v[on], "w": w[on], "n": n[on]})
 
-        top = self.pairs.select("v", "w", "n").mapInArrow(run, "v long, w long, n long").where("v >= 0 and w >= 0").toPandas()
-        codes = _code(top["v"].to_numpy(np.int64), top["w"].to_numpy(np.int64))
+        top = self.pairs.select("v", "w", "n").mapInArrow(run, "v long, w long, n long").where("v >= 0 and w >= 0").toArrow()
+        codes = _code(top["v"].to_numpy(), top["w"].to_numpy())
         order = np.argsort(codes)
-        self.top_codes, n = codes[order], top["n"].to_numpy(np.int64)[order]
-        self.top_scores = _log(_factor(self.d2, n) * n) - self.norm[top["v"].to_numpy(np.int64)[order]]
+        self.top_codes, n = codes[order], top["n"].to_numpy()[order]
+        self.top_scores = _log(_factor(self.d2, n) * n) - self.norm[top["v"].to_numpy()[order]]
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score and score of every row of ``docs``."""
-        model = docs.sparkSession.sparkContext.broadcast(self._light())
-        rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("node"), "text")
-        kinds = "bucket int, v binary, w binary, n binary, rw binary, rn binary, o binary, nodes binary"
+        model = docs.sparkSession.sparkContext.broadcast(self._state())
+        kinds = "bucket int, slice long, o binary, v binary, w binary, n binary, rw binary, rn binary"
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = model.value
-            for part in _slices(batches):
-                nodes = part.column(0).to_numpy()
-                v, w, o = m.hot.pairs(part.column(1))
+            m, none = _model(model.value), pa.array([None], pa.binary())
+            for part in slices(batches, 1, SLICE, SLICE_BYTES):
+                v, w, first = m.hot.pairs(part.column(1))
+                size = np.diff(first)
+                o = np.repeat(np.arange(len(size)), size)
                 hot = w >= 0
                 c = m.hot.counts[w[hot]] if len(m.hot.counts) else w[hot]
-                known = np.bincount(o[hot], c > 0, len(nodes))
-                base = np.bincount(o[hot], m.base(c), len(nodes))
+                known = np.bincount(o[hot], c > 0, len(size)).astype(np.int64)
+                base = np.bincount(o[hot], m.base(c), len(size))
                 codes = _code(v, w)
                 at = np.minimum(np.searchsorted(m.top_codes, codes), max(0, len(m.top_codes) - 1))
                 top = m.top_codes[at] == codes if len(m.top_codes) else np.zeros(len(w), bool)
-                score = np.bincount(o[top], m.top_scores[at[top]], len(nodes)) if top.any() else np.zeros(len(nodes))
-                size = np.bincount(o, minlength=len(nodes)).astype(np.int64)
-                # of the texts themselves: sums so far (columns v, w, n, rw, rn)
-                for b, k in _parts((nodes.view(np.uint64) % np.uint64(m.hot.buckets)).astype(np.int32)):
-                    values = (size, known.astype(np.int64), base, score)
-                    yield _table({"bucket": pa.array([b], pa.int32()), **{n: [_pack(x[k])] for n, x in zip(("v", "w", "n", "rw"), values, strict=True)}, "rn": pa.array([None], pa.binary()), "o": pa.array([None], pa.binary()), "nodes": [_pack(nodes[k])]})
-                v, w, o, packed = v[~top], w[~top], o[~top], _pack(nodes)
+                score = np.bincount(o[top], m.top_scores[at[top]], len(size)) if top.any() else np.zeros(len(size))
+                ids = _ids_bytes(part.column(0))
+                name = np.uint64(xxhash.xxh3_64_intdigest(b"".join((ids, first.tobytes(), w.tobytes())))).view(np.int64)
+                # of the texts themselves: sizes, sums so far and ids, in the columns v, w, n, rw and rn
+                values = {k: [_pack(x)] for k, x in (("v", size.astype(np.int64)), ("w", known), ("n", base), ("rw", score))}
+                yield _table({"bucket": pa.array([int(name) % m.hot.buckets], pa.int32()), "slice": [name], "o": none, **values, "rn": pa.array([ids], pa.binary())})
+                v, w, o = v[~top], w[~top], o[~top]
                 for b, k in _parts(m.hot.bucket(v, w)):
-                    none = pa.array([None], pa.binary())
-                    yield _table({"bucket": pa.array([b], pa.int32()), "v": [_pack(v[k])], "w": [_pack(w[k])], "n": none, "rw": none, "rn": none, "o": [_pack(o[k].astype("<u2"))], "nodes": [packed]})
+                    steps = np.diff(o[k], prepend=0).astype("<u2")
+                    yield _table({"bucket": pa.array([b], pa.int32()), "slice": [name], "o": [_pack(steps)], "v": [_pack(v[k])], "w": [_pack(w[k])], "n": none, "rw": none, "rn": none})
 
         def meet(group: pa.Table) -> pa.Table:
-            return model.value.meet(group)
-
-        sent = rows.select("node", "text").mapInArrow(send, kinds)
-        table = self.pairs.select("*", F.lit(None).cast("binary").alias("o"), F.lit(None).cast("binary").alias("nodes"))
-        met = sent.union(table).groupBy("bucket").applyInArrow(meet, "node long, v long, copies long, size long, known long, base double, score double, hits long, misses long")
-        sums = [F.sum(c).alias(c) for c in ("copies", "size", "known", "base", "score", "hits", "misses")]
-        met = saved(met.groupBy("node", "v").agg(*sums), "token-sums")
-        late = met.where("v is not null").join(self.contexts, "v", "left")
-        late = late.select("node", F.lit(0).alias("copies"), "size", "known", "base", (F.col("score") + F.coalesce(F.col("misses") * F.col("weight") - F.col("hits") * F.col("norm"), F.lit(0.0))).alias("score"))
-        total = met.where("v is null").select("node", "copies", "size", "known", "base", "score").union(late)
-        total = total.groupBy("node").agg(*sums[:5])
-        each = lambda c: F.col(c) / F.col("copies")
-        out = rows.select("doc_id", "node").join(total, "node")
-        return out.select("doc_id", each("size").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), each("base").alias("base_score"), each("score").alias("score"))
+            return _model(model.value).meet(group)
+
+        sent = docs.select("doc_id", "text").mapInArrow(send, kinds)
+        table = self.pairs.select("bucket", F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("o"), "v", "w", "n", "rw", "rn")
+        back = "slice long, o binary, size binary, known binary, base binary, score binary, ids binary"
+        met = sent.union(table).groupBy("bucket").applyInArrow(meet, back + ", at int, v long, hit boolean")
+        met = saved(met, "token-sums")
+        late = met.where("v is not null").select("slice", "at", "v", "hit").join(self.contexts, "v", "left")
+        add = F.coalesce(F.when(F.col("hit"), -F.col("norm")).otherwise(F.col("weight")), F.lit(0.0))
+        late = late.select("slice", *(F.lit(None).cast("binary").alias(k) for k in ("o", "size", "known", "base", "score", "ids")), "at", add.alias("add"))
+        packed = met.where("v is null").select("slice", "o", "size", "known", "base", "score", "ids", "at", F.lit(None).cast("double").alias("add"))
+        schema = docs.select("doc_id").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+        return packed.union(late).groupBy("slice").applyInArrow(_added_up, schema)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         """log10 of the add-one probability of a word of count c."""
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
     def meet(self, group: pa.Table) -> pa.Table:
-        """Scores the tokens of a bucket with its pairs; sums per text, and per text and context where that is rare."""
-        per_text = group.filter(pc.and_(group.column("nodes").is_valid(), group.column("o").is_null()))
-        tokens, own = group.filter(group.column("o").is_valid()), group.filter(group.column("nodes").is_null())
-        nodes = _numbers(per_text.column("nodes"), "<i8")
-        size, known = (_numbers(per_text.column(k), "<i8") for k in ("v", "w"))
-        base, score = (_numbers(per_text.column(k), "<f8") for k in ("n", "rw"))
-        zero = np.zeros(len(nodes), np.int64)
-        out = [{"node": nodes, "v": pa.nulls(len(nodes), pa.int64()), "copies": zero + 1, "size": size, "known": known, "base": base, "score": score, "hits": zero, "misses": zero}]
+        """Scores the tokens of a bucket with its pairs: packed sums per slice, and a row per token of a rare context."""
+        kinds = {"slice": pa.int64(), **dict.fromkeys(("o", "size", "known", "base", "score", "ids"), pa.binary()), "at": pa.int32(), "v": pa.int64(), "hit": pa.bool_()}
+
+        def rows(n: int, **columns) -> pa.Table:
+            return pa.table({k: pa.array(columns[k], x) if k in columns else pa.nulls(n, x) for k, x in kinds.items()})
+
+        own, others = group.filter(group.column("slice").is_null()), group.filter(group.column("slice").is_valid())
+        texts, tokens = others.filter(others.column("o").is_null()), others.filter(others.column("o").is_valid())
+        cells = lambda t, k: t.column(k).to_pylist()
+        out = [rows(texts.num_rows, slice=cells(texts, "slice"), size=cells(texts, "v"), known=cells(texts, "w"), base=cells(texts, "n"), score=cells(texts, "rw"), ids=cells(texts, "rn"))]
         if tokens.num_rows:
             v, w = (_numbers(tokens.column(k), "<i8") for k in ("v", "w"))
-            lists = [_unpack(x, "<i8") for x in tokens.column("nodes").to_pylist()]
-            owner = np.concatenate([x[_unpack(o, "<u2")] for x, o in zip(lists, tokens.column("o").to_pylist(), strict=True)])
+            places = [np.cumsum(_unpack(x, "<u2"), dtype=np.int64) for x in cells(tokens, "o")]
+            row = np.repeat(np.arange(len(places)), [len(x) for x in places])
+            o, names = np.concatenate(places), np.array(cells(tokens, "slice"), np.int64)
             pv, pw, pn, rw, rn = (_numbers(own.column(k), "<i8") for k in ("v", "w", "n", "rw", "rn"))
             codes = _code(pv, pw)
             order = np.argsort(codes)
@@ -373,20 +390,47 @@ class Katz:
             score = np.where(hit, _log(_factor(self.d2, n) * n), _log(self.chance(c)))
             place = np.where(hot, v, 0)
             score += np.where(hot, np.where(hit, -self.norm[place], self.weight[place]), 0.0)
-            base, known = np.where(rare, self.base(c), 0.0), (rare & (c > 0)).astype(np.int64)
-            for on, key in ((hot, None), (~hot, v)):
-                o, sums = owner[on], [x[on] for x in (known, base, score, hit.astype(np.int64), (~hit).astype(np.int64))]
-                order = np.lexsort((o,) if key is None else (o, key[on]))
-                o, k = o[order], None if key is None else key[on][order]
-                new = np.ones(len(o), bool)
-                new[1:] = o[1:] != o[:-1] if k is None else (o[1:] != o[:-1]) | (k[1:] != k[:-1])
-                at = np.flatnonzero(new)
-                if len(at):
-                    known_, base_, score_, hits, misses = (np.add.reduceat(x[order], at) for x in sums)
-                    zero = np.zeros(len(at), np.int64)
-                    contexts = pa.nulls(len(at), pa.int64()) if k is None else pa.array(k[at])
-                    out.append({"node": o[at], "v": contexts, "copies": zero, "size": zero, "known": known_, "base": base_, "score": score_, "hits": hits, "misses": misses})
-        return pa.concat_tables([pa.table(x) for x in out])
+            base, known = np.where(rare, self.base(c), 0.0), rare & (c > 0)
+            key = row << 16 | o  # ascending
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            known, base, score = (np.add.reduceat(x, at) for x in (known.astype(np.int64), base, score))
+            cuts = np.searchsorted(key[at] >> 16, np.arange(len(names) + 1))
+            parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = {"o": o[at].astype("<u2"), "known": known.astype("<u4"), "base": base, "score": score}
+            out.append(rows(len(names), slice=names, **{k: [_pack(x[p]) for p in parts] for k, x in columns.items()}))
+            late = ~hot
+            out.append(rows(int(late.sum()), slice=names[row[late]], at=o[late].astype(np.int32), v=v[late], hit=hit[late]))
+        return pa.concat_tables(out)
+
+
+def _ids_bytes(ids: pa.Array) -> bytes:
+    table = pa.table({"doc_id": ids})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _model(state: dict) -> Katz:
+    return plain_object(Katz, state | {"hot": plain_object(Words, state["hot"])})
+
+
+def _added_up(group: pa.Table) -> pa.Table:
+    """The rows of a slice from what the buckets found for it. Slices of equal content share a name and all sums."""
+    texts = group.filter(group.column("ids").is_valid())
+    tokens, late = group.filter(group.column("o").is_valid()), group.filter(group.column("at").is_valid())
+    copies = texts.num_rows
+    size = _unpack(texts.column("size")[0].as_py(), "<i8")
+    known = _unpack(texts.column("known")[0].as_py(), "<i8") * copies
+    base, score = (_unpack(texts.column(k)[0].as_py(), "<f8") * copies for k in ("base", "score"))
+    at = _numbers(tokens.column("o"), "<u2")
+    known = known + np.bincount(at, _numbers(tokens.column("known"), "<u4"), len(size)).astype(np.int64)
+    base, score = (x + np.bincount(at, _numbers(tokens.column(k), "<f8"), len(size)) for k, x in (("base", base), ("score", score)))
+    score = score + np.bincount(late.column("at").to_numpy(), late.column("add").to_numpy(), len(size))
+    with pa.ipc.open_stream(texts.column("ids")[0].as_py()) as stream:
+        ids = stream.read_all().column(0)
+    out = pa.table({"doc_id": ids, "n_tokens": size, "n_known": known // copies, "base_score": base / copies, "score": score / copies})
+    return pa.concat_tables([out] * copies)
 
 
 def _few_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
