@@ -1,42 +1,46 @@
 """Benchmark decontamination: a BM25 index of the test items with block-max WAND, queried with every passage.
 
-Items are indexed in blocks of neighbours. For each term the index knows its greatest impact (BM25 contribution) in each
-block. Passages are windows of every text, twice as long as the longest item and overlapping by
-half, so an item lies in one window wherever it begins. A passage is dropped when the greatest impacts of its terms add
-up to less than the thresholds of all blocks (bounds of all passages are summed at once, over at most ``GROUPS`` groups
-of blocks); otherwise only blocks are opened whose own greatest impacts reach theirs; in these the exact scores are
-computed. Bounds are never below scores, so every item above its threshold (``ratio`` of the score
-it has with itself) is retrieved. Retrieved items are verified: of the question's word five-grams and the answer's word
-pairs, ``overlap`` must occur in the passage. The answer is an item's last sentence (of a single sentence, its last
-quarter).
-
-Items go out to the tasks in chunks of at most ``CHUNK``; more items mean more passes, never a larger broadcast.
+Impacts (BM25 contributions) are divided by their item's threshold, ``ratio`` of the score it has with itself, so an item
+is retrieved where its impacts add up to 1. Items lie in blocks of neighbours, and blocks in at most ``GROUPS`` groups;
+the index has the greatest impact of each term in each block and group. Passages are windows of every text, twice as long
+as the longest item and overlapping by half, so an item lies in one window wherever it begins. The bounds of all passages
+in all groups are summed at once; only groups whose bound reaches 1 are searched, by block-max WAND: cursors over the
+posting lists of the passage's terms, a pivot where the lists' greatest impacts reach 1, blocks skipped whose own greatest
+impacts don't. Bounds are never below scores, so every item above its threshold is retrieved. Retrieved items are
+verified: of the question's word five-grams and the answer's word pairs, ``overlap`` must occur in the passage. The answer
+is an item's last sentence (of a single sentence, its last quarter).
+
+Document frequencies and lengths are counted over all items by Spark. Items go out to the tasks in chunks of about
+``CHUNK_WORDS`` words, dealt by hash; more items mean more passes, never a larger broadcast, and change no score.
 
 Defined cases: null texts and items are empty; an item without words is never found; equal items are all reported. Words
 are compared in lower case without punctuation at their ends. A row is reported once per item, with its best passage.
+Scores are multiples of the item's threshold.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from ._shared import saved, split_words
+from ._shared import plain_object, saved, slices, split_words
 
-CHUNK = 20_000
+CHUNK_WORDS = 150_000
 BLOCK = 2
 GROUPS = 128
 COMMON = 0.4
 SLACK = 1e-3  # for sums in single precision
 K1, B = 1.2, 0.75
-SLICE = 256
+SLICE, SLICE_BYTES = 256, 1 << 20
+BOUNDS = 1 << 15  # (passage, term) pairs whose bounds are summed at once, GROUPS numbers each
 BROADCAST_ROWS = 200_000
 PUNCTUATION = ".,;:!?\"'()[]{}|*#%$&<>…«»“”’"
 
@@ -65,67 +69,86 @@ def grams(words: list, n: int) -> set[tuple]:
 
 
 class Index:
-    """BM25 impacts of some items by term and block."""
+    """Impacts of some items by term and block. ``found``, ``n``, ``mean`` and ``longest`` are about all items."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float):
+    def __init__(self, items: list[tuple], ratio: float, found: dict[str, int], n: int, mean: float, longest: int):
         items = [(i, t) for i, t in items if terms_of(t)]
-        items.sort(key=lambda x: (len(terms_of(x[1])), x[0] is None, x[0] or 0))  # blocks of like length have like thresholds
+        items.sort(key=lambda x: (len(terms_of(x[1])), str(x[0]), x[1]))
         words = [terms_of(t) for _, t in items]
-        counts = [Counter(w) for w in words]
-        self.ids = [i for i, _ in items]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for c in counts for w in c}))}
-        n, mean = len(items), sum(map(len, words)) / max(1, len(items))
-        found = Counter(w for c in counts for w in c)
-        idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in found.items()}
-        self.longest = max(map(len, words), default=1)
-        self.terms, self.impacts, limits = [], [], []
-        for w, c in zip(words, counts, strict=True):
-            own = sorted(c, key=self.vocabulary.__getitem__)
-            norm = K1 * (1 - B + B * len(w) / mean)
-            self.terms.append(np.array([self.vocabulary[x] for x in own], np.int64))
-            self.impacts.append(np.array([idf[x] * c[x] * (K1 + 1) / (c[x] + norm) for x in own]))
-            limits.append(ratio * self.impacts[-1].sum())
-        self.limits = np.array(limits)
-        self.blocks = -(-n // BLOCK)
-        self.block_limits = np.array([self.limits[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
-        best: dict[tuple[int, int], float] = {}
-        for k, (t, x) in enumerate(zip(self.terms, self.impacts, strict=True)):
-            for term, impact in zip(t.tolist(), x.tolist(), strict=True):
-                best[term, k // BLOCK] = max(best.get((term, k // BLOCK), 0.0), impact)
-        keys = sorted(best)
-        self.posted = np.array([b for _, b in keys], np.int64)
-        self.posted_max = np.array([best[k] for k in keys])
-        self.first = np.searchsorted(np.array([t for t, _ in keys], np.int64), np.arange(len(self.vocabulary) + 1))
-        self.per_group = max(1, -(-self.blocks // GROUPS))
-        groups = max(1, -(-self.blocks // self.per_group))
-        self.group_max = np.zeros((len(self.vocabulary), groups), np.float32)
-        for (t, b), x in best.items():
-            self.group_max[t, b // self.per_group] = max(self.group_max[t, b // self.per_group], x)
+        self.ids, self.longest = [i for i, _ in items], longest
+        names = sorted({w for x in words for w in x})
+        self.vocabulary = {w: k for k, w in enumerate(names)}
+        self.blocks = -(-len(items) // BLOCK)
+        per_group = BLOCK * max(1, -(-self.blocks // GROUPS))
+        idf = {w: np.log(1 + (n - found[w] + 0.5) / (found[w] + 0.5)) for w in names}
+        #: by group and term: the items that have it, its impacts, and for each the greatest impact in the item's block
+        self.postings: list[dict[int, tuple[list[int], list[float], list[float]]]] = [{} for _ in range(-(-len(items) // per_group))]
+        for k, w in enumerate(words):
+            c, norm = Counter(w), K1 * (1 - B + B * len(w) / mean)
+            own = {self.vocabulary[x]: idf[x] * c[x] * (K1 + 1) / (c[x] + norm) for x in c}
+            limit = ratio * sum(own.values())
+            for t in sorted(own):
+                at, impacts, _ = self.postings[k // per_group].setdefault(t, ([], [], []))
+                at.append(k)
+                impacts.append(own[t] / limit)
+        self.group_max = np.zeros((len(names), max(1, len(self.postings))), np.float32)
+        for g, lists in enumerate(self.postings):
+            for t, (at, impacts, peaks) in lists.items():
+                best: dict[int, float] = {}
+                for k, x in zip(at, impacts, strict=True):
+                    best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
+                peaks += [best[k // BLOCK] for k in at]
+                self.group_max[t, g] = max(impacts)
         # terms of more than COMMON of the items are not summed: every passage is taken to have all of them
-        common = np.array([found[w] > COMMON * n for w in sorted(found)], bool)
+        common = np.array([found[w] > COMMON * n for w in names], bool)
         self.rare = np.append(~common, False)
-        least = [self.block_limits[g * self.per_group : (g + 1) * self.per_group].min(initial=np.inf) for g in range(groups)]
-        self.group_limits = np.array(least) - self.group_max[common].sum(axis=0)
+        self.group_limits = 1 - self.group_max[common].sum(axis=0)
         if (self.group_limits <= 0).any():  # some item is made of common terms
-            self.rare[:-1], self.group_limits = True, np.array(least)
+            self.rare[:-1], self.group_limits = True, np.ones(self.group_max.shape[1])
         parts = [question_and_answer(t) for _, t in items]
         code = lambda x: {tuple(self.vocabulary[w] for w in g) for g in x}
         self.question = [code(grams(q, 5)) for q, _ in parts]
         self.answer = [code(grams(a, 2)) for _, a in parts]
         self.sizes = [(min(5, len(q)), min(2, len(a))) for q, a in parts]
 
-    def search(self, own: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(item, score) of all items of some groups at or above their thresholds; ``own``: distinct known terms."""
-        blocks = groups
-        if self.per_group > 1:
-            at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[own], self.first[own + 1], strict=True)])
-            bounds = np.bincount(self.posted[at], self.posted_max[at], self.blocks)
-            blocks = np.flatnonzero((bounds >= self.block_limits - SLACK) & np.isin(np.arange(self.blocks) // self.per_group, groups))
-        for b in blocks:
-            for k in range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids))):
-                score = self.impacts[k][np.isin(self.terms[k], own, assume_unique=True)].sum()
-                if score >= self.limits[k] - 1e-9:
-                    yield k, float(score)
+    def search(self, own: list[int], group: int) -> Iterator[tuple[int, float]]:
+        """(item, score) of all items of a group whose score reaches 1; ``own``: distinct known terms. Block-max WAND."""
+        lists = self.postings[group]
+        cursors = [[0, *lists[t], float(self.group_max[t, group]) + SLACK / 100] for t in own if t in lists]
+        while True:
+            cursors = [c for c in cursors if c[0] < len(c[1])]
+            cursors.sort(key=lambda c: c[1][c[0]])
+            bound, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                bound += c[4]
+                if bound >= 1:
+                    pivot = k
+                    break
+            if pivot is None:
+                return
+            item = cursors[pivot][1][cursors[pivot][0]]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == item:
+                pivot += 1
+            first, upto = item // BLOCK * BLOCK, item // BLOCK * BLOCK + BLOCK
+            peaks = 0.0
+            for at, items, _, best, _ in cursors[: pivot + 1]:
+                k = bisect_left(items, first, at)
+                if k < len(items) and items[k] < upto:
+                    peaks += best[k]
+            if peaks < 1 - 1e-9:  # nothing in this block before another list joins in
+                if pivot + 1 < len(cursors):
+                    upto = min(upto, cursors[pivot + 1][1][cursors[pivot + 1][0]])
+                for c in cursors[: pivot + 1]:
+                    c[0] = bisect_left(c[1], upto, c[0])
+            elif cursors[0][1][cursors[0][0]] == item:
+                score = sum(c[2][c[0]] for c in cursors[: pivot + 1])
+                if score >= 1 - 1e-9:
+                    yield item, score
+                for c in cursors[: pivot + 1]:
+                    c[0] += 1
+            else:
+                for c in cursors[:pivot]:
+                    c[0] = bisect_left(c[1], item, c[0])
 
     def verify(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's grams that occur in the passage."""
@@ -157,27 +180,43 @@ def _search_texts(index: Index, texts: pa.Array, overlap: float) -> list[dict[in
     window = np.concatenate((np.minimum(stretch, count[owner] - 1), np.maximum(stretch - 1, 0))) + np.tile(first[owner], 2)
     keys = np.unique(window * unknown + np.tile(ids[at], 2))
     window, term = keys // max(1, unknown), keys % max(1, unknown)
-    begin = np.flatnonzero(np.diff(window, prepend=-1))
-    if not len(begin):
-        return out
-    bounds = np.add.reduceat(index.group_max[term], begin, axis=0)
-    likely = bounds >= index.group_limits - SLACK
-    begin = np.append(begin, len(keys))
-    for k in np.flatnonzero(likely.any(axis=1)):
-        w = window[begin[k]]
-        text = int(np.searchsorted(first, w, side="right")) - 1
-        start = ends[text] + (w - first[text]) * step
-        passage = ids[start : min(start + 2 * step, ends[text + 1])]
-        own = np.unique(passage)
-        for item, score in index.search(own[own < unknown], np.flatnonzero(likely[k])):
-            question, answer = index.verify(item, passage)
-            if question >= overlap and answer >= overlap:
-                known = out[text].get(item)
-                if known is None or (score, question, answer) > known:
-                    out[text][item] = score, question, answer
+    begin = np.append(np.flatnonzero(np.diff(window, prepend=-1)), len(keys))
+    a = 0
+    while a < len(begin) - 1:
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + BOUNDS, side="right")) - 1)
+        bounds = np.add.reduceat(index.group_max[term[begin[a] : begin[b]]], begin[a:b] - begin[a], axis=0)
+        likely = bounds >= index.group_limits - SLACK
+        for k in np.flatnonzero(likely.any(axis=1)):
+            w = window[begin[a + k]]
+            text = int(np.searchsorted(first, w, side="right")) - 1
+            start = ends[text] + (w - first[text]) * step
+            passage = ids[start : min(start + 2 * step, ends[text + 1])]
+            own = np.unique(passage)
+            own = own[own < unknown].tolist()
+            for group in np.flatnonzero(likely[k]):
+                for item, score in index.search(own, int(group)):
+                    question, answer = index.verify(item, passage)
+                    if question >= overlap and answer >= overlap:
+                        known = out[text].get(item)
+                        if known is None or (score, question, answer) > known:
+                            out[text][item] = score, question, answer
+        a = b
     return out
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, number of words and distinct terms of every item that has words."""
+    schema = benchmark.select("item_id").schema.add("text", "string").add("n", "long").add("terms", ArrayType(StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [terms_of(x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in terms], pa.int64()), pa.array([sorted(set(x)) for x in terms], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return saved(benchmark.select("item_id", "text").mapInArrow(run, schema).where("n > 0"), "items")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """doc_id, node (hash of the text), item_id, score and overlaps for each text and each test item in it."""
     spark = docs.sparkSession
@@ -188,20 +227,25 @@ def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap:
         schema = schema.add(name, "double")
     kinds = [f.dataType for f in schema]
     out = spark.createDataFrame([], schema)
-    items = ((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator())
-    while chunk := list(islice(items, CHUNK)):
-        sent = spark.sparkContext.broadcast(Index(chunk, ratio))
+    items = _items(benchmark)
+    n, total, longest = items.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    chunks = -(-(total or 0) // CHUNK_WORDS)
+    terms = items.select("item_id", "text", F.explode("terms").alias("term"))
+    found = saved(terms.groupBy("term").agg(F.count("*").alias("found")), "terms")
+    for chunk in range(chunks):
+        mine = F.pmod(F.xxhash64("text"), F.lit(chunks)) == chunk
+        own = [(r["item_id"], r["text"]) for r in items.where(mine).collect()]  # about CHUNK_WORDS words
+        counts = dict(terms.where(mine).select("term").distinct().join(found, "term").collect())
+        sent = spark.sparkContext.broadcast(vars(Index(own, ratio, counts, n, total / n, longest)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    ids, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    hits = _search_texts(index, part.column(2), overlap)
-                    if found := [(ids[r], nodes[r], index.ids[k], *x) for r, own in enumerate(hits) for k, x in sorted(own.items())]:
-                        types = [part.schema.field(0).type, pa.int64(), pa.int64() if "Long" in str(kinds[2]) else None, *[pa.float64()] * 3]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*found, strict=True)), types, strict=True)], names=schema.names)
+            index = plain_object(Index, sent.value)
+            for part in slices(batches, 2, SLICE, SLICE_BYTES):
+                ids, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
+                hits = _search_texts(index, part.column(2), overlap)
+                if rows := [(ids[r], nodes[r], index.ids[k], *x) for r, own in enumerate(hits) for k, x in sorted(own.items())]:
+                    types = [part.schema.field(0).type, pa.int64(), pa.int64() if "Long" in str(kinds[2]) else None, *[pa.float64()] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), types, strict=True)], names=schema.names)
 
         out = out.union(rows.mapInArrow(run, schema))
     return out
