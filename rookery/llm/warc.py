@@ -1,7 +1,8 @@
 """Sharded WARC writer and reader.
 
 ``write_archive`` sorts records by page id into ranges, one shard per range. The ranges come from an exact histogram of
-payload bytes, not from sampling, so equal input gives equal files. Inside a shard, files roll at a compressed size;
+payload bytes, not from sampling, so equal input gives equal files; bins that hold much are split until they are one id,
+and the rows of one id (or none) by digest, so neither outlying ids nor null ones crowd a shard. Inside a shard, files roll at a compressed size;
 every record is a gzip member of its own. Payloads are shuffled once: which rows revisit an earlier payload is worked
 out on digests alone, and these decisions travel in the same range sort, in front of the rows they are about.
 
@@ -11,7 +12,8 @@ archive exists once ``_manifest`` is written.
 
 Defined cases: a null payload is an empty one, a null url an empty one. Null page ids come last. Rows that share page id
 and payload: the first by url is the response, the others revisit that page id. With ``min_revisit_bytes`` = 0 empty
-payloads revisit as well. An empty table gives an archive without files. Extra columns are ignored.
+payloads revisit as well. An empty table gives an archive without files. Extra columns are ignored. An archive that
+exists is not written over: that is an error before any work.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import saved, scratch
 
-HISTOGRAM_BINS = 1 << 14
+BIN_BITS = 14
 MANIFEST = "file string, temp string, records long, bytes long, sha256 string, first_page long, last_page long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string"
 
@@ -93,19 +95,56 @@ class _Roller:
             yield self.file, self.temp, self.n, self.size, self.sha.hexdigest(), self.first, self.last
 
 
-def _ranges(light: DataFrame, min_shards: int, shard_bytes: int) -> tuple[DataFrame, int, tuple]:
-    """(bin, shard) of the histogram over page ids, the number of shards, and the least id and width of a bin."""
-    spark = light.sparkSession
-    lo, hi, total = light.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)).first()
-    lo, total = lo or 0, total or 0
-    width = max(1, -(-((hi or 0) - lo + 1) // HISTOGRAM_BINS))
-    sums = light.where("page_id is not null").groupBy(F.expr(f"(page_id - {lo}L) div {width}L").alias("bin")).agg(F.sum(F.col("size") + 512).alias("n"))
-    shards = max(min_shards, -(-total // shard_bytes))
-    done, rows = 0, []
-    for b, n in sorted(sums.collect()):  # at most HISTOGRAM_BINS rows
-        rows.append((b, min(shards - 1, done * shards // max(1, total))))
+def _ranges(light: DataFrame, shards: int, total: int) -> list[tuple[list[str], DataFrame]]:
+    """Tables (keys, shard), and the keys to look a row's shard up by, coarse ones first; each row is in one table.
+
+    Keys are leading bits of the page id; where a bin holds more than a quarter of a shard, more bits; last the digest's.
+    """
+    spark, most = light.sparkSession, max(1, total // (4 * shards))
+    sized = light.select("page_id", _lead("digest").alias("lead"), (F.col("size") + 512).alias("n"))
+    lo, hi = sized.agg(F.min("page_id"), F.max("page_id")).first()
+    found: list[tuple[tuple, tuple, int, int]] = []  # what it is sorted by, its keys, bytes, its table
+    bits, shift, rows, tables = BIN_BITS, 0, sized.where("page_id is not null"), []
+    while lo is not None and (hi >> shift) - (lo >> shift) >= 1 << BIN_BITS:
+        shift += 1
+    while lo is not None:
+        at = F.shiftright("page_id", shift)
+        tables.append(([f"shiftright(page_id, {shift})"], "k0 long"))
+        sums = rows.groupBy(at.alias("k")).agg(F.sum("n").alias("n")).collect()  # at most 2 ** BIN_BITS rows, times 2
+        heavy = [k for k, n in sums if n > most]
+        found += [((0, k << shift, 0), (k,), n, len(tables) - 1) for k, n in sums if n <= most]
+        if not heavy:
+            break
+        rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in heavy], "k long")), at == F.col("k"), "left_semi")
+        if not shift:
+            break
+        bits = max(1, BIN_BITS - (len(heavy) - 1).bit_length())
+        shift = max(0, shift - bits)
+    else:
+        heavy = []
+    alone = rows if heavy else rows.limit(0)
+    alone = alone.union(sized.where("page_id is null"))
+    tables.append((["page_id", "lead"], "k0 long, k1 int"))
+    for k, lead, n in alone.groupBy("page_id", "lead").agg(F.sum("n")).collect():  # 4096 rows for each heavy id
+        found.append(((int(k is None), k or 0, lead), (k, lead), n, len(tables) - 1))
+    shard_of: list[list[tuple]] = [[] for _ in tables]
+    done = 0
+    for _, keys, n, table in sorted(found, key=lambda x: x[0]):
+        shard_of[table].append((*keys, min(shards - 1, done * shards // max(1, total))))
         done += n
-    return spark.createDataFrame(rows, "bin long, shard int"), shards, (lo, width)
+    return [(keys, spark.createDataFrame(own, f"{kinds}, s int")) for (keys, kinds), own in zip(tables, shard_of, strict=True) if own]
+
+
+def _lead(digest: str) -> Column:
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+
+
+def _with_shard(rows: DataFrame, ranges: list[tuple[list[str], DataFrame]]) -> DataFrame:
+    out = rows.withColumns({"lead": _lead("digest"), "shard": F.lit(None).cast("int")})
+    for keys, table in ranges:
+        on = [F.expr(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
+        out = out.join(F.broadcast(table), on, "left").withColumn("shard", F.coalesce("shard", "s")).drop("s", *(f"k{i}" for i in range(len(keys))))
+    return out.drop("lead")
 
 
 def write_archive(
@@ -122,16 +161,20 @@ def write_archive(
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     sha = F.sha1(F.col("html").cast("binary"))
+    system, root = fs.FileSystem.from_uri(path)
+    if system.get_file_info(f"{root}/_manifest").type != fs.FileType.NotFound:
+        raise FileExistsError(path)
     light = saved(rows.select("page_id", sha.alias("digest"), F.octet_length("html").cast("long").alias("size")), "warc-digests")
-    bins, shards, (lo, width) = _ranges(light, min_shards, shard_bytes)
+    total = light.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(0))).first()[0]
+    shards = max(min_shards, -(-total // shard_bytes))
+    ranges = _ranges(light, shards, total)
     big = light.where(F.col("size") >= min_revisit_bytes)
     first = big.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
     revisits = big.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest", "original").distinct()
     none = lambda kind: F.lit(None).cast(kind)
     both = revisits.select("page_id", F.lit(0).alias("kind"), "digest", none("string").alias("url"), none("string").alias("html"), "original")
     both = both.unionByName(rows.select("page_id", F.lit(1).alias("kind"), sha.alias("digest"), "url", "html", none("long").alias("original")))
-    both = both.withColumn("bin", F.expr(f"(page_id - {lo}L) div {width}L")).join(F.broadcast(bins), "bin", "left").drop("bin")
-    both = both.withColumn("shard", F.coalesce("shard", F.lit(shards - 1)))
+    both = _with_shard(both, ranges)
     both = both.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "kind", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +200,6 @@ def write_archive(
         if manifest:
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*manifest, strict=True)), strict=True)))
 
-    system, root = fs.FileSystem.from_uri(path)
     system.create_dir(f"{root}/_temporary", recursive=True)
     pending = saved(both.mapInArrow(write, MANIFEST), "warc-pending")
 
