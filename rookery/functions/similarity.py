@@ -25,7 +25,7 @@ IN_LATIN = str.maketrans(ARABIC | HEBREW | LATIN)
 def jaro_winkler_of(a: str, b: str) -> float:
     """Jaro-Winkler similarity: common prefix up to 4, scale 0.1."""
     if a == b:
-        return 1.0 if a else 0.0
+        return 1.0
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
@@ -41,7 +41,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not k:
         return 0.0
     theirs = [c for c, u in zip(b, used, strict=True) if u]
-    half = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
+    half = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
     jaro = (k / n + k / m + (k - half) / k) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, n, m))
     return jaro + prefix * 0.1 * (1 - jaro)

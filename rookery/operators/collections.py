@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import movetext as mt
-from ..functions.headers import natural_key, safe_file_name, tag
+from ..functions.headers import drop_tags, natural_key, safe_file_name, set_tag, tag, with_headers
+from .tables import saved, shared_folder
 
 SORT_KEYS = ("Event", "Site", "Date", "Round", "White", "Black", "ECO")
 CHAIN_KEYS = 1_000_000
@@ -20,7 +20,7 @@ CHAIN_KEYS = 1_000_000
 def need_checkpoints(spark: SparkSession) -> None:
     """Lets ``checkpoint`` work where the cluster names no shared folder, as in tests."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def sort_games(games: DataFrame, criteria: list[str]) -> DataFrame:
@@ -31,9 +31,11 @@ def sort_games(games: DataFrame, criteria: list[str]) -> DataFrame:
 
 
 def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """Numbers rows from 0 in the given order: sorted ranges are counted, then each adds what lies before it."""
-    part = F.spark_partition_id()
-    ranged = df.orderBy(*order).withColumn("_part", part).withColumn("_mono", F.monotonically_increasing_id())
+    """Numbers rows from 0 in the given order: sorted ranges are counted, then each adds what lies before it.
+
+    The sorted rows are written with their places, since a sort that is run again may cut its ranges elsewhere."""
+    ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    ranged = saved(ranged, "sorted")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_least"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     counts = counts.select("_part", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -89,6 +91,12 @@ def month_order(file: Column) -> list[Column]:
     return [month.isNull(), month, file]
 
 
+def add_ply_counts(games: DataFrame) -> DataFrame:
+    """``games`` with their number of plies as the last tag, PlyCount, in place of one that was there."""
+    counted = games.withColumn("_plies", mt.ply_count(F.col("movetext"), "tag").cast("string"))
+    return with_headers(counted, set_tag(drop_tags(F.col("headers"), "PlyCount"), "PlyCount", F.col("_plies"))).drop("_plies")
+
+
 def identity_hash() -> Column:
     """SHA-256 of headers, sorted by key without regard to case, and moves."""
     pairs = F.array_sort(F.transform("headers", lambda x: F.struct(F.lower(x["key"]).alias("k"), F.concat(x["key"], F.lit(":"), x["value"]).alias("t"))))
@@ -99,9 +107,8 @@ def identity_hash() -> Column:
 def first_of(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key. What is grouped is a key and an order, combined before the shuffle, so that a hot key
     costs one row per task."""
-    keyed = df.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first")).select(F.col("_first.*"))
-    return keyed.join(first, order, "left_semi").drop("_key")
+    first = df.select(*order, key.alias("_key")).groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
+    return df.join(saved(first.select(F.col("_first.*")), "first"), order, "left_semi")
 
 
 def deduplicate(games: DataFrame) -> DataFrame:

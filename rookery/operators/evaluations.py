@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import band, eval_text, length_penalty, move_quality
 
-#: Default of the swing and the deviation of a game without evaluations, and the bands of components.
+#: Default of the swing and the deviation of a game without evaluations, and the bands of the components
+#: (10th and 90th percentile, whether more is better).
 DEFAULT_SWING, DEFAULT_DEVIATION = 350.0, 220.0
-BANDS = {"swing": (20.0, 350.0, False), "forcing": (8.0, 55.0, True), "quiet": (0.0, 12.0, True), "trend": (0.0, 18.0, False), "deviation": (30.0, 220.0, False), "errors": (0.0, 10.0, False)}
+BANDS = {"soundness": (45.0, 280.0, False), "coherence": (35.0, 240.0, False), "tactics": (22.0, 56.0, True), "quiet": (0.4, 6.5, True)}
 
 
 def _game() -> Window:
@@ -82,17 +83,27 @@ def game_metrics(plies: DataFrame, full_eval: bool = False) -> DataFrame:
     )
 
 
-def elegance(metrics: DataFrame) -> DataFrame:
+def elegance(metrics: DataFrame, sacrificed: DataFrame | None = None) -> DataFrame:
     """Components soundness, coherence, tactics, quiet, length and the score 0.25 S + 0.20 C + 0.20 T + 0.30 Q - 0.05 L;
-    with evaluations for less than four fifths of the plies, S, C and Q count less."""
+    with evaluations for less than four fifths of the plies, S, C and Q count less.
+
+    S is the band of the mean swing and 25, 10 and 5 for each blunder, mistake and dubious move; C that of the deviation
+    and 18 for each break of the trend; T of the forcing share; Q of quiet improvements per hundred plies. With
+    ``sacrificed`` (see ``sacrifices``), unsound pawns cost soundness, and sound ones add to Q what unsound ones take."""
     b = lambda name, x: band(x, *BANDS[name])
-    errors = 100.0 * (3 * F.col("blunders") + 2 * F.col("mistakes") + F.col("dubiouss")) / F.col("plies")
+    swing = F.col("mean_swing") + 25 * F.col("blunders") + 10 * F.col("mistakes") + 5 * F.col("dubiouss")
+    calm = 100.0 * F.col("quiet_improvements") / F.col("plies")
+    if sacrificed is not None:
+        metrics = metrics.join(sacrificed, "game_id", "left").na.fill(0, ["sound", "unsound", "sound_cp", "unsound_cp"])
+        won, lost = F.col("sound_cp") / 100.0, F.col("unsound_cp") / 100.0
+        swing = swing + 35 * lost
+        calm = F.greatest(F.lit(0.0), calm + (0.75 * won + 0.35 * F.col("sound")) - (0.4 * lost + 0.25 * F.col("unsound")))
     share = F.col("evaluated") / F.col("plies")
     factor = F.when(share < 0.8, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (share - 0.2) / 0.6))).otherwise(F.lit(1.0))
-    s = factor * (b("swing", F.col("mean_swing")) + b("errors", errors)) / 2
-    c = factor * (b("trend", 100.0 * F.col("trend_breaks") / F.col("plies")) + b("deviation", F.col("deviation"))) / 2
-    t = b("forcing", F.col("forcing_share"))
-    q = factor * b("quiet", 100.0 * F.col("quiet_improvements") / F.col("plies"))
+    s = factor * b("soundness", swing)
+    c = factor * b("coherence", F.col("deviation") + 18 * F.col("trend_breaks"))
+    t = b("tactics", F.col("forcing_share"))
+    q = factor * b("quiet", calm)
     parts = {"soundness": s, "coherence": c, "tactics": t, "quiet": q, "length_cost": length_penalty(F.col("plies"))}
     out = metrics.select("game_id", *(F.round(x, 4).alias(k) for k, x in parts.items()))
     total = 0.25 * F.col("soundness") + 0.2 * F.col("coherence") + 0.2 * F.col("tactics") + 0.3 * F.col("quiet") - 0.05 * F.col("length_cost")

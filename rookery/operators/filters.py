@@ -111,19 +111,22 @@ def in_month(day: Column, year: int, month: int) -> Column:
 
 
 def payload_class(body: Column) -> Column:
-    """AuthRequired for a login page, NonPgn for what is no game text, else Success."""
+    """AuthRequired for a login page, NonPgn for what is no game text (it begins with a tag, names an event or a site and
+    has no page around it), else Success."""
     low = F.lower(F.coalesce(body, F.lit("")))
-    login = low.contains("<form") & low.contains("password") | low.contains("please log in")
-    return F.when(login, F.lit("AuthRequired")).when(F.coalesce(body, F.lit("")).rlike(r"(?m)^\s*\[\w+ "), F.lit("Success")).otherwise(F.lit("NonPgn"))
+    login = low.contains("login_and_go") | low.contains("/login") | low.contains("sign in")
+    page = low.contains("<html") | low.contains("<!doctype")
+    game = low.rlike("^[\\uFEFF\\r\\n\\t ]*\\[") & ~page & (low.contains("[event ") | low.contains("[site "))
+    return F.when(login, F.lit("AuthRequired")).when(game, F.lit("Success")).otherwise(F.lit("NonPgn"))
 
 
 def games_in_payload(body: Column) -> Column:
     """Lines that begin a game."""
-    return F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"(?m)^\[Event "))
+    return F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"(?im)^\[Event "))
 
 
 def titled_tuesday(body: Column) -> Column:
-    return F.coalesce(body, F.lit("")).rlike(r"(?m)^\[Event .*Titled Tuesday")
+    return F.coalesce(body, F.lit("")).rlike(r"(?im)^\[Event .*Titled Tuesday")
 
 
 def filter_games(

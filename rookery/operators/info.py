@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import movetext as mt
 from ..functions.headers import blank, eco_class, elo, info_date, player, tag, year_text
 
-COUNTRY_TAGS = ("WhiteCountry", "BlackCountry", "WhiteTeamCountry", "BlackTeamCountry", "EventCountry", "Country")
+#: The tags that name a country.
+COUNTRY_TAGS = ("WhiteCountry", "BlackCountry", "WhiteFederation", "BlackFederation", "WhiteFed", "BlackFed")
 
 
 def info_key():

@@ -14,8 +14,9 @@ DEAD = ("Missing", "Gone", "NonPgn")
 
 
 def ledger_status(c: Column) -> Column:
-    x = F.lower(F.trim(c))
-    named = {"Success": ("success", "ok", "done", "downloaded"), "Missing": ("missing", "notfound", "404"), "Gone": ("gone", "410"), "NonPgn": ("nonpgn", "non_pgn", "html"), "AuthRequired": ("authrequired", "auth", "login")}
+    """The status of a fetch, read without regard to case, hyphens and blanks; Error for any other text."""
+    x = F.lower(F.translate(F.trim(c), "- ", ""))
+    named = {"Success": ("success",), "Missing": ("missing",), "Gone": ("gone",), "NonPgn": ("nonpgn", "nonpgnfile"), "SkippedByPattern": ("skippedbypattern",)}
     out = F.lit(None).cast("string")
     for name, aliases in named.items():
         out = F.when(x.isin(*aliases), F.lit(name)).otherwise(out)
@@ -111,7 +112,8 @@ def extract_links(pages: DataFrame, pattern: str = r"\.(zip|pgn)$") -> DataFrame
     return out.where(F.lower("url").rlike(pattern)).groupBy("page_id", "url").agg(F.min("position").alias("position"))
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+#: How index pages write dates.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "M/d/yyyy")
 
 
 def match_table(pages: DataFrame) -> DataFrame:

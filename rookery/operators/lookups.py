@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as h
 from ..functions import movetext as mt
 from ..functions.similarity import jaro_winkler
+from .tables import saved
 
 FUZZY_SURE, FUZZY_LEAST, FUZZY_GAP, LAST_NAME_LEAST = 0.97, 0.90, 0.02, 0.92
 BROADCAST_ROWS = 200_000
@@ -36,6 +37,7 @@ def longest_prefix(games: DataFrame, book: DataFrame, moves: str = "moves", orde
     """``games`` with depth, eco, opening and variation of the deepest book node on their main line (null: none).
 
     A game has as many candidate prefixes as the book is deep; only order and prefix meet the book."""
+    book = saved(book, "book")
     deepest = book.agg(F.max("depth")).first()[0] or 0
     ends = F.explode(F.sequence(F.lit(1), F.least(F.size(moves), F.lit(deepest))))
     some = games.where(F.size(moves) > 0).select(*order, moves, ends.alias("_n")) if deepest else games.limit(0).select(*order, moves, F.lit(1).alias("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import blank, full_date, integer, key_hash, leading_elo, player, set_tag, slug, tag, with_headers, year_text
+from .tables import saved
 
 
 def category_key() -> Column:
@@ -37,11 +38,16 @@ def tag_categories(games: DataFrame) -> DataFrame:
     return with_headers(out, set_tag(F.col("headers"), "EventCategory", F.col("category").cast("string"), after="Event")).drop("key", "category")
 
 
-def breaker_key() -> Column:
-    """Event, site, and the date of the event, else the year; white space collapsed, in upper case."""
+def spelled_key() -> Column:
+    """Event, site, and the date of the event, else the year; white space collapsed."""
     tidy = lambda c: F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit(" ")), r"\s+", " "))
     whole = F.when(~F.coalesce(tag("EventDate"), F.lit("?")).contains("?"), full_date(tag("EventDate")))
-    return F.upper(F.concat_ws("|", tidy(tag("Event")), tidy(tag("Site")), F.coalesce(whole.cast("string"), year_text(tag("Date")))))
+    return F.concat_ws("|", tidy(tag("Event")), tidy(tag("Site")), F.coalesce(whole.cast("string"), year_text(tag("Date"))))
+
+
+def breaker_key() -> Column:
+    """``spelled_key`` without regard to case."""
+    return F.upper(spelled_key())
 
 
 def qualified_tournaments(games: DataFrame, min_elo: int, min_games: int) -> DataFrame:
@@ -56,6 +62,7 @@ def qualified_tournaments(games: DataFrame, min_elo: int, min_games: int) -> Dat
         rating("White").alias("we"),
         rating("Black").alias("be"),
         full_date(tag("Date")).alias("d"),
+        spelled_key().alias("spelled"),
         tag("Event").alias("event"),
         tag("Site").alias("site"),
         year_text(tag("Date")).alias("year"),
@@ -71,20 +78,27 @@ def qualified_tournaments(games: DataFrame, min_elo: int, min_games: int) -> Dat
         F.greatest(F.max("we"), F.max("be")).alias("highest"),
         F.min("d").alias("first_day"),
         F.max("d").alias("last_day"),
-        *map(first, ("event", "site", "year")),
+        *map(first, ("event", "site", "year", "spelled")),
     )
     one = one.where(F.col("all_ok") & (F.col("games") >= min_games))
     players = rows.select("key", F.explode(F.array("w", "b")).alias("p")).groupBy("key").agg(F.countDistinct("p").alias("players"))
     out = one.join(players, "key").where("players >= 2 and games >= greatest(1, ceil(players / 2))")
-    name = F.concat_ws("-", F.col("lowest").cast("string"), F.col("highest").cast("string"), slug(F.col("event"), 80), slug(F.col("site"), 40), "year", key_hash(F.col("key")))
+    name = F.concat_ws("-", F.col("lowest").cast("string"), F.col("highest").cast("string"), slug(F.col("event"), 80), slug(F.col("site"), 40), "year", key_hash(F.col("spelled")))  # of the key as first seen
     return out.withColumn("file_name", F.concat(name, F.lit(".pgn"))).select("key", "games", "players", "lowest", "highest", "first_day", "last_day", "file_name")
 
 
 def break_tournaments(games: DataFrame, min_elo: int, min_games: int) -> DataFrame:
     """Games of qualified tournaments, with the name of their file."""
-    names = qualified_tournaments(games, min_elo, min_games).select("key", "file_name")
+    names = checked_names(saved(qualified_tournaments(games, min_elo, min_games), "tournaments")).select("key", "file_name")
     return games.withColumn("key", breaker_key()).join(names, "key").drop("key")
 
 
+def checked_names(tournaments: DataFrame) -> DataFrame:
+    """``tournaments``; an error if two of them would go to one file, before anything is written."""
+    if twice := name_collisions(tournaments).limit(5).collect():
+        raise ValueError(f"several tournaments for the files {sorted(r['file_name'] for r in twice)}")
+    return tournaments
+
+
 def name_collisions(tournaments: DataFrame) -> DataFrame:
     return tournaments.groupBy("file_name").agg(F.countDistinct("key").alias("keys")).where("keys > 1")

@@ -19,6 +19,7 @@ heads AS (
     CASE WHEN o_orderkey % 13 <> 0 THEN CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) % 2200 + 800 AS STRING) END AS black_elo,
     CASE l_returnflag || l_linestatus WHEN 'RO' THEN '1-0' WHEN 'RF' THEN '0-1' WHEN 'AF' THEN '1/2-1/2' WHEN 'AO' THEN '*' WHEN 'NO' THEN '' ELSE '1-0' END AS result,
     CASE WHEN l_partkey % 13 = 0 THEN '' WHEN l_partkey % 17 = 0 THEN 'X1' ELSE substr('ABCDE', CAST(l_partkey % 5 + 1 AS INT), 1) || lpad(CAST(l_partkey % 100 AS STRING), 2, '0') END AS eco,
+    CASE WHEN o_orderkey % 6 <> 0 THEN substr(n_name, 1, 3) END AS white_fed,
     CASE WHEN o_orderkey % 10 = 0 THEN 'Chess960' WHEN o_orderkey % 10 = 1 THEN 'Standard' WHEN o_orderkey % 10 = 2 THEN '?' END AS variant,
     CASE WHEN o_orderkey % 8 = 0 THEN CAST(60 + o_orderkey % 300 AS STRING) || '+0' WHEN o_orderkey % 8 = 1 THEN '-' END AS time_control
   FROM orders JOIN lines ON l_orderkey = o_orderkey AND rn = 1 JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
@@ -59,7 +60,7 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg(text.alias("movetext"))
 
 
-NAMES = {"event": "Event", "site": "Site", "date": "Date", "round": "Round", "white": "White", "black": "Black", "white_elo": "WhiteElo", "black_elo": "BlackElo", "result": "Result", "eco": "ECO", "variant": "Variant", "time_control": "TimeControl"}
+NAMES = {"event": "Event", "site": "Site", "date": "Date", "round": "Round", "white": "White", "black": "Black", "white_elo": "WhiteElo", "black_elo": "BlackElo", "result": "Result", "eco": "ECO", "white_fed": "WhiteFed", "variant": "Variant", "time_control": "TimeControl"}
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ count(*) FILTER (result = '*') AS star_results, count(*) FILTER (result = '') AS
 round((sum(we) + sum(be)) / (count(we) + count(be)), 6) AS elo_avg, least(min(we), min(be)) AS elo_min, greatest(max(we), max(be)) AS elo_max,
 count(*) FILTER (we IS NOT NULL OR be IS NOT NULL) AS elo_any, count(*) FILTER (we IS NOT NULL AND be IS NOT NULL) AS elo_both, min(d) AS min_date, max(d) AS max_date, count(*) - count(d) AS missing_dates,
 count(*) FILTER (eco = '') AS eco_missing, count(*) FILTER (eco = 'X1') AS eco_invalid, round(avg(p), 6) AS plies_avg, min(p) AS plies_min, max(p) AS plies_max, count(*) FILTER (p > 0) AS with_moves, count(*) FILTER (p = 0) AS without_moves,
-(SELECT count(DISTINCT upper(x)) FROM (SELECT white AS x FROM games UNION ALL SELECT black FROM games) y) AS players, count(DISTINCT {KEY}) AS tournaments, CAST(0 AS BIGINT) AS countries
+(SELECT count(DISTINCT upper(x)) FROM (SELECT white AS x FROM games UNION ALL SELECT black FROM games) y) AS players, count(DISTINCT {KEY}) AS tournaments, count(DISTINCT upper(white_fed)) AS countries
 FROM (SELECT *, {E.format('white_elo')} AS we, {E.format('black_elo')} AS be, CASE WHEN date NOT LIKE '%?%' THEN strptime(date, '%Y.%m.%d')::DATE END AS d, CAST(len({MOVES}) AS INT) AS p FROM games) z"""
 
 
@@ -235,11 +235,11 @@ def event_category(spark, d):
     return tournaments.tag_categories(games).select("game_id", h.tag("EventCategory").alias("category"))
 
 
-BREAK = """, k AS (SELECT *, upper(event || '|' || site || '|' || substr(date, 1, 4)) AS key FROM games),
-q AS (SELECT key, count(*) AS games, min(least(white_elo::INT, black_elo::INT)) AS lo, max(greatest(white_elo::INT, black_elo::INT)) AS hi, min(event) AS event, min(site) AS site, min(substr(date, 1, 4)) AS y
+BREAK = """, k AS (SELECT *, event || '|' || site || '|' || substr(date, 1, 4) AS spelled, upper(spelled) AS key FROM games),
+q AS (SELECT key, count(*) AS games, min(least(white_elo::INT, black_elo::INT)) AS lo, max(greatest(white_elo::INT, black_elo::INT)) AS hi, min(event) AS event, min(site) AS site, min(substr(date, 1, 4)) AS y, arg_min(spelled, game_id) AS spelled
   FROM k GROUP BY 1 HAVING bool_and(coalesce(white_elo::INT >= 800 AND black_elo::INT >= 800, false)) AND count(*) >= 2),
 p AS (SELECT key, count(DISTINCT x) AS players FROM (SELECT key, upper(white) AS x FROM k UNION ALL SELECT key, upper(black) FROM k) z GROUP BY 1),
-f AS (SELECT q.key, lo || '-' || hi || '-' || trim(regexp_replace(lower(event), '[^a-z0-9]+', '-', 'g'), '-') || '-' || trim(regexp_replace(lower(site), '[^a-z0-9]+', '-', 'g'), '-') || '-' || y || '-' || substr(sha256(q.key), 1, 24) || '.pgn' AS file_name
+f AS (SELECT q.key, lo || '-' || hi || '-' || trim(regexp_replace(lower(event), '[^a-z0-9]+', '-', 'g'), '-') || '-' || trim(regexp_replace(lower(site), '[^a-z0-9]+', '-', 'g'), '-') || '-' || y || '-' || substr(sha256(q.spelled), 1, 24) || '.pgn' AS file_name
   FROM q JOIN p USING (key) WHERE players >= 2 AND games >= greatest(1, ceil(players / 2)))
 SELECT game_id, file_name FROM k JOIN f USING (key)"""
 
@@ -342,16 +342,10 @@ x AS (SELECT game_id, plies, evaluated, 100.0 * fo / plies AS fs, coalesce(qi, 0
  FROM b LEFT JOIN m USING (game_id) LEFT JOIN t USING (game_id))"""
 
 
-def _band(name: str, x: str) -> str:
-    lo, hi, up = ev.BANDS[name]
-    t = f"({x} - {lo}) / {hi - lo}"
-    return f"100 * greatest(0.0, least(1.0, {t if up else f'1 - {t}'}))"
-
-
 METRICS = " SELECT game_id, plies, evaluated, round(fs, 4) AS forcing_share, qi AS quiet_improvements, tbs AS trend_breaks, CAST(bl AS BIGINT) AS blunders, CAST(mi AS BIGINT) AS mistakes, CAST(du AS BIGINT) AS dubiouss, round(ms, 4) AS mean_swing, round(dv, 4) AS deviation FROM x"
-SCORES = f""", y AS (SELECT *, CASE WHEN evaluated * 1.0 / plies < 0.8 THEN greatest(0.0, least(1.0, (evaluated * 1.0 / plies - 0.2) / 0.6)) ELSE 1.0 END AS f FROM x),
-z AS (SELECT game_id, round(f * ({_band('swing', 'ms')} + {_band('errors', '(100.0 * (3 * bl + 2 * mi + du) / plies)')}) / 2, 4) AS soundness, round(f * ({_band('trend', '(100.0 * tbs / plies)')} + {_band('deviation', 'dv')}) / 2, 4) AS coherence,
- round({_band('forcing', 'fs')}, 4) AS tactics, round(f * ({_band('quiet', '(100.0 * qi / plies)')}), 4) AS quiet, round(CASE WHEN plies <= 160 THEN 0.0 ELSE 100 * (1 - 1 / (1 + exp(-(plies - 160) / 30.0))) END, 4) AS length_cost FROM y),
+SCORES = """, y AS (SELECT *, CASE WHEN evaluated * 1.0 / plies < 0.8 THEN greatest(0.0, least(1.0, (evaluated * 1.0 / plies - 0.2) / 0.6)) ELSE 1.0 END AS f FROM x),
+z AS (SELECT game_id, round(f * 100 * greatest(0.0, least(1.0, 1 - (ms + bl * 25 + mi * 10 + du * 5 - 45) / 235.0)), 4) AS soundness, round(f * 100 * greatest(0.0, least(1.0, 1 - (dv + tbs * 18 - 35) / 205.0)), 4) AS coherence,
+ round(100 * greatest(0.0, least(1.0, (fs - 22) / 34.0)), 4) AS tactics, round(f * 100 * greatest(0.0, least(1.0, (100.0 * qi / plies - 0.4) / 6.1)), 4) AS quiet, round(CASE WHEN plies <= 160 THEN 0.0 ELSE 100 * (1 - 1 / (1 + exp(-(plies - 160) / 30.0))) END, 4) AS length_cost FROM y),
 sc AS (SELECT *, round(greatest(0.0, least(100.0, 0.25 * soundness + 0.2 * coherence + 0.2 * tactics + 0.3 * quiet - 0.05 * length_cost))) AS score FROM z)"""
 
 
@@ -375,6 +369,9 @@ def elegance_scores(spark, d):
     return ev.elegance(ev.game_metrics(g.plies(spark, d))).drop("details")
 
 
+SACRIFICED = SCORES.replace("soundness, round", "soundness, round", 1).replace("bl * 25", "usp / 100.0 * 35 + bl * 25").replace("100.0 * qi / plies - 0.4", "greatest(0.0, 100.0 * qi / plies + (sp / 100.0 * 0.75 + sn * 0.35) - (usp / 100.0 * 0.4 + un * 0.25)) - 0.4").replace("FROM y)", "FROM y LEFT JOIN sacs USING (game_id))")
+
+
 @query(_metrics_sql(False) + SCORES + " SELECT count(*) AS games, round(avg(score), 4) AS avg_score, round(avg(soundness), 4) AS avg_soundness, round(avg(coherence), 4) AS avg_coherence, round(avg(tactics), 4) AS avg_tactics, round(avg(quiet), 4) AS avg_quiet FROM sc", base="")
 def run_averages(spark, d):
     return ev.run_averages(ev.elegance(ev.game_metrics(g.plies(spark, d))))
@@ -428,6 +425,21 @@ def opponent_frontier(spark, d):
     return landed.frontier(edges, spark.createDataFrame([("c1",)], "player string"), 2)
 
 
+@query(
+    _metrics_sql(False) + SACRIFICE.split("SELECT game_id, count(*)")[0] + ", sacs AS (SELECT game_id, count(*) FILTER (ok) AS sn, count(*) FILTER (NOT ok) AS un, coalesce(sum(lost) FILTER (ok), 0) AS sp, coalesce(sum(lost) FILTER (NOT ok), 0) AS usp FROM q WHERE ok IS NOT NULL GROUP BY 1)"
+    + SACRIFICED.replace("usp /", "coalesce(usp, 0) /").replace("sp / 100.0 * 0.75 + sn", "coalesce(sp, 0) / 100.0 * 0.75 + coalesce(sn, 0)").replace("+ un *", "+ coalesce(un, 0) *") + " SELECT game_id, soundness, coherence, tactics, quiet, length_cost, score FROM sc",
+    base="",
+)
+def elegance_with_sacrifices(spark, d):
+    plies = g.plies(spark, d)
+    return ev.elegance(ev.game_metrics(plies), ev.sacrifices(plies)).drop("details")
+
+
+@query(f"SELECT game_id, CAST(CAST(len({MOVES}) AS INT) AS STRING) AS plies FROM games")
+def add_ply_counts(spark, d):
+    return co.add_ply_counts(g.games(spark, d)).select("game_id", h.tag("PlyCount").alias("plies"))
+
+
 @query(
     r'''SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') || link AS url, min(position) AS position FROM (SELECT page_id, url, unnest(l) AS link, CAST(unnest(range(len(l))) AS INT) AS position
 FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)', 1) AS l FROM pages) a) b WHERE link LIKE '/%' AND link NOT LIKE '//%' AND regexp_matches(lower(link), '[.,]$') GROUP BY 1, 2''',
@@ -437,16 +449,26 @@ def extract_links(spark, d):
     return landed.extract_links(table(spark, d, "pages"), r"[.,]$")
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^\s*\[\w+ ') THEN 'Success' ELSE 'NonPgn' END AS class, CAST(0 AS INT) AS games FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d", base="")
+# documents as landed payloads: some behind a login, some as games, some as games inside a page
+PAYLOADS = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '[EVENT \"x\"]' || chr(10) || '[event \"y\"]' || chr(10) WHEN 1 THEN '<a href=\"/Login\">' WHEN 2 THEN ' [Site \"x\"] <HTML>' WHEN 3 THEN ' ' || chr(10) || '[Site \"x\"] ' ELSE '' END || coalesce(text, '') AS body FROM {}"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN body ILIKE '%login_and_go%' OR body ILIKE '%/login%' OR body ILIKE '%sign in%' THEN 'AuthRequired' WHEN body ILIKE '%<html%' OR body ILIKE '%<!doctype%' THEN 'NonPgn' "
+    f"WHEN ltrim(body, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)) LIKE '[%' AND (body ILIKE '%[event %' OR body ILIKE '%[site %') THEN 'Success' ELSE 'NonPgn' END AS class, "
+    f"CAST(len(regexp_extract_all(chr(10) || body, '(?i)\\n\\[event ')) AS INT) AS games FROM ({PAYLOADS.format('documents')}) p",
+    base="",
+)
 def payload_class(spark, d):
-    return table(spark, d, "documents").select("doc_id", fi.payload_class(F.col("text")).alias("class"), fi.games_in_payload(F.col("text")).alias("games"))
+    payloads = spark.sql(PAYLOADS.format("{documents}"), documents=table(spark, d, "documents"))
+    return payloads.select("doc_id", fi.payload_class(F.col("body")).alias("class"), fi.games_in_payload(F.col("body")).alias("games"))
 
 
-LEDGER = "SELECT CAST(event_id AS INT) AS event_id, CASE WHEN event_type = 'purchase' AND event_id % 5 <> 3 THEN 'ok' WHEN event_type = 'error' THEN '404' WHEN event_type = 'signup' THEN 'html' ELSE 'x' END AS status FROM {} WHERE event_id % 2 = 0"
+LEDGER = "SELECT CAST(event_id AS INT) AS event_id, CASE WHEN event_type = 'purchase' AND event_id % 5 <> 3 THEN 'Success' WHEN event_type = 'error' THEN 'Missing' WHEN event_type = 'signup' THEN 'Non-PGN file' WHEN event_type = 'click' THEN 'skipped by pattern' ELSE 'ok' END AS status FROM {} WHERE event_id % 2 = 0"
 
 
 @query(
-    f"WITH l AS ({LEDGER.format('events')}), r AS (SELECT event_id % 5 AS residue FROM l GROUP BY 1 HAVING count(*) FILTER (status IN ('404','html')) >= 20 AND count(*) FILTER (status = 'ok') = 0), s AS (SELECT event_id, bool_or(status = 'ok') AS won, bool_or(status IN ('404','html')) AS lost FROM l GROUP BY 1) "
+    f"WITH l AS ({LEDGER.format('events')}), r AS (SELECT event_id % 5 AS residue FROM l GROUP BY 1 HAVING count(*) FILTER (status IN ('Missing','Non-PGN file')) >= 20 AND count(*) FILTER (status = 'Success') = 0), s AS (SELECT event_id, bool_or(status = 'Success') AS won, bool_or(status IN ('Missing','Non-PGN file')) AS lost FROM l GROUP BY 1) "
     "SELECT CAST(e.event_id AS INT) AS event_id, CASE WHEN won THEN 'success' WHEN lost THEN 'dead' WHEN e.event_id % 5 IN (SELECT residue FROM r) THEN 'residue' END AS skip FROM events e LEFT JOIN s ON s.event_id = e.event_id",
     base="",
 )

@@ -224,8 +224,52 @@ def test_elegance(spark):
     assert got == {"a": True, "b": False}
 
 
+def test_elegance_of_known_figures(spark):
+    names = "game_id, plies, evaluated, forcing_share, quiet_improvements, trend_breaks, blunders, mistakes, dubiouss, mean_swing, deviation"
+    kinds = ["long"] * 3 + ["double"] + ["long"] * 5 + ["double"] * 2
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names.split(", "), kinds, strict=True))
+    m = spark.createDataFrame([(1, 100, 100, 39.0, 2, 1, 1, 2, 3, 60.0, 80.0), (2, 100, 50, 39.0, 2, 1, 1, 2, 3, 60.0, 80.0)], schema)
+    got = {r.game_id: r for r in ev.elegance(m).collect()}
+    # swing 60 + 25 + 20 + 15, deviation 80 + 18, 39 % forcing, 2 quiet moves in a hundred plies
+    want = [100 * (1 - 75 / 235), 100 * (1 - 63 / 205), 50.0, 100 * 1.6 / 6.1]
+    parts = lambda r: (r.soundness, r.coherence, r.tactics, r.quiet)
+    assert parts(got[1]) == pytest.approx(want, abs=1e-3) and got[1].score == 49 and got[1].details == "S=68;C=69;T=50;Q=26;L=0"
+    assert parts(got[2]) == pytest.approx([want[0] / 2, want[1] / 2, 50.0, want[3] / 2], abs=1e-3)
+    given = spark.createDataFrame([(1, 1, 1, 200, 100)], "game_id long, sound int, unsound int, sound_cp int, unsound_cp int")
+    r = {r.game_id: r for r in ev.elegance(m, given).collect()}[1]
+    assert (r.soundness, r.quiet) == pytest.approx((100 * (1 - 110 / 235), 100 * (2 + 1.85 - 0.65 - 0.4) / 6.1), abs=1e-3)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_index_of_many_rows(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_000).alias("v")).repartition(16)
+        out = co.global_index(rows, ["v"])
+        assert out.agg(F.count("*"), F.sum((F.col("index") == F.col("v")).cast("int"))).first() == (1_000_000, 1_000_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_payload_classes(spark):
+    cases = {"<a href='/LOGIN'>": "AuthRequired", "\ufeff\n[Event \"x\"]": "Success", " [SITE \"x\"]": "Success", "[Event \"x\"]<HTML>": "NonPgn", "text [Event \"x\"]": "NonPgn", "[Round \"1\"]": "NonPgn", None: "NonPgn"}
+    rows = spark.createDataFrame([(k,) for k in cases], "body string").select("body", fi.payload_class(F.col("body")).alias("c")).collect()
+    assert {r.body: r.c for r in rows} == cases
+
+
+def test_tournaments_for_one_file_are_an_error(spark):
+    with pytest.raises(ValueError):
+        tournaments.checked_names(spark.createDataFrame([("a", "x.pgn"), ("b", "x.pgn")], "key string, file_name string"))
+
+
+def test_ply_count_tag(spark):
+    games = make(spark, [({"Event": "x", "PlyCountOld": "1", "plycount": "9", "White": "a"}, "1. e4 {c} e5 (1... c5) 2. Nf3 *")])
+    assert [(x.key, x.value) for x in co.add_ply_counts(games).first().headers] == [("Event", "x"), ("White", "a"), ("PlyCount", "3")]
+
+
 def test_ledger_and_frontier(spark):
-    rows = [(i, "404") for i in range(0, 105, 5)] + [(1, "ok"), (6, "404")]
+    rows = [(i, "Non-PGN file") for i in range(0, 105, 5)] + [(1, "success"), (6, " missing"), (11, "404")]
     ledger = spark.createDataFrame(rows, "event_id int, status string").withColumn("status", landed.ledger_status(F.col("status")))
     out = {r.event_id: r.skip for r in landed.resume(spark.createDataFrame([(1,), (6,), (11,), (200,)], "event_id int"), ledger).collect()}
     assert out == {1: "success", 6: "dead", 11: None, 200: "residue"}
