@@ -1,10 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of running text. A classifier of a block's place and wording gives two costs: that of calling
-it content and that of calling it boilerplate. They are the capacities to source and sink; smoothness edges join blocks
-that follow each other and blocks that are neighbours below one parent, the more weakly the farther apart they are in
-the document tree. The minimum cut (maximum flow, after fixing every block whose own cost outweighs all its edges)
-separates content from boilerplate.
+A page is cut into blocks of running text. A classifier of a block's wording and of the asides it is in gives two costs:
+that of calling it content and that of calling it boilerplate. They are the capacities to source and sink; smoothness
+edges join blocks that follow each other and blocks that are neighbours below one parent, the more weakly the farther
+apart they are in the document tree and across the border of an aside. An article or main element is a node of its own,
+likely content, with an edge to each of its blocks outside asides; so a short heading is content by its edges. The
+minimum cut (maximum flow, after fixing every node whose own cost outweighs all its edges) separates content from
+boilerplate.
 
 Defined cases: a null or empty page has the text "". Unclosed, misplaced or unknown tags are tolerated, as are character
 references without a semicolon. Pages of any length are read whole. Repeated rows get equal results; other columns
@@ -17,7 +19,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +47,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(
 class Costs:
     """Weights of the classifier (log odds of content) and of the smoothness edges."""
 
-    article: float = 3.0
+    article: float = 12.0  # of an article or main element itself
+    inside: float = 3.0  # between it and a block in it
     aside_tag: float = -8.0
     aside_word: float = -6.0
     hidden: float = -9.0
@@ -56,28 +59,29 @@ class Costs:
     sentence: float = 0.4
     smooth: float = 0.8  # of blocks that follow each other, over 1 + distance in the tree
     sibling: float = 0.4
+    contrast: float = 0.1  # times this where one block is in an aside and the other isn't
 
 
 @dataclass
 class Block:
     text: str
-    linked: float
-    path: tuple[int, ...]
-    article: bool
+    linked: float  # share of linked characters
+    far: int  # distance in the tree to the block before
+    parent: int
+    article: int  # number of the innermost article or main element around it, 0 if there is none
     aside: int  # 0, or 1 for a word, 2 for a tag, 3 for hidden
-    parts: list[str] = field(default_factory=list)
 
 
 @dataclass
 class _Element:
     name: str
     number: int
-    article: bool
+    article: int
     aside: int
 
 
 def _open(name: str, attributes: str, number: int, parent: _Element) -> _Element:
-    article, aside = parent.article or name in ("article", "main"), parent.aside
+    article, aside = number if name in ("article", "main") else parent.article, parent.aside
     if name in ASIDE_TAGS or name == "header" and not article:
         aside = max(aside, 2)
     if attributes and name not in ("html", "body", "main"):
@@ -89,24 +93,56 @@ def _open(name: str, attributes: str, number: int, parent: _Element) -> _Element
                 words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)}
                 if words & ASIDE_WORDS or "header" in words and not article:
                     aside = max(aside, 1)
-                article = article or key == "role" and value in ("main", "article")
+                article = number if key == "role" and value in ("main", "article") else article
     return _Element(name, number, article, aside)
 
 
+class _Open:
+    """The open elements, and where those of a name, blocks and scopes are among them, so that none is sought."""
+
+    def __init__(self) -> None:
+        self.stack = [_Element("", 0, 0, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else 0
+
+    def push(self, element: _Element) -> None:
+        k = len(self.stack)
+        self.stack.append(element)
+        self.at.setdefault(element.name, []).append(k)
+        if element.name in BLOCKS:
+            self.blocks.append(k)
+        if element.name in SCOPES:
+            self.scopes.append(k)
+
+    def pop(self) -> None:
+        k, name = len(self.stack) - 1, self.stack.pop().name
+        self.at[name].pop()
+        for own in (self.blocks, self.scopes):
+            if own[-1] == k:
+                own.pop()
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of running text of a page, in order, with their place in the tree."""
+    """The blocks of running text of a page, in order, with their place in the tree; in linear time."""
     out: list[Block] = []
-    stack = [_Element("", 0, False, 0)]
+    tree = _Open()
+    stack = tree.stack
     parts: list[str] = []
-    total = linked = depth = count = at = 0
+    total = linked = count = at = 0
+    low, before = 0, 0  # elements open since the last block, and its depth
 
     def flush() -> None:
-        nonlocal total, linked
+        nonlocal total, linked, low, before
         text = " ".join("".join(parts).split())
         if text:
-            top = next((e for e in reversed(stack) if e.name in BLOCKS), stack[0])
-            inner = stack[-1]
-            out.append(Block(text, linked / max(1, total), tuple(e.number for e in stack[: stack.index(top) + 1]), inner.article, inner.aside))
+            top, inner = tree.blocks[-1], stack[-1]
+            depth = top + 1
+            far = before + depth - 2 * min(before, depth, low)
+            out.append(Block(text, linked / max(1, total), far, stack[top - 1].number if top else -1, inner.article, inner.aside))
+            low, before = len(stack), depth
         parts.clear()
         total = linked = 0
 
@@ -117,29 +153,28 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(html.unescape(piece) if "&" in piece else piece)
             n = len(piece.strip())
             total += n
-            linked += n if depth else 0
+            linked += n if tree.last("a") else 0
 
     def close(upto: int) -> None:
         """Ends the elements from place ``upto`` of the stack on."""
-        nonlocal depth
-        if any(e.name in BLOCKS for e in stack[upto:]):
+        nonlocal low
+        if tree.blocks[-1] >= upto:
             flush()
-        depth -= sum(e.name == "a" for e in stack[upto:])
-        del stack[upto:]
+        low = min(low, upto)
+        while len(stack) > upto:
+            tree.pop()
 
-    while m := TAG.search(page, at):
+    end_of_tags = page.rfind(">")
+    while at <= end_of_tags and (m := TAG.search(page, at)):
         text_until(m.start())
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close(k)
-                    break
-                if stack[k].name in SCOPES and name not in BLOCKS:
-                    break
+            k = tree.last(name)
+            if k and (name in BLOCKS or k > tree.scopes[-1] or stack[k].name in SCOPES):
+                close(k)
             continue
         if name in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -149,24 +184,13 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         if name in BLOCKS:
             flush()
-            if name not in PARAGRAPH_STAYS_OPEN:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "p":
-                        close(k)
-                        break
-                    if stack[k].name in BLOCKS:
-                        break
-            if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in CLOSES[name]:
-                        close(k)
-                        break
-                    if stack[k].name in SCOPES:
-                        break
+            if name not in PARAGRAPH_STAYS_OPEN and stack[tree.blocks[-1]].name == "p":
+                close(tree.blocks[-1])
+            if name in CLOSES and (k := max(map(tree.last, CLOSES[name]))) > tree.scopes[-1]:
+                close(k)
         if name not in VOID and not m[3].endswith("/"):
             count += 1
-            stack.append(_open(name, m[3], count, stack[-1]))
-            depth += name == "a"
+            tree.push(_open(name, m[3], count, stack[-1]))
     text_until(len(page))
     flush()
     return out
@@ -175,7 +199,7 @@ def blocks_of(page: str) -> list[Block]:
 def odds(block: Block, c: Costs) -> float:
     """Log odds that a block is content, by its place and wording alone."""
     n = block.text.count(" ") + 1
-    out = c.base + c.words * min(1.0, n / c.words_full) + c.links * block.linked + c.article * block.article
+    out = c.base + c.words * min(1.0, n / c.words_full) + c.links * block.linked
     out += c.sentence * block.text.endswith((".", "!", "?", "…"))
     return out + (0.0, c.aside_word, c.aside_tag, c.hidden)[block.aside]
 
@@ -186,11 +210,9 @@ def edges_of(blocks: list[Block], c: Costs) -> dict[tuple[int, int], float]:
     last: dict[tuple[int, int], int] = {}
     for j, b in enumerate(blocks):
         if j:
-            a = blocks[j - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            far = len(a) + len(b.path) - 2 * shared
-            out[j - 1, j] = c.smooth / (1 + far)
-        parent = (b.path[-2] if len(b.path) > 1 else -1, b.aside)
+            alike = (b.aside > 0) == (blocks[j - 1].aside > 0)
+            out[j - 1, j] = c.smooth / (1 + b.far) * (1 if alike else c.contrast)
+        parent = (b.parent, b.aside)
         if parent in last:
             out[last[parent], j] = out.get((last[parent], j), 0.0) + c.sibling
         last[parent] = j
@@ -278,9 +300,20 @@ def _max_flow(nodes: list[int], pull: list[float], near: list[list[tuple[int, fl
                 break
 
 
-def main_text(page: str | None, costs: Costs = Costs()) -> str:
+def labelled(page: str | None, costs: Costs = Costs()) -> tuple[list[Block], list[float], list[bool]]:
+    """The blocks of a page, their own log odds and the labels of the minimum cut."""
     blocks = blocks_of(page or "")
-    labels = minimum_cut([odds(b, costs) for b in blocks], edges_of(blocks, costs))
+    own, edges = [odds(b, costs) for b in blocks], edges_of(blocks, costs)
+    articles: dict[int, int] = {}
+    for k, b in enumerate(blocks):
+        if b.article and not b.aside:
+            edges[k, articles.setdefault(b.article, len(blocks) + len(articles))] = costs.inside
+    labels = minimum_cut(own + [costs.article] * len(articles), edges)
+    return blocks, own, labels[: len(blocks)]
+
+
+def main_text(page: str | None, costs: Costs = Costs()) -> str:
+    blocks, _, labels = labelled(page, costs)
     return "\n\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 

@@ -312,6 +312,21 @@ def test_html(spark):
         assert abs(cost(html_cut.minimum_cut(u, e)) - min(map(cost, itertools.product((False, True), repeat=n)))) < 1e-9
 
 
+def test_html_edges_decide_and_deep_pages(spark):
+    long = "This is a paragraph of running text that has quite a few words, so it is content by itself, with a full stop at its end."
+    for page, want in (
+        (f"<div><h2>Short</h2><p>{long}</p><p>Yes</p><p>{long}</p></div><div><div><div><ul><li><a href=x>Home</a></li></ul></div></div></div>", f"Short\n\n{long}\n\nYes\n\n{long}"),
+        ("<article><h1>Two words</h1></article><nav><p>Menu</p></nav>", "Two words"),
+        (f"<article><p>{long}</p><aside><p>{long}</p></aside></article>", long),
+    ):
+        assert html_cut.main_text(page) == want
+    _, own, labels = html_cut.labelled(f"<article><h1>Short</h1><p>{long}</p></article>")
+    assert own[0] < 0 and labels == [True, True]
+    deep = ["<div>x " * 150_000, "<b><table><div>x " * 50_000 + "</i></b>" * 50_000, "<a <a " * 100_000, "<p>x" * 200_000]  # about 1 MB each
+    pages = spark.createDataFrame([(k, "u", x) for k, x in enumerate(deep)], "page_id long, url string, html string")
+    assert html_cut.extract(pages).count() == 4
+
+
 def brute_classes(texts):
     sets = []
     for x in texts:
