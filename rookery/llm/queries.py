@@ -75,5 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Base 32 of a digest in hex: five digits make four letters.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr({0}, 1 + 5 * (i // 4), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '')"
+WARC_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {BASE32.format('sha1(html)')} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (html)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, SQL can express no more than parts; tests/llm holds them against brute force."""
+    return {"op1_warc": WARC_SQL}

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import itertools
+import os
+import pickle
 import random
 import re
 import zlib
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe_trie, decontam, html_cut, katz, probminhash, quality_rules, ring, secret_scan, token_counts, warc
+from rookery.llm import bpe_trie, decontam, html_cut, katz, probminhash, quality_rules, queries, ring, secret_scan, token_counts, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -423,3 +425,86 @@ def test_pipeline_decodes_what_it_encodes(spark):
         ids = t.encode(text or "", add_special_tokens=False).ids
         got = np.frombuffer(rows[k].ids, "<u4").tolist(), rows[k].n_tokens, rows[k].decoded
         assert got == (ids, len(ids), t.decode(ids, skip_special_tokens=False))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def given():
+    """The smallest documents and pages, as rows."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    read = lambda n: pq.read_table(f"{SF}/{n}.parquet").to_pylist()
+    return {n: read(n) for n in ("documents", "pages", "benchmark")}
+
+
+def test_query_warc(spark, given):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    got = sorted(tuple(r) for r in queries.op1_warc(spark, SF).collect())
+    assert got == brute_warc([(r["page_id"], r["html"]) for r in given["pages"]]) == sorted(con.execute(queries.oracle_sql()["op1_warc"]).fetchall())
+
+
+def test_query_quality_rules(spark, given):
+    rows = {r.doc_id: r for r in queries.op2_quality_rules(spark, SF).collect()}
+    assert len(rows) == len(given["documents"])
+    for d in given["documents"]:
+        r, want = rows[d["doc_id"]], brute_statistics(d["text"])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_query_secrets(spark, given):
+    rows = {r.doc_id: r for r in queries.op4_secret_scans(spark, SF).collect()}
+    for d in given["documents"]:
+        want = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_secrets(d["text"]))
+        r = rows[d["doc_id"]]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_query_sharding(spark, given):
+    rows = queries.op5_sharding(spark, SF).collect()
+    load = Counter(r["shard"] for r in rows)
+    assert {r.law for r in rows} == {"rows"} and max(load.values()) - min(load[s] for s in range(40)) <= 1
+    size = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((d["doc_id"], *size(d["text"])) for d in given["documents"])
+
+
+def test_query_bpe_and_token_counts(spark, given):
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(TOKENIZER)
+    counts = {r.doc_id: r.n_tokens for r in queries.op10_token_counts(spark, SF).collect()}
+    rows = {r.doc_id: r for r in queries.op7_bpe(spark, SF).collect()}
+    for d in given["documents"]:
+        ids = t.encode(d["text"] or "", add_special_tokens=False).ids
+        r = rows[d["doc_id"]]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) and counts[d["doc_id"]] == len(ids)
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_query_decontamination(spark, given):
+    got = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SF).collect()}
+    flat = lambda x: " " + " ".join(decontam.terms_of(x)) + " "
+    texts = [(d["doc_id"], flat(d["text"])) for d in given["documents"]]
+    whole = {(k, i["item_id"]) for i in given["benchmark"] if decontam.terms_of(i["text"]) for k, x in texts if flat(i["text"]) in x}
+    assert whole and whole <= got  # whole items are found; the rest share half of their question and answer
+
+
+def test_query_near_duplicates(spark, given):
+    docs = given["documents"]
+    want = brute_classes([d["text"] for d in docs])
+    least = {}
+    for d, c in zip(docs, want, strict=True):
+        least[c] = min(least.get(c, d["doc_id"]), d["doc_id"])
+    got = {r.doc_id: r.class_id for r in queries.op9_near_duplicates(spark, SF).collect()}
+    linked = [(d["doc_id"], least[c]) for d, c in zip(docs, want, strict=True)]
+    right = sum(got[k] == c for k, c in linked)
+    assert right >= 0.9 * len(linked) and all(got[k] <= k for k in got)
+    assert all(got[k] == c for k, c in linked if k != c), "links lost"
+
+
+def test_broadcasts_need_no_installed_package():
+    for state in (items_index([(1, "a b c d e. f g h."), (2, "a c x y z. k l.")], 0.5), katz.Words(np.array([3, 1], np.uint64), np.array([1, 2]), 12)):
+        assert b"rookery" not in pickle.dumps(vars(state))
