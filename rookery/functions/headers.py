@@ -78,6 +78,11 @@ def full_date(c: Column) -> Column:
     return F.when(c.rlike(p), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
 
 
+def tournament_date(c: Column) -> Column:
+    """A complete calendar date with a year of four digits and the same . / or - twice."""
+    return F.when(c.rlike(r"^\s*\d{4}([./-])\d{1,2}\1\d{1,2}\s*$"), full_date(c))
+
+
 def info_date() -> Column:
     """Date, or EventDate where there is no Date; null if anything in it is unknown."""
     raw = F.when(blank(tag("Date")), tag("EventDate")).otherwise(tag("Date"))
@@ -141,10 +146,10 @@ def eval_centipawns(comment: Column) -> Column:
 
 
 def eval_text(cp: Column) -> Column:
-    """#n for a mate in less than a hundred moves, else pawns with two digits."""
+    """#n for a mate in less than a hundred moves, else pawns with two digits; null for null."""
     n = ((F.lit(MATE) - F.abs(cp)) / 100).cast("int")
     mate = F.concat(F.when(cp < 0, F.lit("#-")).otherwise(F.lit("#")), n.cast("string"))
-    return F.when(F.abs(cp) > MATE - 10_000, mate).otherwise(F.format_string("%.2f", cp / 100))
+    return F.when(F.abs(cp) > MATE - 10_000, mate).when(cp.isNotNull(), F.format_string("%.2f", cp / 100))
 
 
 def move_quality(mover_delta: Column) -> Column:

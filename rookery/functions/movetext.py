@@ -172,14 +172,3 @@ def unannotated_text(text: str) -> str:
 
 def unannotated(text: Column) -> Column:
     return _udf(unannotated_text, "string")(text)
-
-
-def ply_flags(san: Column) -> dict[str, Column]:
-    """What a move's notation says about it."""
-    has = lambda c: F.contains(san, F.lit(c))
-    out = {"is_capture": has("x"), "is_check": has("+"), "is_mate": has("#"), "is_promotion": has("=")}
-    out["is_quiet"] = ~(has("x") | has("+") | has("#") | has("="))
-    out["blunder"] = (has("??") | san.rlike(r"\$4\b")).cast("int")
-    out["dubious"] = (has("?!") | san.rlike(r"\$6\b")).cast("int")
-    out["mistake"] = (san.rlike(r"[^?!]\?$|\$2\b") & ~has("??") & ~has("?!")).cast("int")
-    return out

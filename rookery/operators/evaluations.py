@@ -143,7 +143,7 @@ def sacrifices(plies: DataFrame, white_material: str = "white_material", black_m
     return out.groupBy("game_id").agg(n(s, 1).alias("sound"), n(~s, 1).alias("unsound"), n(s, F.col("_lost")).alias("sound_cp"), n(~s, F.col("_lost")).alias("unsound_cp"))
 
 
-def annotate(plies: DataFrame, depth: int = 0) -> DataFrame:
+def annotate(plies: DataFrame) -> DataFrame:
     """(game_id, movetext): moves with numbers, the NAG of what each lost against the ply before, and its evaluation."""
     rows = swings(with_start(plies)).select("game_id", "ply", "mover_delta").where("ply > 0")
     out = plies.join(rows, ["game_id", "ply"], "left")

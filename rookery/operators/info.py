@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import movetext as mt
 from ..functions.headers import blank, eco_class, elo, info_date, player, tag, year_text
+from .tables import saved
 
 #: The tags that name a country.
 COUNTRY_TAGS = ("WhiteCountry", "BlackCountry", "WhiteFederation", "BlackFederation", "WhiteFed", "BlackFed")
@@ -32,6 +33,7 @@ def pgn_info(games: DataFrame, dialect: str = "info") -> DataFrame:
         F.upper(player(tag("Black"))).alias("b"),
         F.array_compact(F.array(*(F.upper(player(tag(t))) for t in COUNTRY_TAGS))).alias("c"),
     )
+    base = saved(base, "info")  # four aggregates read a column or two each; games are parsed once
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     r, we, be = F.col("r"), F.col("we"), F.col("be")
     known = n(we.isNotNull()) + n(be.isNotNull())

@@ -113,7 +113,7 @@ def extract_links(pages: DataFrame, pattern: str = r"\.(zip|pgn)$") -> DataFrame
 
 
 #: How index pages write dates.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "M/d/yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "MMM dd, yyyy", "M/d/yyyy", "MM/dd/yyyy")
 
 
 def match_table(pages: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def tag_openings(games: DataFrame, book: DataFrame) -> DataFrame:
     return h.with_headers(out, head).drop("moves", "depth", "eco", "opening", "variation")
 
 
+def last_ratings(records: DataFrame, order: list[str]) -> DataFrame:
+    """(name_key, year, month, rating) of rating records; of several for one month the last by ``order`` counts."""
+    return records.groupBy("name_key", "year", "month").agg(F.max_by("rating", F.struct(*order)).alias("rating"))
+
+
 def rating_months(ratings: DataFrame) -> DataFrame:
     """Ratings (name_key, year, month, rating) for every month they answer for: their own first, then the month after
     them, then the month before, within the year."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.headers import blank, full_date, integer, key_hash, leading_elo, player, set_tag, slug, tag, with_headers, year_text
+from ..functions.headers import blank, integer, key_hash, leading_elo, player, set_tag, slug, tag, tournament_date, with_headers, year_text
 from .tables import saved
 
 
@@ -41,7 +41,7 @@ def tag_categories(games: DataFrame) -> DataFrame:
 def spelled_key() -> Column:
     """Event, site, and the date of the event, else the year; white space collapsed."""
     tidy = lambda c: F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit(" ")), r"\s+", " "))
-    whole = F.when(~F.coalesce(tag("EventDate"), F.lit("?")).contains("?"), full_date(tag("EventDate")))
+    whole = F.when(~F.coalesce(tag("EventDate"), F.lit("?")).contains("?"), tournament_date(tag("EventDate")))
     return F.concat_ws("|", tidy(tag("Event")), tidy(tag("Site")), F.coalesce(whole.cast("string"), year_text(tag("Date"))))
 
 
@@ -61,7 +61,7 @@ def qualified_tournaments(games: DataFrame, min_elo: int, min_games: int) -> Dat
         F.upper(F.trim(tag("Black"))).alias("b"),
         rating("White").alias("we"),
         rating("Black").alias("be"),
-        full_date(tag("Date")).alias("d"),
+        tournament_date(tag("Date")).alias("d"),
         spelled_key().alias("spelled"),
         tag("Event").alias("event"),
         tag("Site").alias("site"),

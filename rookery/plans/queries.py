@@ -13,6 +13,7 @@ from ..operators import collections as co
 from ..operators import evaluations as ev
 from ..operators import filters as fi
 from ..operators import info, landed, lookups, tournaments
+from ..operators import plies as pl
 from . import games as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,12 +401,12 @@ def sacrifices(spark, d):
     return ev.sacrifices(g.plies(spark, d))
 
 
-@query(
-    """, src AS (SELECT game_id, ply, is_white, eval_white_cp FROM plies UNION ALL SELECT DISTINCT game_id, 0, false, 0 FROM plies), sw AS (""" + SWINGS.format("src") + """)
+ANNOTATED = """, src AS (SELECT game_id, ply, is_white, eval_white_cp FROM plies UNION ALL SELECT DISTINCT game_id, 0, false, 0 FROM plies), sw AS (""" + SWINGS.format("src") + """)
 SELECT game_id, string_agg(CASE WHEN is_white THEN CAST((ply + 1) // 2 AS VARCHAR) || '. ' ELSE '' END || san || CASE WHEN mover_delta <= -300 THEN ' $4' WHEN mover_delta <= -150 THEN ' $2' WHEN mover_delta <= -60 THEN ' $6' ELSE '' END
-|| CASE WHEN eval_white_cp IS NOT NULL THEN ' { [%eval ' || printf('%.2f', eval_white_cp / 100.0) || '] }' ELSE '' END, ' ' ORDER BY ply) AS movetext FROM plies LEFT JOIN sw USING (game_id, ply) GROUP BY 1""",
-    base=P,
-)
+|| CASE WHEN eval_white_cp IS NOT NULL THEN ' { [%eval ' || printf('%.2f', eval_white_cp / 100.0) || '] }' ELSE '' END, ' ' ORDER BY ply) AS movetext FROM plies LEFT JOIN sw USING (game_id, ply) GROUP BY 1"""
+
+
+@query(ANNOTATED, base=P)
 def annotate_moves(spark, d):
     return ev.annotate(g.plies(spark, d))
 
@@ -492,6 +493,172 @@ def user_json_filter(spark, d):
     return fi.filter_user_payload(rows, "U7").select("event_id")
 
 
+# the moves that make up the text of the derived games, as the plies that the text is to give
+LISTED = """plies AS (SELECT game_id, CAST(2 * rn - 1 AS INT) AS ply, true AS is_white, substr('abcdefgh', CAST(l_suppkey % 8 + 1 AS INT), 1) || CAST(l_partkey % 8 + 1 AS STRING) AS san, true AS is_quiet,
+  0 AS blunder, 0 AS mistake, 0 AS dubious, CASE WHEN rn % 4 = 1 THEN 25 END AS eval_white_cp FROM lines JOIN heads ON game_id = l_orderkey
+UNION ALL SELECT game_id, CAST(2 * rn AS INT), false, 'N' || substr('abcdefgh', CAST(l_partkey % 8 + 1 AS INT), 1) || CAST(l_suppkey % 8 + 1 AS STRING) || CASE WHEN l_partkey % 10 = 0 THEN '#' ELSE '' END, l_partkey % 10 <> 0,
+  0, 0, 0, NULL FROM lines JOIN heads ON game_id = l_orderkey)"""
+
+
+@query(f", {LISTED} SELECT * FROM plies")
+def game_plies(spark, d):
+    return pl.plies_of(g.games(spark, d), ("game_id",)).select("game_id", "ply", "is_white", "san", "is_quiet", "blunder", "mistake", "dubious", "eval_white_cp")
+
+
+@query((_metrics_sql(False) + SCORES).replace(P, f"{g.DUCK}, {LISTED}", 1) + " SELECT game_id, soundness, coherence, tactics, quiet, length_cost, score FROM sc", base="")
+def score_games(spark, d):
+    return pl.score_games(g.games(spark, d), ("game_id",)).drop("details")
+
+
+@query(
+    ANNOTATED.replace("SELECT game_id, string_agg", ", t AS (SELECT game_id, string_agg") + ") SELECT games.game_id, CASE WHEN t.movetext IS NULL THEN games.movetext WHEN result = '' THEN t.movetext ELSE t.movetext || ' ' || result END AS movetext, "
+    "CASE WHEN t.movetext IS NOT NULL THEN 'rookery' END AS annotator, CASE WHEN t.movetext IS NOT NULL THEN '12' END AS depth FROM games LEFT JOIN t ON t.game_id = games.game_id",
+    base=f"{g.DUCK}, {g.PLIES}",
+)
+def annotate_games(spark, d):
+    out = pl.annotate_games(g.games(spark, d), g.plies(spark, d), 12, key=("game_id",))
+    return out.select("game_id", "movetext", h.tag("Annotator").alias("annotator"), h.tag("AnalysisDepth").alias("depth"))
+
+
+def from_sql(spark: SparkSession, d: str, sql: str, name: str) -> DataFrame:
+    """A shape that Spark and DuckDB derive from a table by one text."""
+    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: table(spark, d, name)})
+
+
+DATED = "SELECT event_id, CAST(ts AS DATE) AS day, CAST(year(ts) AS STRING) AS y, CAST(month(ts) AS STRING) AS m, CAST(day(ts) AS STRING) AS d FROM events"
+CENTS = "SELECT event_id, CAST(event_id * 37 % 20001 - 10000 AS INT) AS c, CAST(event_id % 90 + 1 AS STRING) AS n FROM events"
+COMMENTS = f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'so [%eval ' || CASE WHEN c < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs(c) / 100.0) AS INT) AS STRING) || '.' || lpad(CAST(abs(c) % 100 AS STRING), 2, '0') || ',20] [%eval 9]' WHEN 1 THEN '[%eval #-' || n || ']' WHEN 2 THEN '[%eval  #' || n || ' x]' ELSE 'no eval ' || n END AS comment FROM ({CENTS}) x"
+
+
+@query(
+    f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN c WHEN 1 THEN 100 * n::INT - 100000 WHEN 2 THEN 100000 - 100 * n::INT END AS cp, CASE event_id % 4 WHEN 0 THEN printf('%.2f', c / 100.0) WHEN 1 THEN '#-' || n WHEN 2 THEN '#' || n END AS shown FROM ({CENTS}) x",
+    base="",
+)
+def eval_comments(spark, d):
+    cp = h.eval_centipawns(F.col("comment"))
+    return from_sql(spark, d, COMMENTS, "events").select("event_id", cp.alias("cp"), h.eval_text(cp).alias("shown"))
+
+
+FENS = "SELECT event_id, repeat('P', CAST(event_id % 9 AS INT)) || '/' || repeat('n', CAST(event_id % 3 AS INT)) || 'Kk/' || repeat('R', CAST(event_id % 2 AS INT)) || '4' || repeat('q', CAST(event_id % 5 AS INT)) || 'B/b' || CASE WHEN event_id % 4 < 2 THEN ' w KQ' ELSE '  b KQ' END || ' - 0 1' AS fen FROM events"
+
+
+@query("SELECT event_id, CAST(event_id % 9 * 100 + event_id % 2 * 500 + 330 AS INT) AS white, CAST(event_id % 3 * 320 + event_id % 5 * 900 + 330 AS INT) AS black, event_id % 4 >= 2 AS black_moves FROM events", base="")
+def board_material(spark, d):
+    fen = F.col("fen")
+    return from_sql(spark, d, FENS, "events").select("event_id", h.material(fen, True).alias("white"), h.material(fen, False).alias("black"), h.black_to_move(fen).alias("black_moves"))
+
+
+BUILDS = f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'stockfish dev ' || substr(y, 3) || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 1 THEN 'Stockfish-' || y || lpad(m, 2, '0') || lpad(d, 2, '0') || ' x' WHEN 2 THEN 'Stockfish 16' ELSE 'Other ' || y || '0101' END AS name FROM ({DATED}) x"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 4 < 2 THEN day END AS built FROM ({DATED}) x", base="")
+def engine_builds(spark, d):
+    return from_sql(spark, d, BUILDS, "events").select("event_id", h.engine_build_date(F.col("name"), 2026).alias("built"))
+
+
+WRITTEN = f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN y || '.' || lpad(m, 2, '0') || '.' || d WHEN 1 THEN y || '-' || m || '-' || lpad(d, 2, '0') WHEN 2 THEN ' ' || y || '/' || m || '/' || d WHEN 3 THEN y || '.' || m || '-' || d ELSE y || '.' || m || '.??' END AS written FROM ({DATED}) x"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN day END AS day FROM ({DATED}) x", base="")
+def tournament_dates(spark, d):
+    return from_sql(spark, d, WRITTEN, "events").select("event_id", h.tournament_date(F.col("written")).alias("day"))
+
+
+@query("SELECT game_id, 'Lc0 match ' || game_id AS event, strftime(DATE '2024-01-01' + CAST(game_id % 300 AS INT), '%Y-%m-%d') AS date, 'Lc0 v0.' || game_id % 31 AS white, 'Lc0 v0.' || game_id % 31 AS black, round FROM games")
+def engine_match_headers(spark, d):
+    day, version = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("game_id") % 300).cast("int")), F.concat(F.lit("v0."), (F.col("game_id") % 31).cast("string"))
+    out = lookups.rewrite_engine_match(g.games(spark, d), F.col("game_id"), day, version)
+    return out.select("game_id", *(h.tag(t).alias(t.lower()) for t in ("Event", "Date", "White", "Black", "Round")))
+
+
+LANDED = "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN ' Ab' || CAST(page_id AS STRING) END AS uuid, CASE WHEN page_id % 2 = 0 THEN url || '//' END AS url, CASE WHEN page_id % 4 = 1 THEN chr(10) || '[Link \"' || url || '/\"]' || chr(10) ELSE coalesce(html, '') || chr(13) || chr(10) END AS pgn FROM pages"
+
+
+@query(
+    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'uuid:ab' || page_id || ' url:' || rtrim(lower(trim(url)), '/') WHEN 2 THEN 'url:' || rtrim(lower(trim(url)), '/') WHEN 1 THEN 'url:' || rtrim(lower(url), '/') "
+    "ELSE 'pgn:' || sha256(replace(coalesce(html, '') || chr(13) || chr(10), chr(13) || chr(10), chr(10))) END AS keys FROM pages",
+    base="",
+)
+def payload_keys(spark, d):
+    return landed.game_keys(from_sql(spark, d, LANDED, "pages")).select("page_id", F.array_join("keys", " ").alias("keys"))
+
+
+@query("SELECT event_id FROM events WHERE user_id % 5 > 0 AND user_id % 5 * 600 BETWEEN 500 AND 2000 AND event_id % 7 > 0 AND event_id % 3 * 900 BETWEEN 500 AND 2000", base="")
+def payload_band(spark, d):
+    side = lambda x, n: F.when(F.col(x) % n > 0, F.struct(F.when(F.col("user_id") >= 0, F.col(x) % (5 if x == "user_id" else 3) * (600 if x == "user_id" else 900)).alias("rating")))
+    rows = table(spark, d, "events").select("event_id", side("user_id", 5).alias("white"), side("event_id", 7).alias("black"), F.lit("1. e4").alias("pgn"))
+    return landed.eligible_payload(rows, 500, 2000).select("event_id")
+
+
+@query("SELECT DISTINCT lower(c_name) AS \"user\" FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0)", base="")
+def unprocessed_players(spark, d):
+    names = table(spark, d, "customer").select("c_custkey", F.concat(F.lit(" "), F.upper("c_name")).alias("user"))
+    done = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey")).join(names, "c_custkey")
+    return landed.unprocessed(names.select("user"), done.select("user"))
+
+
+@query("SELECT min(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END) AS segment FROM customer GROUP BY lower(c_mktsegment)", base="")
+def distinct_names(spark, d):
+    mixed = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return co.distinct_ignoring_case(table(spark, d, "customer").select(mixed.alias("segment")), "segment")
+
+
+FILES = f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'extra-' || CAST(event_id % 7 AS STRING) ELSE 'u' || CAST(event_id % 3 AS STRING) || '-' || y || '-' || lpad(m, 2, '0') END || '.pgn' AS file FROM ({DATED}) x"
+
+
+@query(f"SELECT event_id, CAST(row_number() OVER (ORDER BY event_id % 4 = 0, CASE WHEN event_id % 4 <> 0 THEN substr(file, 4, 7) END, file, event_id) - 1 AS BIGINT) AS rank FROM ({FILES}) f", base="")
+def merge_months(spark, d):
+    files = from_sql(spark, d, FILES, "events")
+    places = [f"_{k}" for k in range(3)]
+    files = files.withColumns(dict(zip(places, co.month_order(F.col("file")), strict=True)))
+    return co.global_index(files, [*places, "event_id"], "rank").select("event_id", "rank")
+
+
+INDEX = """SELECT o_orderkey AS page_id, '<table><tbody><tr><td>' || CAST(o_orderkey AS STRING) || '</td><td><a href="x">' || CAST(o_custkey AS STRING) || '</a></td><td>-</td><td> ' || CASE o_orderkey % 5
+WHEN 0 THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') WHEN 1 THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || ' 10:20' WHEN 2 THEN substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m AS INT) * 3 - 2, 3) || ' ' || d || ', ' || y
+WHEN 3 THEN m || '/' || d || '/' || y ELSE 'soon' END || '</td></tr><tr><td>x</td><td>1</td><td>' || y || '-01-01</td></tr></tbody></table>' AS html
+FROM (SELECT *, CAST(year(o_orderdate) AS STRING) AS y, CAST(month(o_orderdate) AS STRING) AS m, CAST(day(o_orderdate) AS STRING) AS d FROM orders) x"""
+
+
+@query("SELECT CAST(o_orderkey AS INT) AS match_id, CAST(o_custkey AS INT) AS run_id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 5 < 4", base="")
+def match_rows(spark, d):
+    return landed.match_table(from_sql(spark, d, INDEX, "orders"))
+
+
+@query("SELECT 'event' AS header, count(*) AS games, count(DISTINCT upper(event)) AS files FROM games UNION ALL SELECT 'eco', count(*), count(DISTINCT eco) FROM games")
+def split_totals(spark, d):
+    games = g.games(spark, d)
+    one = lambda n: co.split_summary(co.split_by_header(games, n)).select(F.lit(n).alias("header"), "games", "files")
+    return one("event").union(one("eco"))
+
+
+@query("SELECT lower(c_name) AS name_key, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CAST(1000 + arg_max(o_orderkey, o_orderkey) * 7 % 1500 AS INT) AS rating FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3", base="")
+def last_ratings(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    day = F.col("o_orderdate")
+    records = rows.select(h.name_key(F.col("c_name")).alias("name_key"), F.year(day).alias("year"), F.month(day).alias("month"), (1000 + F.col("o_orderkey") * 7 % 1500).cast("int").alias("rating"), "o_orderkey")
+    return lookups.last_ratings(records, ["o_orderkey"])
+
+
+PAIRS = "SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part"
+
+
+@query(
+    f"WITH p AS ({PAIRS}), r AS (SELECT CASE WHEN length(a) % 2 = 0 THEN a || b ELSE b || a END AS k, 1000 + max(10 * length(a) + length(b)) AS rating FROM p WHERE length(b) % 3 > 0 GROUP BY 1), "
+    "n AS (SELECT a || ' ' || b AS name, a || b AS raw, b || a AS swapped FROM p UNION SELECT b || ', ' || a, b || a, a || b FROM p) "
+    "SELECT name, CAST(coalesce(x.rating, y.rating) AS INT) AS rating FROM n LEFT JOIN r x ON x.k = raw LEFT JOIN r y ON y.k = swapped WHERE coalesce(x.rating, y.rating) IS NOT NULL",
+    base="",
+)
+def rating_keys(spark, d):
+    """A name meets ratings as it is written, else with its last word first."""
+    pairs = from_sql(spark, d, PAIRS, "part")
+    key = F.when(F.length("a") % 2 == 0, F.concat("a", "b")).otherwise(F.concat("b", "a"))
+    known = pairs.where(F.length("b") % 3 > 0).groupBy(key.alias("name_key")).agg((1000 + F.max(10 * F.length("a") + F.length("b"))).alias("rating"))
+    known = known.select("name_key", F.lit(2020).alias("year"), F.lit(5).alias("month"), "rating")
+    names = pairs.select(F.explode(F.array(F.concat_ws(" ", "a", "b"), F.concat_ws(", ", "b", "a"))).alias("name")).distinct()
+    return lookups.rate_asof(names, known, "name", F.lit("2020.05.??"), ["name"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

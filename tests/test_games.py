@@ -13,6 +13,7 @@ from rookery.operators import collections as co
 from rookery.operators import evaluations as ev
 from rookery.operators import filters as fi
 from rookery.operators import info, landed, lookups, tournaments
+from rookery.operators import plies as pl
 from rookery.sources import pgn
 
 ALPHA = {"Event": "Alpha Open", "Site": "Rome", "Date": "2024.01.02", "Round": "1", "White": "Ann", "Black": "Bob", "WhiteElo": "2500", "BlackElo": "2400", "Result": "1-0", "ECO": "C20"}
@@ -204,6 +205,33 @@ def test_engine_versions(spark):
     assert lookups.normalize_engines(games, releases, 2026).first().tags == {"white": "Stockfish 16.1", "black": "Stockfish 15"}
 
 
+def test_plies_of_games(spark):
+    text = "{before [%eval 9]} 1. e4! {[%eval 0.3] (x} {[%eval 0.4]} ; 1... c5\n1... e5?! $2 (1... c5 {[%eval 5]} (1... d5) 2. a3) ) 2.Qh5?? $4 2... 0-0 3. exd6 e.p. Nf3?$4 Zz 4. e8=Q+ 1-0 {[%eval 1"
+    games = make(spark, [({"White": "a"}, text), ({"White": "a", "FEN": "8/8 b - - 0 1"}, "1... e5 2. Nf3"), ({"White": "a"}, ""), ({"White": "a"}, None)])
+    rows = [r for r in pl.plies_of(games).orderBy("seq", "ply").collect()]
+    assert [r.san for r in rows if r.seq == 0] == ["e4", "e5", "Qh5", "0-0", "exd6", "Nf3", "e8=Q+"]
+    assert [r.eval_white_cp for r in rows if r.seq == 0] == [40] + [None] * 6
+    assert [(r.blunder, r.mistake, r.dubious) for r in rows if r.seq == 0] == [(0, 0, 0), (0, 1, 1), (2, 0, 0), (0, 0, 0), (0, 0, 0), (1, 1, 0), (0, 0, 0)]
+    assert [r.is_quiet for r in rows if r.seq == 0] == [True] * 4 + [False, True, False] and rows[4].is_capture and rows[6].is_promotion and rows[6].is_check
+    assert [(r.is_white, r.san) for r in rows if r.seq == 1] == [(False, "e5"), (True, "Nf3")] and {r.seq for r in rows} == {0, 1}
+    assert {r.seq for r in pl.score_games(games).collect()} == {0, 1}
+
+
+def test_annotated_games(spark):
+    games = make(spark, [({"Result": "1-0"}, "1. e4 e5"), ({"Result": "1-0"}, "1. e4 {[%eval 0.2]} e5 {[%eval 4]} 0-1"), ({"White": "a"}, "1. e4"), ({"Result": " "}, "1. d4"), ({"Result": "*"}, "{none}")])
+    out = pl.annotate_games(games, pl.plies_of(games), 8).orderBy("seq").collect()
+    assert [r.movetext for r in out] == ["1. e4 e5 1-0", "1. e4 { [%eval 0.20] } e5 $4 { [%eval 4.00] } 0-1", "1. e4 *", "1. d4", "{none}"]
+    assert [(r.tags.get("annotator"), r.tags.get("analysisdepth")) for r in out] == [("rookery", "8")] * 4 + [(None, None)]
+
+
+def test_counters_arrive_with_the_job(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("filter")
+    games = make(spark, [(ALPHA, MATE), ({"White": "a"}, "*")])
+    assert fi.counted(games, seen, kept=h.elo("WhiteElo").isNotNull()).count() == 2 and seen.get == {"processed": 2, "kept": 1}
+
+
 def test_evaluations(spark):
     df = spark.createDataFrame([("x [%eval 0.255] y",), ("[%eval #-3]",), ("[%eval -1.5,20]",), ("none",)], "c string")
     assert [r[0] for r in df.select(h.eval_centipawns(F.col("c"))).collect()] == [26, -99700, -150, None]
