@@ -3,12 +3,17 @@
 Plain files are read in byte ranges. A range begins with the first game start that follows some line of moves inside the
 range, and each reader goes on past its end until it meets the start at which the next reader begins, so ranges need no
 index and no two readers return one game. (A tag line after a blank line inside a comment is the one thing that misleads
-this; ``splittable=false`` reads files whole.) Compressed files are read whole. ``seq`` is the offset of a game.
+this; ``splittable=false`` reads files whole.) Compressed files are read whole, and archives (.zip, .tar, .tar.gz, .tgz)
+entry by entry, those that end in .pgn; their source_file is archive!entry. ``seq`` is the offset of a game.
+
+A line or a game beyond the limits is an error; with ``mode=PERMISSIVE`` games that hold one are left out.
 """
 
 from __future__ import annotations
 
 import re
+import tarfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -24,6 +29,7 @@ ARROW = pa.schema([("source_file", pa.string()), ("seq", pa.int64()), ("headers"
 TAG = re.compile(r"""\s*\[([^\s\]]+)\s+(?:"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)'|([^\]"']*?))\s*\]\s*$""")
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*$")
 MAX_LINE, MAX_TEXT = 262_144, 10 << 20
+ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz")
 
 
 def parse_tag(line: str, in_moves: bool) -> tuple[str, str] | None:
@@ -53,9 +59,10 @@ def scan_nesting(line: str, brace: bool, depth: int) -> tuple[bool, int]:
     return brace, depth
 
 
-def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_text: int = MAX_TEXT) -> Iterator[tuple[int, list[tuple[str, str]], str]]:
-    """(offset, headers, move text) from lines with their offsets. Of a repeated tag the last value stands at its first place."""
-    start, headers, moves, brace, depth, size = None, {}, [], False, 0, 0
+def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_text: int = MAX_TEXT, permissive: bool = False) -> Iterator[tuple[int, list[tuple[str, str]], str]]:
+    """(offset, headers, move text) from lines with their offsets. Of a repeated tag the last value stands at its first
+    place. What breaks a limit is an error; where ``permissive``, its game is left out and its long lines are not kept."""
+    start, headers, moves, brace, depth, size, broken = None, {}, [], False, 0, 0, False
 
     def done():
         while moves and not moves[-1].strip():
@@ -64,14 +71,22 @@ def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_
 
     for offset, line in lines:
         if len(line) > max_line:
-            raise ValueError(f"a line of {len(line)} characters at {offset}")
+            if not permissive:
+                raise ValueError(f"a line of {len(line)} characters at {offset}")
+            if start is None:
+                start = offset
+            broken, brace, depth = True, False, 0
+            if not moves and line.lstrip().startswith("["):
+                continue  # a tag: the game goes on with its next one
+            line = "*"  # stands for moves, so that the next tag begins a game
         if line.startswith("%"):
             continue
         found = None if brace or depth else parse_tag(line, bool(moves))
         if found:
             if moves:
-                yield done()
-                start, headers, moves, size = None, {}, [], 0
+                if not broken:
+                    yield done()
+                start, headers, moves, size, broken = None, {}, [], 0, False
             if start is None:
                 start = offset
             key = found[0].lower()
@@ -80,11 +95,16 @@ def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_
             if start is None:
                 start = offset
             brace, depth = scan_nesting(line, brace, depth)
-            moves.append(line)
             size += len(line) + 1
             if size > max_text:
-                raise ValueError(f"the moves of the game at {start} are too long")
-    if headers or moves:
+                if not permissive:
+                    raise ValueError(f"the moves of the game at {start} are too long")
+                broken, moves = True, ["*"]
+            if not broken:
+                moves.append(line)
+            elif not moves:
+                moves = ["*"]
+    if (headers or moves) and not broken:
         yield done()
 
 
@@ -113,6 +133,20 @@ def _lines(stream, offset: int, encoding: str) -> Iterator[tuple[int, str]]:
             return
 
 
+def _entries(path: str, file) -> Iterator[tuple[str, object]]:
+    """Names and streams of the PGN entries of an archive."""
+    if path.lower().endswith(".zip"):
+        with zipfile.ZipFile(file) as archive:
+            for info in archive.infolist():
+                if info.filename.lower().endswith(".pgn"):
+                    yield info.filename, archive.open(info)
+        return
+    with tarfile.open(fileobj=file, mode="r:*") as archive:
+        for info in archive:
+            if info.isfile() and info.name.lower().endswith(".pgn"):
+                yield info.name, archive.extractfile(info)
+
+
 def range_lines(lines: Iterator[tuple[int, str]], start: int, end: int | None) -> Iterator[tuple[int, str]]:
     """The lines of the games that belong to a range."""
     begun, ripe, other, blank = start == 0, False, False, True
@@ -147,7 +181,7 @@ class PgnReader(DataSourceReader):
             info = system.get_file_info(root)
             found = [info] if info.type == fs.FileType.File else [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
             for x in sorted(found, key=lambda x: x.path):
-                whole = not split or x.path.endswith((".gz", ".bz2", ".zst"))
+                whole = not split or x.path.lower().endswith((".gz", ".bz2", ".zst", *ARCHIVES))
                 cuts = [0] if whole or x.size <= size else range(0, x.size, size)
                 out += [Range(x.path, c, None if whole or c + size >= x.size else c + size) for c in cuts if x.size]
         return out
@@ -155,19 +189,31 @@ class PgnReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         path = self.options["path"].split("\n")[0]
         system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+        if part.path.lower().endswith(ARCHIVES):
+            with system.open_input_file(part.path) as file:
+                for name, stream in _entries(part.path, file):
+                    yield from self._batches(f"{part.path}!{name}", _lines(stream, 0, self.encoding))
+            return
         if part.start:
             stream = system.open_input_file(part.path)
             stream.seek(part.start - 1)
             skipped = 0
-            while (c := stream.read(1)) and c != b"\n":
-                skipped += 1
+            while data := stream.read(1 << 16):
+                if (at := data.find(b"\n")) >= 0:
+                    skipped += at
+                    break
+                skipped += len(data)
             offset = part.start + skipped
+            stream.seek(offset)
         else:
             stream, offset = system.open_input_stream(part.path, compression="detect"), 0
-        lines = range_lines(_lines(stream, offset, self.encoding), part.start, part.end)
+        yield from self._batches(part.path, range_lines(_lines(stream, offset, self.encoding), part.start, part.end))
+
+    def _batches(self, name: str, lines: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
         games = []
-        for at, head, text in parse_games(lines, int(self.options.get("maxlinelength", MAX_LINE)), int(self.options.get("maxmovetext", MAX_TEXT))):
-            games.append((part.path, at, head, text))
+        limits = int(self.options.get("maxlinelength", MAX_LINE)), int(self.options.get("maxmovetext", MAX_TEXT))
+        for at, head, text in parse_games(lines, *limits, self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE"):
+            games.append((name, at, head, text))
             if len(games) >= 1000:
                 yield batch_of(games, self.headers_only)
                 games = []

@@ -35,6 +35,37 @@ def test_parser_cases():
         list(pgn.parse_games([(0, "x" * 300_000)]))
 
 
+def test_permissive_leaves_out_the_games_beyond_limits():
+    text = '[Event "A"]\n\n1. e4 *\n[Event "B"]\n[Note "' + "n" * 60 + '"]\n[Site "b"]\n\n1. c4 {a\n[Event "C"]\n\n' + "1. d4 " * 12 + '\n[Event "D"]\n\n1. e4 e5\n2. d4 d5\n3. c4 *\n[Event "E"]\n\n*\n'
+    text = text.replace("{a", "a")
+    lines = list(enumerate(text.split("\n")))
+    kept = lambda **o: [(g[1][0][1], g[2]) for g in pgn.parse_games(lines, 50, **o)]
+    assert kept(permissive=True) == [("A", "1. e4 *"), ("D", "1. e4 e5\n2. d4 d5\n3. c4 *"), ("E", "*")]
+    assert [e for e, _ in kept(permissive=True, max_text=15)] == ["A", "E"]
+    with pytest.raises(ValueError):
+        kept()
+
+
+def test_archives_give_their_entries(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    body = lambda n: f'[Event "{n}"]\n\n1. e4 *\n\n[Event "{n}{n}"]\n\n1. d4 *\n'.encode()
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x/a.PGN", body("A"))
+        z.writestr("readme.txt", b"no game")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        for n in "bc":
+            info = tarfile.TarInfo(f"{n}.pgn")
+            info.size = len(body(n))
+            t.addfile(info, io.BytesIO(body(n)))
+    (tmp_path / "d.pgn").write_bytes(body("d"))
+    rows = pgn.read_pgn(spark, str(tmp_path)).collect()
+    assert sorted(r.tags["event"] for r in rows) == ["A", "AA", "b", "bb", "c", "cc", "d", "dd"]
+    assert len({(r.source_file, r.seq) for r in rows}) == 8 and any(r.source_file.endswith("a.zip!x/a.PGN") for r in rows)
+
+
 def test_ranges_give_the_games_of_the_whole(spark, tmp_path):
     rng = random.Random(1)
     games = []
