@@ -47,11 +47,13 @@ def longest_prefix(games: DataFrame, book: DataFrame, moves: str = "moves", orde
 
 
 def tag_openings(games: DataFrame, book: DataFrame) -> DataFrame:
-    out = longest_prefix(with_moves(games), book)
+    order = ["source_file", "seq"]
+    moves = saved(with_moves(games).select(*order, "moves"), "moves")
+    out = games.join(longest_prefix(moves, book).drop("moves"), order, "left")
     head = F.col("headers")
     for name in ("ECO", "Opening", "Variation"):
         head = h.set_tag(head, name, F.col(name.lower()))
-    return h.with_headers(out, head).drop("moves", "depth", "eco", "opening", "variation")
+    return h.with_headers(out, head).drop("depth", "eco", "opening", "variation")
 
 
 def last_ratings(records: DataFrame, order: list[str]) -> DataFrame:

@@ -50,14 +50,12 @@ def _views(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived games as columns, with their moves."""
-    sql = f"WITH {GAMES} SELECT heads.*, t, rn FROM heads JOIN moves ON k = game_id"
+    text = "array_join(transform(array_sort(collect_list(struct(rn, t))), x -> x.t), ' ')"
+    sql = f"WITH {GAMES}, texts AS (SELECT k, {text} AS movetext FROM moves GROUP BY k) SELECT heads.*, movetext FROM heads JOIN texts ON k = game_id"
     sql = sql.replace("{", "{{").replace("}", "}}")
     for n in TABLES:
         sql = sql.replace(f" {n} ON", f" {{{n}}} ON").replace(f" {n})", f" {{{n}}})").replace(f"FROM {n} ", f"FROM {{{n}}} ")
-    rows = spark.sql(sql, **_views(spark, sf_dir, TABLES))
-    keys = [c for c in rows.columns if c not in ("t", "rn")]
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"]), " ")
-    return rows.groupBy(*keys).agg(text.alias("movetext"))
+    return spark.sql(sql, **_views(spark, sf_dir, TABLES))
 
 
 NAMES = {"event": "Event", "site": "Site", "date": "Date", "round": "Round", "white": "White", "black": "Black", "white_elo": "WhiteElo", "black_elo": "BlackElo", "result": "Result", "eco": "ECO", "white_fed": "WhiteFed", "variant": "Variant", "time_control": "TimeControl"}
