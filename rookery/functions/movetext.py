@@ -26,13 +26,22 @@ DIALECTS = {
 }
 
 
+SPECIAL = re.compile(r"[{;()\[]")
+
+
 def mainline(text: str, dialect: str) -> str:
     """Move text without comments and variations; a space stands for what is gone."""
     nested, brackets, _ = DIALECTS[dialect]
     out: list[str] = []
     depth, i, n = 0, 0, len(text)
     while i < n:
-        c = text[i]
+        found = SPECIAL.search(text, i)
+        plain = found.start() if found else n
+        if depth == 0:
+            out.append(text[i:plain])
+        if plain == n:
+            break
+        i, c = plain, text[plain]
         if depth == 0 and c == "{" or nested and c == "{":
             end = text.find("}", i)
             inside = text[i : n if end < 0 else end]
