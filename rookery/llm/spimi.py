@@ -3,8 +3,8 @@
 One pass over the texts. Each task builds the postings of a block, (lang, term, source) -> occurrences and documents, in
 memory until they take ``block_bytes``; then it spills them as term-sorted runs, one per hash shard, cut into packed
 segments of at most ``SEGMENT`` postings. Spark shuffles the segments to their shards and sorts them by first posting; the
-task of a shard merges its runs with a heap that holds the segments whose range the merge has reached, so memory is that of
-the open segments and not of the shard. What comes out per term is final: its frequency in each source and in its language.
+task of a shard merges its runs through a heap of the segments whose range the merge has reached, so memory is that of the
+open segments and not of the shard. What comes out per term is final: its frequency in each source and in its language.
 A term that is everywhere costs one posting per block and source, a hot source or language no more than any other.
 
 With N occurrences of the V kept terms in a group, a term with count occurrences has p = 1 + floor(10^9 (count + 2) / (N + 2 V)),
@@ -22,11 +22,14 @@ gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,63 +41,79 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 3
 SEGMENT = 4096
 #: About what a posting takes in a block besides its term.
 POSTING_BYTES = 150
-DOCUMENTS = 40  # bits; a block's number of documents of a term, below its occurrences
+DOCUMENTS = 24  # bits; a block's number of documents of a term, below its occurrences
+#: Segments that a merge opens before it folds what is final.
+OPENED = 64
 TILE = 256
-POSTINGS = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.binary()), ("count", pa.int64()), ("docs", pa.int64())])
+NAMES = ("lang", "term", "source")
+POSTINGS = pa.schema([*((c, pa.binary()) for c in NAMES), ("count", pa.int64()), ("docs", pa.int64())])
 RUNS = "shard int, lang binary, term binary, source binary, postings binary"
 FREQUENCIES = "lang string, term string, source string, count long, total long, head boolean"
 
 
-def packed(rows: list[tuple]) -> bytes:
+def packed(postings: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), POSTINGS, strict=True)], schema=POSTINGS)
     with pa.ipc.new_stream(sink, POSTINGS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(table)
+        out.write_batch(postings)
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(data: bytes) -> Iterator[tuple]:
+def unpacked(data: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(data) as stream:
-        for batch in stream:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        return stream.read_next_batch()
 
 
 def index_blocks(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
     """The runs of all blocks: a row per segment, with its shard and first posting."""
-    low = (1 << DOCUMENTS) - 1
+
+    def ranked(values: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The distinct values in order, and the place of each value among them."""
+        coded = pa.array(values, pa.binary()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
 
     def spill(block: dict[tuple[bytes, bytes], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        runs: list[list[tuple]] = [[] for _ in range(shards)]
-        for (lang, source), postings in block.items():
-            for term, n in postings.items():
-                runs[xxhash.xxh3_64_intdigest(term) % shards].append((lang, term, source, n >> DOCUMENTS, n & low))
-            postings.clear()
-        for shard, run in enumerate(runs):
-            run.sort()
-            rows = [(shard, *run[at][:3], packed(run[at : at + SEGMENT])) for at in range(0, len(run), SEGMENT)]
-            run.clear()
-            if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "lang", "term", "source", "postings"])
+        sizes = [len(p) for p in block.values()]
+        if not sum(sizes):
+            return
+        terms, term = ranked([t for p in block.values() for t in p])
+        langs, lang = ranked([g for g, _ in block])
+        sources, source = ranked([s for _, s in block])
+        n = np.fromiter((x for p in block.values() for x in p.values()), np.int64, sum(sizes))
+        block.clear()
+        lang, source = np.repeat(lang, sizes), np.repeat(source, sizes)
+        shard = np.fromiter((xxhash.xxh3_64_intdigest(t) % shards for t in terms.to_pylist()), np.int32, len(terms))[term]
+        order = np.lexsort((source, term, lang, shard))
+        shard, n = shard[order], n[order]
+        columns = [values.take(pa.array(at[order])) for values, at in ((langs, lang), (terms, term), (sources, source))]
+        run = pa.RecordBatch.from_arrays([*columns, pa.array(n >> DOCUMENTS), pa.array(n & ((1 << DOCUMENTS) - 1))], schema=POSTINGS)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+        cuts = [(k, min(k + SEGMENT, b)) for a, b in zip(edges, edges[1:], strict=False) for k in range(a, b, SEGMENT)]
+        for at in range(0, len(cuts), OPENED):
+            some = cuts[at : at + OPENED]
+            first = pa.array([a for a, _ in some])
+            heads = [c.take(first) for c in run.columns[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[[a for a, _ in some]]), *heads, pa.array([packed(run.slice(a, b - a)) for a, b in some], pa.binary())], names=["shard", *NAMES, "postings"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
-        used = 0
+        used = held = 0
         for part in slices(batches, 0, 1000, 16 << 20):
             texts, langs, sources = (c.cast(pa.binary()).to_pylist() for c in part.columns)
             for text, lang, source in zip(texts, langs, sources, strict=True):
                 own = block.setdefault((lang, source), {})
-                before, letters = len(own), 0
-                for term, n in Counter(text.translate(FOLD).split()).items():
-                    held = own.get(term)
-                    if held is None:
-                        letters += len(term)
-                        held = 0
-                    own[term] = held + (n << DOCUMENTS) + 1
-                used += letters + POSTING_BYTES * (len(own) - before)
-                if used >= block_bytes:
+                before = len(own)
+                counts = Counter(text.translate(FOLD).split())
+                for term, n in counts.items():
+                    own[term] = own.get(term, 0) + (n << DOCUMENTS) + 1
+                if len(own) > before:  # new terms are the last ones
+                    used += POSTING_BYTES * (len(own) - before) + sum(map(len, islice(reversed(own), len(own) - before)))
+                held += 1
+                if used >= block_bytes or held >> DOCUMENTS - 1:
                     yield from spill(block)
-                    block, used = {}, 0
+                    block, used, held = {}, 0, 0
         yield from spill(block)
 
     texts = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
@@ -103,57 +122,48 @@ def index_blocks(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
 
 def merge_runs(runs: DataFrame, shards: int, least: int) -> DataFrame:
     """Frequencies of the terms that at least ``least`` documents of their language have: a row per term and source that
-    has it, with the total of the language; ``head`` marks one row per term."""
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """All postings of the shard in order."""
-        segments = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        waiting, heap, serial = next(segments, None), [], 0
-        while heap or waiting:
-            while waiting and (not heap or waiting[:4] <= heap[0][0]):
-                rest = unpacked(waiting[4])
-                heapq.heappush(heap, ((waiting[0], *(first := next(rest))[:3]), serial, first, rest))
-                serial += 1
-                waiting = next(segments, None)
-            key, number, posting, rest = heap[0]
-            yield posting
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, ((key[0], *following[:3]), number, following, rest))
+    has it, with the total of the language; ``head`` marks one row per term.
+
+    Segments come in the order of their first postings, so what lies before the first term of the next one is final in
+    all that are open. These wait in a heap by the posting they have got to."""
+
+    def before(segment: pa.RecordBatch, term: tuple) -> int:
+        """How many postings of a segment lie before a (lang, term)."""
+        return bisect_left(range(segment.num_rows), term, key=lambda k: (segment.column(0)[k].as_py(), segment.column(1)[k].as_py()))
+
+    def folded(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        own = pa.Table.from_batches(parts, POSTINGS).group_by([*NAMES], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+        of_lang = own.group_by(["lang", "term"], use_threads=False).aggregate([("docs_sum", "sum"), ("count_sum", "sum"), ("source", "min")])
+        kept = of_lang.filter(pc.greater_equal(of_lang["docs_sum_sum"], least))
+        if not kept.num_rows:
+            return None
+        out = own.join(kept.select(["lang", "term", "count_sum_sum", "source_min"]), ["lang", "term"], join_type="inner", use_threads=False).combine_chunks()
+        text = [out[c].cast(pa.string()).combine_chunks() for c in NAMES]
+        numbers = [out[c].combine_chunks() for c in ("count_sum", "count_sum_sum")]
+        head = pc.equal(out["source"], out["source_min"]).combine_chunks()
+        return pa.RecordBatch.from_arrays([*text, *numbers, head], names=[*NAMES, "count", "total", "head"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        lang = term = None
-        counts: dict[bytes, int] = {}
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            binary = [pa.binary()] * 3 + kinds[3:]
-            made = [pa.array(c, k).cast(s) for c, k, s in zip(zip(*out, strict=True), binary, kinds, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(made, names=["lang", "term", "source", "count", "total", "head"])
-
-        def close() -> None:
-            if held >= least:
-                total = sum(counts.values())
-                out.extend((lang, term, s, n, total, k == 0) for k, (s, n) in enumerate(counts.items()))
-
-        for own_lang, own_term, source, n, docs in merged(batches):
-            if own_term != term or own_lang != lang:
-                close()
-                if len(out) >= 50_000:
-                    yield batch()
-                lang, term, counts, held = own_lang, own_term, {}, 0
-            counts[source] = counts.get(source, 0) + n
-            held += docs
-        close()
-        if out:
-            yield batch()
-
-    dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "term", "source")
+        segments = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        heap: list[tuple] = []
+        ahead, serial = next(segments, None), 0
+        while heap or ahead:
+            opened = 0
+            while ahead and opened < OPENED and (not heap or ahead[0] == heap[0][0][0]):
+                heapq.heappush(heap, ((ahead[0], ahead[1], ahead[2]), serial, unpacked(ahead[4])))
+                serial, opened = serial + 1, opened + 1
+                ahead = next(segments, None)
+            edge, final = ahead and ahead[:3], []
+            while heap and (edge is None or heap[0][0] < edge):
+                (shard, *_), number, segment = heapq.heappop(heap)
+                n = segment.num_rows if edge is None or shard < edge[0] else before(segment, edge[1:])
+                final.append(segment.slice(0, n))
+                if n < segment.num_rows:
+                    heapq.heappush(heap, ((shard, segment.column(0)[n].as_py(), segment.column(1)[n].as_py()), number, segment.slice(n)))
+            if final and (out := folded(final)) is not None:
+                yield out
+
+    dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", *NAMES)
     return dealt.mapInArrow(frequencies, FREQUENCIES)
 
 
