@@ -213,7 +213,7 @@ def swapped_name_key(c: Column) -> Column:
 def last_name_key(c: Column) -> Column:
     """What stands before a comma, else the last word."""
     before = F.when(c.contains(","), F.get(F.split(c, ","), F.lit(0)))
-    return F.coalesce(F.nullif(F.array_join(_tokens(before), ""), F.lit("")), F.element_at(_tokens(c), -1))
+    return F.coalesce(F.nullif(F.array_join(_tokens(before), ""), F.lit("")), F.try_element_at(_tokens(c), F.lit(-1)))
 
 
 def natural_key(c: Column) -> Column:

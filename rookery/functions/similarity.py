@@ -1,4 +1,4 @@
-"""Name similarity and cleaning, which Spark has no functions for: Arrow UDFs over distinct names or blocked pairs."""
+"""Name similarity and cleaning, which Spark has no functions for: Arrow UDFs over distinct names or indexed pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,35 +23,55 @@ LATIN = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð":
 IN_LATIN = str.maketrans(ARABIC | HEBREW | LATIN)
 
 
-def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro-Winkler similarity: common prefix up to 4, scale 0.1."""
-    if a == b:
-        return 1.0
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
-    reach = max(n, m) // 2 - 1
-    used, mine = [False] * m, []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                mine.append(c)
-                break
-    k = len(mine)
-    if not k:
-        return 0.0
-    theirs = [c for c, u in zip(b, used, strict=True) if u]
-    half = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
-    jaro = (k / n + k / m + (k - half) / k) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, n, m))
-    return jaro + prefix * 0.1 * (1 - jaro)
+CELLS = 1 << 22
+
+
+def _letters(x: list[str]) -> np.ndarray:
+    """Code points in rows, 0 where a string has ended."""
+    rows = np.array(x, dtype=np.str_)
+    return rows.view(np.uint32).reshape(len(x), -1) if rows.itemsize else np.zeros((len(x), 0), np.uint32)
+
+
+def _jaro_winkler(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n, m = np.count_nonzero(a, axis=1), np.count_nonzero(b, axis=1)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    place, rows = np.arange(b.shape[1])[None, :], np.arange(len(a))
+    mine, theirs = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    for i in range(a.shape[1]):
+        free = (b == a[:, i : i + 1]) & (a[:, i : i + 1] != 0) & ~theirs & (np.abs(place - i) <= reach)
+        met = free.any(axis=1)
+        mine[:, i] = met
+        theirs[rows[met], free.argmax(axis=1)[met]] = True
+    k = mine.sum(axis=1)
+    first = lambda x, used: np.take_along_axis(x, np.argsort(~used, axis=1, kind="stable"), axis=1)
+    width = min(a.shape[1], b.shape[1])
+    moved = ((first(a, mine)[:, :width] != first(b, theirs)[:, :width]) & (np.arange(width)[None, :] < k[:, None])).sum(axis=1)
+    jaro = (k / np.maximum(n, 1) + k / np.maximum(m, 1) + (k - moved / 2) / np.maximum(k, 1)) / 3
+    same = (a[:, :width] == b[:, :width])[:, :4] & (a[:, : min(4, width)] != 0)
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    return np.where(k > 0, jaro + prefix * 0.1 * (1 - jaro), np.where((n == 0) & (m == 0), 1.0, 0.0))
+
+
+def jaro_winkler_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarities of pairs, all pairs of a step at once: characters of the first in turn take the first
+    free equal one of the second within reach; common prefix up to 4, scale 0.1. Pairs go by length, so that those of
+    one step are of like widths and take at most ``CELLS`` places unless one pair has more."""
+    lengths = np.array([max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)], np.int64)
+    order, out, at = np.argsort(lengths, kind="stable"), np.empty(len(lengths)), 0
+    while at < len(order):
+        room = lengths[order[at:]] * np.arange(1, len(order) - at + 1)
+        some = order[at : at + max(1, int(np.searchsorted(room, CELLS, side="right")))]
+        out[some] = _jaro_winkler(_letters([a[k] for k in some]), _letters([b[k] for k in some]))
+        at += len(some)
+    return out
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
+    """The same over columns; null counts as empty."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler_of(p or "", q or "") for p, q in zip(x, y, strict=True)])
+        return pd.Series(jaro_winkler_of(x.fillna("").tolist(), y.fillna("").tolist()))
 
     return run(a, b)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as h
 from ..functions import movetext as mt
 from ..functions.similarity import jaro_winkler
+from .resemblance import similar
 from .tables import saved
 
 FUZZY_SURE, FUZZY_LEAST, FUZZY_GAP, LAST_NAME_LEAST = 0.97, 0.90, 0.02, 0.92
@@ -82,41 +83,37 @@ def rate_asof(rows: DataFrame, ratings: DataFrame, name: str, date: Column, orde
 
 def resolve_last_names(unknown: DataFrame, known: DataFrame) -> DataFrame:
     """(block, last): for distinct last names (block) the most similar known one of the same initial, by Jaro-Winkler of
-    at least 0.92, which needs the shorter to have 0.6 of the longer's length: the join is by initial and length."""
-    initial = lambda c: F.substring(c, 1, 1).alias("_i")
-    n = F.length("block")
-    lengths = F.explode(F.sequence(F.ceil(n * 3 / 5).cast("int"), F.floor(n * 5 / 3).cast("int"))).alias("_n")
-    left = unknown.where("block <> ''").select("block", initial("block"), lengths)
-    right = known.where("block <> ''").select(F.col("block").alias("last"), initial("block"), n.alias("_n"))
-    scored = left.join(right, ["_i", "_n"]).withColumn("score", jaro_winkler(F.col("block"), F.col("last"))).where(F.col("score") >= LAST_NAME_LEAST)
-    return scored.groupBy("block").agg(F.min_by("last", F.struct(-F.col("score"), F.col("last"))).alias("last"))
+    at least 0.92; of equally similar ones the first by name."""
+    found = similar(unknown.select(F.col("block").alias("a")), known.select(F.col("block").alias("b")), LAST_NAME_LEAST, initial=True)
+    return found.groupBy(F.col("a").alias("block")).agg(F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("last"))
 
 
-def fuzzy_names(names: DataFrame, players: DataFrame, whole: bool = True) -> DataFrame:
+def fuzzy_names(names: DataFrame, players: DataFrame) -> DataFrame:
     """(name, player) for distinct names that resemble one player clearly: within the block of their last name, by
     Jaro-Winkler, sure (0.97) or good (0.90) with a gap to the runner-up.
 
     A last name that no player has stands for the most similar one (``resolve_last_names``); the score is the greater of
-    the name's and its swapped form's; a name of one word is its block's player if that has one only. Without ``whole``
-    last names must be equal and canonical names are compared as written, which is what the SQL of ``add_elo_fuzzy`` says.
-    """
+    the name's and its swapped form's; a name of one word is its block's player if that has one only. A name meets the
+    players of its block through their letters (``similar``), so a frequent last name is no single key."""
     key = lambda c: (h.last_name_key(c).alias("block"), h.canonical_name(c).alias("canon"))
-    left = names.select(F.col("name")).distinct().select("name", *key(F.col("name")))
-    right = players.select(F.col("name").alias("player")).distinct().select("player", *key(F.col("player"))).withColumnRenamed("canon", "other")
-    score, alone = jaro_winkler(F.col("canon"), F.col("other")), F.lit(False)
-    if whole:
-        right = right.join(right.groupBy("block").agg(F.count("*").alias("_players")), "block")
-        known = right.select("block").distinct()
-        near = resolve_last_names(left.select("block").distinct().join(known, "block", "left_anti"), known)
-        left = left.join(near, "block", "left").select("name", "canon", F.coalesce("last", "block").alias("block"))
-        bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-        score = F.greatest(jaro_winkler(bare("canon"), bare("other")), jaro_winkler(h.swapped_name_key(F.col("canon")), bare("other")))
-        alone = ~F.contains("canon", F.lit(" ")) & (F.col("_players") == 1)
-    pairs = left.join(right, "block").withColumn("score", score).withColumn("alone", alone).where((F.col("score") >= FUZZY_LEAST - FUZZY_GAP) | F.col("alone"))
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    left = names.select(F.col("name")).distinct().select("name", *key(F.col("name"))).where("block is not null")
+    right = saved(players.select(F.col("name").alias("player")).distinct().select("player", *key(F.col("player"))).where("block is not null").select("player", "block", bare("canon").alias("b")), "players")
+    sizes = right.groupBy("block").agg(F.count("*").alias("players"), F.min("player").alias("player"))
+    near = resolve_last_names(left.select("block").distinct().join(sizes, "block", "left_anti"), sizes)
+    left = saved(left.join(near, "block", "left").select("name", "canon", F.coalesce("last", "block").alias("block")), "names")
+
+    forms = F.explode(F.array_compact(F.array_distinct(F.array(bare("canon"), h.swapped_name_key(F.col("canon"))))))
+    asked = left.select("name", "block", forms.alias("a"))
+    scored = similar(asked.select("block", "a").distinct(), right.select("block", "b").distinct(), FUZZY_LEAST - FUZZY_GAP, ["block"])
+    best = asked.join(scored, ["block", "a"]).groupBy("name", "block", "b").agg(F.max("score").alias("score"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "player")
-    ranked = pairs.select("name", "player", "score", "alone", F.row_number().over(w).alias("k"), F.lead("score").over(w).alias("next"))
-    clear = F.col("alone") | (F.col("score") >= FUZZY_SURE) | (F.col("score") >= FUZZY_LEAST) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= FUZZY_GAP)
-    return ranked.where((F.col("k") == 1) & clear).select("name", "player", F.round("score", 6).alias("score"))
+    ranked = best.join(right, ["block", "b"]).select("name", "player", "score", F.row_number().over(w).alias("k"), F.lead("score").over(w).alias("next"))
+    clear = (F.col("score") >= FUZZY_SURE) | (F.col("score") >= FUZZY_LEAST) & (F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 9) >= FUZZY_GAP)
+    single = left.where(~F.contains("canon", F.lit(" "))).join(sizes.where("players = 1"), "block").join(right, ["block", "player"])
+    alone = single.select("name", "player", F.round(jaro_winkler(bare("canon"), F.col("b")), 6).alias("score"))
+    found = ranked.where((F.col("k") == 1) & clear).select("name", "player", F.round("score", 6).alias("score"))
+    return found.join(alone, "name", "left_anti").unionByName(alone)
 
 
 def rate_fuzzy(rows: DataFrame, ratings: DataFrame, players: DataFrame, name: str, date: Column, order: list[str]) -> DataFrame:

@@ -20,9 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name that nothing has yet, in the shared folder."""
+    return f"{shared_folder(spark)}/rookery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rookery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import blank, integer, key_hash, leading_elo, player, set_tag, slug, tag, tournament_date, with_headers, year_text
+from ..sources.pgn_files import write_files
 from .tables import saved
 
 
@@ -93,6 +94,11 @@ def break_tournaments(games: DataFrame, min_elo: int, min_games: int) -> DataFra
     return games.withColumn("key", breaker_key()).join(names, "key").drop("key")
 
 
+def write_tournaments(games: DataFrame, path: str, min_elo: int, min_games: int) -> int:
+    """A file per qualified tournament below ``path``; returns their number. No file appears unless all do."""
+    return write_files(break_tournaments(games, min_elo, min_games), path, "file_name")[1]
+
+
 def checked_names(tournaments: DataFrame) -> DataFrame:
     """``tournaments``; an error if two of them would go to one file, before anything is written."""
     if twice := name_collisions(tournaments).limit(5).collect():

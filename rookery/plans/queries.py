@@ -14,7 +14,8 @@ from ..operators import evaluations as ev
 from ..operators import filters as fi
 from ..operators import info, landed, lookups, tournaments
 from ..operators import plies as pl
-from ..operators.tables import saved
+from ..operators.tables import new_folder, saved
+from ..sources import pgn, pgn_files
 from . import games as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,11 +120,34 @@ def filter_ply_range(spark, d):
     return ids(fi.filter_games(g.games(spark, d), min_plies=6, max_plies=10))
 
 
-@query(f"SELECT game_id, {', '.join(f'CAST(len({MOVES}) AS INT) AS {x}' for x in ('filter', 'tag', 'info', 'elegance', 'book'))} FROM games")
+#: Ends of texts, and the plies that each dialect finds in them.
+DIALECT_ENDS = {
+    " {a (b} e4 c5": {"filter": 2, "tag": 2, "info": 0, "elegance": 2, "book": 2},
+    " ( {a) b } c5 ) d4": {"filter": 5, "tag": 3, "info": 2, "elegance": 1, "book": 1},
+    " {a :) (b} e5 ) Nf3": {"filter": 3, "tag": 2, "info": 1, "elegance": 2, "book": 3},
+    " e) f5": {"filter": 2, "tag": 2, "info": 2, "elegance": 2, "book": 2},
+    " x y9": {"filter": 2, "tag": 2, "info": 0, "elegance": 0, "book": 2},
+    " [a b] c4": {"filter": 3, "tag": 2, "info": 1, "elegance": 2, "book": 1},
+    " ; d4 (d5\n Nf6": {"filter": 1, "tag": 1, "info": 1, "elegance": 1, "book": 1},
+    " e.p. Nf3$5! 1... o-o": {"filter": 2, "tag": 2, "info": 1, "elegance": 2, "book": 2},
+    " (a {(} b ) c4 ) d4 )": {"filter": 2, "tag": 1, "info": 1, "elegance": 2, "book": 4},
+    " (a ; b ) c4\n d4 ) e4": {"filter": 4, "tag": 3, "info": 3, "elegance": 1, "book": 1},
+    " {": {"filter": 0, "tag": 0, "info": 0, "elegance": 0, "book": 0},
+}
+DIALECTS = ("filter", "tag", "info", "elegance", "book")
+
+
+def _end_counts(dialect: str) -> str:
+    return f"CASE game_id % {len(DIALECT_ENDS)} " + " ".join(f"WHEN {k} THEN {n[dialect]}" for k, n in enumerate(DIALECT_ENDS.values())) + " END"
+
+
+@query(f"SELECT game_id, {', '.join(f'CAST(len({MOVES}) + {_end_counts(x)} AS INT) AS {x}' for x in DIALECTS)} FROM games")
 def ply_counts(spark, d):
-    text = F.col("movetext")
+    ends = F.element_at(F.array(*(F.lit(x) for x in DIALECT_ENDS)), (F.col("game_id") % len(DIALECT_ENDS) + 1).cast("int"))
+    games = g.games(spark, d).select("game_id", F.concat("movetext", ends).alias("text"))
+    text = F.col("text")
     counts = [mt.ply_count(text, x).alias(x) for x in ("filter", "tag", "info", "elegance")]
-    return g.games(spark, d).select("game_id", *counts, F.size(mt.book_moves(text)).alias("book"))
+    return games.select("game_id", *counts, F.size(mt.book_moves(text)).alias("book"))
 
 
 SQUEEZE = "trim(regexp_replace({}, '[ \\t]+', ' ', 'g'))"
@@ -279,26 +303,60 @@ def add_elo_asof(spark, d):
     return lookups.rate_asof(lack, names, "name", F.col("date"), ["game_id"])
 
 
-FUZZY = """WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 2) AS block FROM part),
-v AS (SELECT name || 'e' AS name, block || 'e' AS block, name AS canon FROM n UNION SELECT substr(name, 1, 1) || 'x' || substr(name, 2), block, substr(name, 1, 1) || 'x' || substr(name, 2) FROM n),
-s AS (SELECT v.name, n.name AS player, jaro_winkler_similarity(v.name, n.name) AS score FROM v JOIN n USING (block)),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, player) AS k, lead(score) OVER (PARTITION BY name ORDER BY score DESC, player) AS next FROM s WHERE score >= 0.88)
-SELECT name, player, round(score, 6) AS score FROM r WHERE k = 1 AND (score >= 0.97 OR score >= 0.9 AND score - coalesce(next, 0) >= 0.02)"""
-
-
-@query(FUZZY, base="")
+#: Names (name, their words, last name) that people get: a letter too many or too few, two exchanged, swapped, one word.
+MISSPELT = """SELECT first || ' ' || last || 'e' AS name, [first, last || 'e'] AS words, last || 'e' AS block FROM {0} UNION SELECT substr(first, 1, 1) || 'x' || substr(first, 2) || ' ' || last, [substr(first, 1, 1) || 'x' || substr(first, 2), last], last FROM {0}
+UNION SELECT last || ', ' || first || 'h', [last, first || 'h'], last FROM {0} UNION SELECT first || ' ' || substr(last, 1, 2) || substr(last, 4), [first, substr(last, 1, 2) || substr(last, 4)], substr(last, 1, 2) || substr(last, 4) FROM {0}
+UNION SELECT substr(first, 1, 1) || substr(first, 3, 1) || substr(first, 2, 1) || substr(first, 4) || ' ' || substr(last, 1, length(last) - 1), [substr(first, 1, 1) || substr(first, 3, 1) || substr(first, 2, 1) || substr(first, 4), substr(last, 1, length(last) - 1)], substr(last, 1, length(last) - 1) FROM {0}
+UNION SELECT last, [last], last FROM {0} UNION SELECT last || 's', [last || 's'], last || 's' FROM {0}"""
+PART_PEOPLE = "SELECT DISTINCT split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS last FROM part"
+DOC_PEOPLE = "SELECT DISTINCT regexp_extract(text, '([a-z][a-z][a-z]+) ([a-z][a-z][a-z]+)', 1) AS first, regexp_extract(text, '([a-z][a-z][a-z]+) ([a-z][a-z][a-z]+)', 2) AS last FROM documents WHERE regexp_extract(text, '([a-z][a-z][a-z]+) ([a-z][a-z][a-z]+)', 1) <> ''"
+
+
+def similarity_sql(pairs: str) -> str:
+    """The pairs (a, b) of a CTE with their Jaro-Winkler similarity, spelt out, since DuckDB's own halves an odd number of
+    transpositions downwards. It is never less, so it serves to leave pairs out first."""
+    low = "greatest(x.k - 1 - (greatest(length(a), length(b)) // 2 - 1), 0)"
+    at = f"instr(substr(s.free, {low} + 1, greatest(least(length(b), x.k + greatest(length(a), length(b)) // 2 - 1) - {low}, 0)), x.c)"
+    walk = (
+        "list_reduce(list_prepend({'free': b, 'mine': '', 'c': '', 'k': 0}, list_transform(range(1, length(a) + 1), lambda k: {'free': '', 'mine': '', 'c': a[k], 'k': k})), lambda s, x: "
+        f"{{'free': CASE WHEN {at} > 0 THEN substr(s.free, 1, {low} + {at} - 1) || chr(1) || substr(s.free, {low} + {at} + 1) ELSE s.free END, 'mine': CASE WHEN {at} > 0 THEN s.mine || x.c ELSE s.mine END, 'c': '', 'k': 0}})"
+    )
+    taken = "array_to_string(list_filter(list_transform(range(1, length(b) + 1), lambda i: CASE WHEN e.free[i] = chr(1) THEN b[i] ELSE '' END), lambda c: c <> ''), '')"
+    prefix = "len(list_filter(range(1, 5), lambda p: p <= least(length(a), length(b)) AND a[1:p] = b[1:p]))"
+    return f"""SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN m = 0 THEN 0.0 ELSE j + p * 0.1 * (1 - j) END, 9) AS score FROM (SELECT *, (m / length(a) + m / length(b) + (m - t / 2) / m) / 3 AS j
+FROM (SELECT *, length(e.mine) AS m, len(list_filter(range(1, length(e.mine) + 1), lambda k: e.mine[k] <> {taken}[k])) AS t, {prefix} AS p FROM (SELECT *, {walk} AS e FROM {pairs}) x1) x2) x3"""
+
+
+def fuzzy_sql(people: str) -> str:
+    """The whole rule over people (first, last), whose names are written wrongly, swapped, or in one word."""
+    return f"""WITH p AS ({people}), nm AS ({MISSPELT.format('p')}), pl AS (SELECT first || ' ' || last AS player, first || last AS b, last AS block FROM p), kb AS (SELECT block, count(*) AS players FROM pl GROUP BY 1),
+u AS (SELECT DISTINCT block FROM nm WHERE block NOT IN (SELECT block FROM kb)), x AS (SELECT u.block AS a, kb.block AS b FROM u JOIN kb ON u.block[1] = kb.block[1] WHERE jaro_winkler_similarity(u.block, kb.block) >= 0.9199),
+xs AS ({similarity_sql('x')}), near AS (SELECT a, b AS found FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM xs WHERE score >= 0.92) r WHERE k = 1),
+n AS (SELECT name, words, coalesce(found, block) AS block FROM nm LEFT JOIN near ON a = block),
+fm AS (SELECT name, block, array_to_string(words, '') AS a FROM n UNION SELECT name, block, words[-1] || array_to_string(words[1:-2], '') FROM n WHERE len(words) > 1),
+y AS (SELECT DISTINCT a, b FROM fm JOIN pl USING (block) WHERE jaro_winkler_similarity(a, b) >= 0.8799), ys AS ({similarity_sql('y')}),
+best AS (SELECT name, block, b, max(score) AS score FROM fm JOIN (SELECT DISTINCT block, b FROM pl) d USING (block) JOIN ys USING (a, b) WHERE score >= 0.88 GROUP BY 1, 2, 3),
+rk AS (SELECT name, player, score, row_number() OVER w AS k, lead(score) OVER w AS next FROM best JOIN pl USING (block, b) WINDOW w AS (PARTITION BY name ORDER BY score DESC, player)),
+z AS (SELECT name, player, words[1] AS a, b FROM n JOIN kb USING (block) JOIN pl USING (block) WHERE players = 1 AND len(words) = 1), zs AS ({similarity_sql('(SELECT DISTINCT a, b FROM z) zz')})
+SELECT name, player, round(score, 6) AS score FROM z JOIN zs USING (a, b)
+UNION ALL SELECT name, player, round(score, 6) FROM rk WHERE k = 1 AND (score >= 0.97 OR score >= 0.9 AND round(score - coalesce(next, 0), 9) >= 0.02) AND name NOT IN (SELECT name FROM z)"""
+
+
+def _fuzzy(spark: SparkSession, d: str, people: str, name: str) -> DataFrame:
+    found = saved(from_sql(spark, d, people, name), "people")
+    asked = spark.sql(f"SELECT name FROM ({MISSPELT.replace('[', 'array(').replace(']', ')').replace('{0}', '{people}')})", people=found)
+    return lookups.fuzzy_names(asked, found.select(F.concat_ws(" ", "first", "last").alias("name")))
+
+
+@query(fuzzy_sql(PART_PEOPLE), base="")
 def add_elo_fuzzy(spark, d):
-    players = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    changed = F.explode(F.array(F.concat("name", F.lit("e")), F.concat(F.substring("name", 1, 1), F.lit("x"), F.expr("substr(name, 2)"))))
-    return lookups.fuzzy_names(players.select(changed.alias("name")), players, whole=False)
+    return _fuzzy(spark, d, PART_PEOPLE, "part")
 
 
-@query(None)
+@query(fuzzy_sql(DOC_PEOPLE), base="")
 def add_elo_fuzzy_whole(spark, d):
-    """As ``add_elo_fuzzy``, whose SQL knows equal last names only, with misspelt, swapped and single names."""
-    players = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    changed = F.explode(F.array(F.concat("name", F.lit("e")), F.concat(F.substring("name", 1, 1), F.lit("x"), F.expr("substr(name, 2)"))))
-    return lookups.fuzzy_names(players.select(changed.alias("name")), players)
+    """As ``add_elo_fuzzy``, over as many people as there are ways in which documents begin."""
+    return _fuzzy(spark, d, DOC_PEOPLE, "documents")
 
 
 RELEASES = "SELECT 'r' || CAST(i AS STRING) AS {n}, CAST('2024-01-01' AS DATE) + CAST(i * 5 AS INT) AS start, CAST('2024-01-01' AS DATE) + CAST(i * 5 + 3 AS INT) AS {e} FROM (SELECT DISTINCT CAST(n_nationkey AS INT) AS i FROM {t}) q"
@@ -660,6 +718,36 @@ def rating_keys(spark, d):
     return lookups.rate_asof(names, known, "name", F.lit("2020.05.??"), ["name"])
 
 
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, game_id) of the games in written files."""
+    back = pgn.read_pgn(spark, path, columns="headers")
+    rows = back.select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "seq", h.tag("GameId").cast("long").alias("game_id"))
+    rows = saved(co.global_index(rows, ["file", "seq"], "_at"), "read")
+    first = rows.groupBy("file").agg(F.min("_at").alias("_first"))
+    return rows.join(first, "file").select("file", (F.col("_at") - F.col("_first") + 1).alias("position"), "game_id")
+
+
+@query("SELECT site || '.pgn' AS file, row_number() OVER (PARTITION BY site ORDER BY game_id) AS position, game_id FROM games")
+def split_files(spark, d):
+    path = new_folder(spark, "split")
+    pgn_files.write_split(co.split_by_header(_unique(g.games(spark, d)), "Site"), path)
+    return _read_back(spark, path)
+
+
+@query("SELECT 'joined.pgn' AS file, row_number() OVER (ORDER BY game_id % 2, game_id) AS position, game_id FROM games")
+def joined_file(spark, d):
+    games, path = _unique(g.games(spark, d)), new_folder(spark, "joined")
+    pgn_files.write_joined(co.merge([games.where("game_id % 2 = 0"), games.where("game_id % 2 = 1")]), path, "joined.pgn")
+    return _read_back(spark, path)
+
+
+@query(BREAK.replace("SELECT game_id, file_name FROM k", "SELECT file_name AS file, row_number() OVER (PARTITION BY file_name ORDER BY game_id) AS position, game_id FROM k"))
+def tournament_files(spark, d):
+    path = new_folder(spark, "tournaments")
+    tournaments.write_tournaments(_unique(g.games(spark, d)), path, 800, 2)
+    return _read_back(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -94,8 +94,9 @@ def test_dialects(spark):
     rows = df.select(mt.book_moves(F.col("movetext")).alias("b"), mt.ply_count(F.col("movetext"), "tag").alias("t"), mt.ply_count(F.col("movetext"), "info").alias("i")).collect()
     assert rows[0].b == ["e4", "e5", "Nf3", "Nc6", "O-O", "O-O"]
     assert rows[0].t >= 6 and rows[1].b == [] and rows[2].t == 0 and rows[2].i == 0
-    assert mt.strip_text("1. e4 {note} e5 (1... c5) 2. d4 $14 *") == "1. e4 e5 2. d4 *"
-    assert mt.unannotated_text("1. e4! {n} e5?! (x) $3 *") == "1. e4 e5 *"
+    assert mt.stripped(["1. e4 {note} e5 (1... c5) 2. d4 $14 *"]) == ["1. e4 e5 2. d4 *"]
+    plain = spark.createDataFrame([("1. e4! {n} e5?! (x) $3 *",), (" e4!\n\u00a0{n} e5 ) ",), (None,)], "t string").select(mt.unannotated(F.col("t")))
+    assert [r[0] for r in plain.collect()] == ["1. e4 e5 *", "e4 e5", ""]
 
 
 def test_deep_variations_leave_the_rest(spark):
@@ -202,7 +203,7 @@ def test_ratings_and_names(spark):
     games = make(spark, [({"White": "Lee, Ann", "Black": "Bob", "Date": "2020.06.??"}, "*"), ({"White": "Ann Lee", "Black": "Bob", "Date": "2020.08.01"}, "*"), ({"White": "Ann Lee", "Black": "Bob", "Date": "2021.01.01"}, "*")])
     out = lookups.add_ratings(games, ratings).orderBy("seq").collect()
     assert [r.tags.get("whiteelo") for r in out] == ["2300", "2310", None]
-    assert abs(si.jaro_winkler_of("dixon", "dicksonx") - 0.8133) < 1e-4 and si.jaro_winkler_of("", "a") == 0
+    assert si.jaro_winkler_of(["dixon", "", "", "ab"], ["dicksonx", "a", "", "ab"]) == pytest.approx([0.8133, 0, 1, 1], abs=1e-4)
     assert si.clean_name_of("GM Müller, Jörg") == "Jorg Muller" or si.clean_name_of("Müller, Jörg") == "Jorg Muller"
     assert si.clean_name_of("xx_9") is None
 
