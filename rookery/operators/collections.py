@@ -8,10 +8,11 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import movetext as mt
 from ..functions.headers import drop_tags, natural_key, safe_file_name, set_tag, tag, with_headers
-from .tables import saved, shared_folder
+from .tables import new_folder, saved, shared_folder
 
 SORT_KEYS = ("Event", "Site", "Date", "Round", "White", "Black", "ECO")
 CHAIN_KEYS = 1_000_000
@@ -116,30 +117,65 @@ def deduplicate(games: DataFrame) -> DataFrame:
     return first_of(games, identity_hash(), ["source_file", "seq"])
 
 
-def _greedy(each: DataFrame) -> DataFrame:
-    """(_at) of the rows that stay, judged one after the other in a single task."""
-    rows = each.groupBy("_at").agg(F.collect_list("_key").alias("_keys")).repartition(1).sortWithinPartitions("_at")
+def _judged(rows: DataFrame) -> DataFrame:
+    """Rows (_at, _key, _taken), some keys of which are taken, judged one after the other in one task: (_at) of rows that
+    stay, and (_key) of all that is taken then."""
+    whole = rows.groupBy("_at").agg(F.collect_list(F.struct("_key", "_taken")).alias("_keys")).repartition(1).sortWithinPartitions("_at")
+    types = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: set = set()
+        taken: dict = {}
         for batch in batches:
             stays = []
             for own in batch.column(1).to_pylist():
-                own = {x["key"] for x in own}
-                stays.append(taken.isdisjoint(own))
+                taken.update((x["_key"]["key"], x["_key"]) for x in own if x["_taken"])
+                keys = {x["_key"]["key"]: x["_key"] for x in own}
+                stays.append(taken.keys().isdisjoint(keys))
                 if stays[-1]:
-                    taken |= own
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(stays, pa.bool_()))], names=["_at"])
-
-    return rows.mapInArrow(run, each.select("_at").schema)
+                    taken |= keys
+            at = batch.column(0).filter(pa.array(stays, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([at, pa.nulls(len(at), key_type)], names=["_at", "_key"])
+        keys = pa.array(list(taken.values()), key_type)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), at_type), keys], names=["_at", "_key"])
+
+    at_type, key_type = to_arrow_type(types["_at"].dataType), to_arrow_type(types["_key"].dataType)
+    return whole.mapInArrow(run, rows.select("_at", "_key").schema)
+
+
+def _in_order(each: DataFrame, keys: int) -> DataFrame:
+    """(_at) of the rows that stay, by passing decisions on in time.
+
+    Rows are cut into ranges of their order with about ``CHAIN_KEYS`` keys. Ranges are judged in turn, a task each; what a
+    range takes, or learns to be taken, it sends to the next range that has the key, as a row on disk. So each key meets
+    its own ranges only, a task holds one range and its mail, and the number of rounds is that of the ranges."""
+    n = -(-keys // CHAIN_KEYS)
+    spark = each.sparkSession
+    path = new_folder(spark, "ranges")
+    each.repartitionByRange(n, "_at").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
+    rows = spark.read.schema(each.withColumn("_range", F.lit(0)).schema).parquet(f"{path}/rows")
+    places = rows.select("_key", "_range").distinct()
+    following = F.lead("_range").over(Window.partitionBy("_key").orderBy("_range"))
+    places.withColumn("_next", following).where("_next is not null").write.partitionBy("_range").parquet(f"{path}/routes")
+    routes = spark.read.schema(places.select("_key", F.lit(0).alias("_next"), "_range").schema).parquet(f"{path}/routes")
+    mail_schema, kept = places.select("_key", F.lit(0).alias("_from"), F.lit(0).alias("_range")).schema, []
+    ranges = sorted(r["_range"] for r in places.select("_range").distinct().collect())  # n numbers at most
+    for k in ranges:
+        own = rows.where(F.col("_range") == k).select("_at", "_key")
+        mail = spark.read.schema(mail_schema).parquet(f"{path}/mail").where(F.col("_range") == k).select("_key").distinct() if kept else places.limit(0).select("_key")
+        out = saved(_judged(own.join(mail.withColumn("_taken", F.lit(True)), "_key", "left").select("_at", "_key", F.coalesce("_taken", F.lit(False)).alias("_taken"))), "judged")
+        news = out.where("_at is null").select("_key").join(routes.where(F.col("_range") == k).select("_key", "_next"), "_key")
+        news.select("_key", F.col("_next").alias("_range")).write.partitionBy("_range").parquet(f"{path}/mail/_from={k}")
+        kept.append(out.where("_at is not null").select("_at"))
+    return reduce(DataFrame.union, kept)
 
 
 def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Greedy deduplication in order: a row goes if any of its keys was taken by a kept row, or is in ``existing`` (key).
 
-    Rows that come first on all their keys stay; rows that share a key with them go; the rest is looked at again until
-    nothing is left. Each round settles at least the first row of what is left; nearly always one round does. Chains of
-    rows need many, so what a round leaves is judged in one task when it has at most ``CHAIN_KEYS`` keys.
+    Rows that come first on all their keys stay; rows that share a key with them go; the rest is looked at again. Nearly
+    always one round settles all or most. When a round leaves more than half of its keys, rows hang in chains, and the
+    rest is settled in the order of the rows (``_in_order``). So there are at most as many rounds as the number of keys
+    has binary digits, and then one for each ``CHAIN_KEYS`` keys.
 
     Defined cases: a null among the keys is a key, equal to other nulls as in GROUP BY; a row without keys stays.
     """
@@ -154,9 +190,6 @@ def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing:
     each, kept = each.checkpoint(), []
     left = each.count()
     while left:
-        if kept and left <= CHAIN_KEYS:
-            kept.append(_greedy(each).checkpoint())
-            break
         first = each.groupBy("_key").agg(F.min("_at").alias("_first"))
         judged = each.join(first, "_key").groupBy("_at").agg(F.bool_and(F.col("_first") == F.col("_at")).alias("_stays"))
         stays = judged.where("_stays").select("_at").checkpoint()
@@ -167,6 +200,9 @@ def deduplicate_by_keys(games: DataFrame, keys: str, order: list[str], existing:
         before, left = left, each.count()
         if left >= before:
             raise RuntimeError(f"a round of deduplication settled none of {left} keys")
+        if left * 2 > before:
+            kept.append(_in_order(each, left))
+            break
     alone = games.where(keyless)
     if not kept:
         return alone.drop("_at")

@@ -140,6 +140,23 @@ def test_greedy_keys_settle_long_chains(spark):
     assert sorted(r.seq for r in co.deduplicate_by_keys(rows, "keys", ["seq"]).collect()) == list(range(0, 450, 2))
 
 
+@pytest.mark.parametrize("chain", [150, 10_000])
+def test_greedy_keys_pass_decisions_on(spark, monkeypatch, chain):
+    """Chains, combs and random rows over ranges of the order, against plain Python."""
+    monkeypatch.setattr(co, "CHAIN_KEYS", chain)
+    rng = random.Random(chain)
+    rows = [(k, [f"c{k}", f"c{k + 1}"]) for k in range(120)] + [(200 + k, [f"d{k}", f"d{k + 1}", "comb" if k % 40 == 39 else f"e{k}"]) for k in range(120)]
+    rows += [(1000 + k, list({f"r{rng.randrange(60)}" for _ in range(rng.randrange(1, 4))} | {None} if k % 50 == 49 else {f"r{rng.randrange(90)}"})) for k in range(100)]
+    taken, want = set(), []
+    for k, keys in rows:
+        if taken.isdisjoint(keys):
+            want.append(k)
+            taken |= set(keys)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "seq long, keys array<string>")
+    assert sorted(r.seq for r in co.deduplicate_by_keys(df, "keys", ["seq"]).collect()) == want
+
+
 def test_greedy_keys_of_null_and_none(spark):
     rows = spark.createDataFrame([(0, [None]), (1, ["a", None]), (2, []), (3, None), (4, ["a"]), (5, ["a"])], "seq long, keys array<string>")
     kept = lambda known: sorted(r.seq for r in co.deduplicate_by_keys(rows, "keys", ["seq"], known).collect())
