@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +39,68 @@ def opening_book(lines: DataFrame) -> DataFrame:
     return rows.where("depth > 0").groupBy("prefix", "depth").agg(*map(last, ("eco", "opening", "variation"))).where("coalesce(eco, opening, variation) is not null")
 
 
+FOUND = "depth int, eco string, opening string, variation string"
+
+
+def _walker(book: list[tuple]) -> Callable[[pa.Array], pa.Array]:
+    """Walks move lists down the trie of a book (prefix, depth, eco, opening, variation), all lists of a batch a move at a
+    time, and gives what the deepest book node on their way says (null: none)."""
+    words = sorted({m for prefix, *_ in book for m in prefix.split(" ")})
+    number, edges, says = {m: k for k, m in enumerate(words)}, {}, {}
+    for row, (prefix, *_) in enumerate(book):
+        node = 0
+        for m in prefix.split(" "):
+            node = edges.setdefault(node * len(words) + number[m], len(edges) + 1)
+        says[node] = row
+    keys = np.array(sorted(edges), np.int64)
+    child = np.array([edges[k] for k in keys.tolist()], np.int64)
+    said = np.array([says.get(k, -1) for k in range(len(edges) + 1)], np.int64)
+    columns = list(zip(*book, strict=True))[1:] if book else [[]] * 4
+    deepest = max(columns[0], default=0)
+
+    def walk(moves: pa.Array) -> pa.Array:
+        n = moves.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(n) - n
+        ids = pc.index_in(moves.flatten(), value_set=pa.array(words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        node, best, on = np.zeros(len(n), np.int64), np.full(len(n), -1), np.arange(len(n))
+        for step in range(deepest):
+            on = on[n[on] > step]
+            if not len(on):
+                break
+            m = ids[start[on] + step]
+            key = node[on] * len(words) + m
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = (m >= 0) & (keys[at] == key)
+            on, at = on[there], at[there]
+            node[on] = child[at]
+            best[on] = np.where(said[child[at]] >= 0, said[child[at]], best[on])
+        rows = pa.array(best, mask=best < 0)
+        kinds = [pa.int32(), *[pa.string()] * 3]
+        return pa.StructArray.from_arrays([pa.array(c, k).take(rows) for c, k in zip(columns, kinds, strict=True)], names=["depth", "eco", "opening", "variation"])
+
+    return walk
+
+
 def longest_prefix(games: DataFrame, book: DataFrame, moves: str = "moves", order: tuple[str, ...] = ("source_file", "seq")) -> DataFrame:
     """``games`` with depth, eco, opening and variation of the deepest book node on their main line (null: none).
 
-    A game has as many candidate prefixes as the book is deep; only order and prefix meet the book."""
-    book = saved(book, "book")
+    A book of at most ``BROADCAST_ROWS`` nodes goes to all tasks as a trie, which each game walks once: a row in, a row
+    out, nothing is shuffled. A larger one stays a table, which meets as many prefixes of a game as it is deep."""
+    book = saved(book.select("prefix", F.col("depth").cast("int").alias("depth"), "eco", "opening", "variation"), "book")
+    rows = book.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        walk = _walker([tuple(r) for r in rows])
+        return games.select("*", F.arrow_udf(walk, FOUND)(F.col(moves)).alias("_o")).select("*", "_o.*").drop("_o")
     deepest = book.agg(F.max("depth")).first()[0] or 0
     ends = F.explode(F.sequence(F.lit(1), F.least(F.size(moves), F.lit(deepest))))
-    some = games.where(F.size(moves) > 0).select(*order, moves, ends.alias("_n")) if deepest else games.limit(0).select(*order, moves, F.lit(1).alias("_n"))
+    some = games.where(F.size(moves) > 0).select(*order, moves, ends.alias("_n"))
     keyed = some.select(*order, F.array_join(F.slice(moves, F.lit(1), F.col("_n")), " ").alias("prefix"))
-    found = keyed.join(small(book), "prefix").groupBy(*order).agg(F.max_by(F.struct("depth", "eco", "opening", "variation"), "depth").alias("_o"))
+    found = keyed.join(book, "prefix").groupBy(*order).agg(F.max_by(F.struct("depth", "eco", "opening", "variation"), "depth").alias("_o"))
     return games.join(found, list(order), "left").select("*", "_o.*").drop("_o")
 
 
 def tag_openings(games: DataFrame, book: DataFrame) -> DataFrame:
-    order = ["source_file", "seq"]
-    moves = saved(with_moves(games).select(*order, "moves"), "moves")
-    out = games.join(longest_prefix(moves, book).drop("moves"), order, "left")
+    out = longest_prefix(with_moves(games), book).drop("moves")
     head = F.col("headers")
     for name in ("ECO", "Opening", "Variation"):
         head = h.set_tag(head, name, F.col(name.lower()))

@@ -11,6 +11,7 @@ A line or a game beyond the limits is an error; with ``mode=PERMISSIVE`` games t
 
 from __future__ import annotations
 
+import json
 import re
 import tarfile
 import zipfile
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source_file string, seq long, headers array<struct<key:string,value:string>>, tags map<string,string>, movetext string"
 PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
@@ -118,19 +119,21 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def _lines(stream, offset: int, encoding: str) -> Iterator[tuple[int, str]]:
-    rest, at = b"", offset
+def _lines(stream, offset: int, encoding: str, most: int = MAX_LINE) -> Iterator[tuple[int, str]]:
+    """Lines and their offsets. Of a line of more than ``most`` characters so much is kept that it shows."""
+    rest, at, lost, bound = b"", offset, 0, 4 * most + 8
     while True:
         data = stream.read(1 << 20)
-        rest += data
-        parts = rest.split(b"\n")
+        parts = (rest + data).split(b"\n")
         rest = b"" if not data else parts.pop()
         for k, x in enumerate(parts):
             if data or x or k < len(parts) - 1:
                 yield at, x.removeprefix(b"\xef\xbb\xbf").rstrip(b"\r").decode(encoding, "replace")
-            at += len(x) + 1
+            at, lost = at + lost + len(x) + 1, 0
         if not data:
             return
+        if len(rest) > bound:
+            lost, rest = lost + len(rest) - bound, rest[:bound]
 
 
 def _entries(path: str, file) -> Iterator[tuple[str, object]]:
@@ -171,28 +174,34 @@ class PgnReader(DataSourceReader):
         self.options = options
         self.encoding = options.get("encoding", "utf-8")
         self.headers_only = options.get("columns", "") == "headers"
+        self.most = int(options.get("maxlinelength", MAX_LINE))
 
-    def partitions(self) -> list[Range]:
-        size = int(self.options.get("rangebytes", 64 << 20))
-        split = self.options.get("splittable", "true") != "false"
-        out = []
+    def files(self) -> list[tuple[str, int, bool]]:
+        """Path, size, and whether it can be read by ranges, of each file that isn't empty."""
+        split, out = self.options.get("splittable", "true") != "false", []
         for path in filter(None, self.options["path"].split("\n")):
             system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
             info = system.get_file_info(root)
             found = [info] if info.type == fs.FileType.File else [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
-            for x in sorted(found, key=lambda x: x.path):
-                whole = not split or x.path.lower().endswith((".gz", ".bz2", ".zst", *ARCHIVES))
-                cuts = [0] if whole or x.size <= size else range(0, x.size, size)
-                out += [Range(x.path, c, None if whole or c + size >= x.size else c + size) for c in cuts if x.size]
+            out += [(x.path, x.size, split and not x.path.lower().endswith((".gz", ".bz2", ".zst", *ARCHIVES))) for x in sorted(found, key=lambda x: x.path) if x.size]
         return out
 
+    def ranges(self, path: str, size: int, start: int, end: int) -> list[Range]:
+        """The part of a file from start to end in ranges; the last one of a file is open."""
+        step = int(self.options.get("rangebytes", 64 << 20))
+        cuts = [start, *range((start // step + 1) * step, end, step), end]
+        return [Range(path, a, None if b >= size else b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def partitions(self) -> list[Range]:
+        return [r for path, size, split in self.files() for r in (self.ranges(path, size, 0, size) if split else [Range(path, 0, None)])]
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         path = self.options["path"].split("\n")[0]
         system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
         if part.path.lower().endswith(ARCHIVES):
             with system.open_input_file(part.path) as file:
                 for name, stream in _entries(part.path, file):
-                    yield from self._batches(f"{part.path}!{name}", _lines(stream, 0, self.encoding))
+                    yield from self._batches(f"{part.path}!{name}", _lines(stream, 0, self.encoding, self.most))
             return
         if part.start:
             stream = system.open_input_file(part.path)
@@ -207,11 +216,11 @@ class PgnReader(DataSourceReader):
             stream.seek(offset)
         else:
             stream, offset = system.open_input_stream(part.path, compression="detect"), 0
-        yield from self._batches(part.path, range_lines(_lines(stream, offset, self.encoding), part.start, part.end))
+        yield from self._batches(part.path, range_lines(_lines(stream, offset, self.encoding, self.most), part.start, part.end))
 
     def _batches(self, name: str, lines: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
         games = []
-        limits = int(self.options.get("maxlinelength", MAX_LINE)), int(self.options.get("maxmovetext", MAX_TEXT))
+        limits = self.most, int(self.options.get("maxmovetext", MAX_TEXT))
         for at, head, text in parse_games(lines, *limits, self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE"):
             games.append((name, at, head, text))
             if len(games) >= 1000:
@@ -221,6 +230,65 @@ class PgnReader(DataSourceReader):
             yield batch_of(games, self.headers_only)
 
 
+class PgnStream(DataSourceStreamReader):
+    """Files as they land, complete, in a folder. An offset says of each file how many bytes are taken, -1 for all. With
+    ``bytesPerBatch`` a batch ends inside a file that is larger, at a range's end, and the next one goes on from there,
+    also after a restart: what has been planned last is noted below ``progress``, since Spark asks for the next offset
+    without telling the last. Files that have left the folder leave the offset."""
+
+    def __init__(self, options: dict):
+        self.batch = PgnReader(options)
+        self.most, self.progress = int(options.get("bytesperbatch", 0)), options.get("progress")
+        if self.most and not self.progress:
+            raise ValueError("bytesPerBatch needs a folder for progress")
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _planned(self) -> dict:
+        if not self.progress:
+            return {}
+        system, root = fs.FileSystem.from_uri(self.progress) if "://" in self.progress else (fs.LocalFileSystem(), self.progress)
+        if system.get_file_info(f"{root}/planned.json").type == fs.FileType.NotFound:
+            return {}
+        with system.open_input_stream(f"{root}/planned.json", compression=None) as f:
+            return json.loads(f.read())
+
+    def latestOffset(self) -> dict:
+        done, out, left = self._planned(), {}, self.most
+        step = int(self.batch.options.get("rangebytes", 64 << 20))
+        for path, size, split in self.batch.files():
+            taken = done.get(path, 0)
+            if taken >= 0 and (left > 0 or not self.most):
+                room = -(-max(left, 1) // step) * step
+                end = size if not self.most or not split else min(size, (taken // step) * step + room)
+                left -= end - taken
+                taken = -1 if end >= size else end
+            if taken:
+                out[path] = taken
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        sizes, out = {path: (size, split) for path, size, split in self.batch.files()}, []
+        for path, to in sorted(end.items()):
+            if start.get(path, 0) < 0 or start.get(path, 0) == to:
+                continue
+            size, split = sizes[path]
+            out += self.batch.ranges(path, size, start.get(path, 0), size if to < 0 else to) if split else [Range(path, 0, None)]
+        if self.progress:
+            system, root = fs.FileSystem.from_uri(self.progress) if "://" in self.progress else (fs.LocalFileSystem(), self.progress)
+            system.create_dir(root, recursive=True)
+            with system.open_output_stream(f"{root}/planned.new", compression=None) as f:
+                f.write(json.dumps(end).encode())
+            if not isinstance(system, fs.LocalFileSystem) and system.get_file_info(f"{root}/planned.json").type == fs.FileType.File:
+                system.delete_file(f"{root}/planned.json")
+            system.move(f"{root}/planned.new", f"{root}/planned.json")
+        return out
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return self.batch.read(part)
+
+
 class PgnSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -232,6 +300,9 @@ class PgnSource(DataSource):
     def reader(self, schema) -> PgnReader:
         return PgnReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> PgnStream:
+        return PgnStream({k.lower(): v for k, v in self.options.items()})
+
 
 def read_pgn(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     """Games of PGN files or folders. Paths that differ in case only are one."""

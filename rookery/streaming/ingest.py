@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.collections import deduplicate_by_keys
-from ..sources.pgn import parse_texts
+from ..sources.pgn import PgnSource
 
 
-def stream_pgn(spark: SparkSession, landing: str) -> DataFrame:
-    """Games of files as they land; every file is parsed once, whole. All per-game operators apply to the result."""
-    raw = spark.readStream.text(landing, wholetext=True)
-    return parse_texts(raw.select(F.col("_metadata.file_path").alias("source_file"), "value"))
+def stream_pgn(spark: SparkSession, landing: str, **options: str) -> DataFrame:
+    """Games of files as they land, each file by byte ranges that are tasks of their own; with ``bytesPerBatch`` and
+    ``progress`` a large file takes several batches. All per-game operators apply to the result."""
+    spark.dataSource.register(PgnSource)
+    return spark.readStream.format("pgn").options(path=landing, **options).load()
 
 
 def ingest(games: DataFrame, sink: str, checkpoint: str, through: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:

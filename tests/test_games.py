@@ -215,6 +215,35 @@ def test_openings(spark):
     assert [(r.tags.get("eco"), r.tags.get("opening")) for r in out.orderBy("seq").collect()] == [("C20", "Open"), ("B00", "King"), (None, None)]
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_longest_prefixes_of_random_lines(spark, monkeypatch, most):
+    """By the trie, and by the table that takes its place for large books."""
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", most)
+    rng = random.Random(6)
+    line = lambda n: [rng.choice(["e4", "e5", "d4", "Nf3", "c4"]) for _ in range(rng.randrange(1, n))]
+    book = {" ".join(m): (len(m), rng.choice(["A00", None]), "o", None) for m in (line(7) for _ in range(120))}
+    games = [(k, line(12) if k % 9 else rng.choice([None, [], ["??", "e4"]])) for k in range(400)]
+    rows = spark.createDataFrame([(p, *v) for p, v in book.items()], "prefix string, depth int, eco string, opening string, variation string")
+    out = lookups.longest_prefix(spark.createDataFrame(games, "game_id int, moves array<string>"), rows, order=("game_id",)).collect()
+    best = lambda m: next((book[p] for n in range(len(m or []), 0, -1) if (p := " ".join(m[:n])) in book), (None,) * 4)
+    assert {r.game_id: tuple(r[2:]) for r in out} == {k: best(m) for k, m in games} and len(out) == 400
+    assert lookups.longest_prefix(spark.createDataFrame(games, "game_id int, moves array<string>"), rows.limit(0), order=("game_id",)).where("depth is not null").count() == 0
+
+
+def test_no_rows_are_made_for_prefixes(spark):
+    book = lookups.opening_book(make(spark, [({"ECO": "B00"}, "1. e4 *")]))
+    plan = lookups.tag_openings(make(spark, [({"White": "a"}, "1. e4 *")]), book)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "explode" not in plan
+
+
+def test_long_lines_are_not_held():
+    import io
+
+    lines = list(pgn._lines(io.BytesIO(b"a\n" + b"x" * 5_000_000 + b"\nb\n" + b"y" * 30), 0, "utf-8", 100))
+    assert [at for at, _ in lines] == [0, 2, 5_000_003, 5_000_005] and [len(x) for _, x in lines][2:] == [1, 30]
+    assert 100 < len(lines[1][1]) < 1_100_000
+
+
 def test_ratings_and_names(spark):
     ratings = spark.createDataFrame([("lee,ann".replace(",", ""), 2020, 5, 2300), ("leeann", 2020, 7, 2310)], "name_key string, year int, month int, rating int")
     games = make(spark, [({"White": "Lee, Ann", "Black": "Bob", "Date": "2020.06.??"}, "*"), ({"White": "Ann Lee", "Black": "Bob", "Date": "2020.08.01"}, "*"), ({"White": "Ann Lee", "Black": "Bob", "Date": "2021.01.01"}, "*")])
@@ -372,3 +401,23 @@ def test_stream_ingest(spark, tmp_path):
         ingest.ingest(ingest.stream_pgn(spark, str(landing)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         (landing / "b.pgn").write_text('[Event "C"]\n\n1. c4 *\n')
     assert sorted(r.tags["event"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B", "C"]
+
+
+def test_stream_goes_on_inside_a_file(spark, tmp_path):
+    """Every run is a restart; batches end inside files."""
+    from rookery.streaming import ingest
+
+    landing = tmp_path / "in"
+    landing.mkdir()
+    rng = random.Random(3)
+    body = lambda names: "".join(f'[Event "{n}"]\n[White "w"]\n\n{"1. e4 e5 " * rng.randrange(1, 9)}*\n\n' for n in names)
+    (landing / "a.pgn").write_text(body(range(60)))
+    (landing / "b.pgn").write_text(body(range(100, 103)))
+    sizes, options = [], {"rangeBytes": "300", "bytesPerBatch": "900", "progress": str(tmp_path / "at")}
+    for k in range(12):
+        ingest.ingest(ingest.stream_pgn(spark, str(landing), **options), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        sizes.append(spark.read.parquet(str(tmp_path / "out")).count())
+        if k == 4:
+            (landing / "c.pgn").write_text(body(range(200, 210)))
+    got = sorted(int(r.tags["event"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [*range(60), *range(100, 103), *range(200, 210)] and 0 < sizes[0] < 60 and len(set(sizes)) > 4
