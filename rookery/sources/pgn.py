@@ -114,9 +114,33 @@ def batch_of(games: list[tuple[str, int, list[tuple[str, str]], str]], headers_o
     return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None):
-        self.path, self.start, self.end = path, start, end
+class Range:
+    def __init__(self, path: str, start: int, end: int | None, size: int):
+        self.path, self.start, self.end, self.size = path, start, end, size
+
+
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+#: What opening a file counts as, so that a task doesn't get too many small ones.
+OPEN_BYTES = 1 << 16
+
+
+def packed(ranges: list[Range], most: int) -> list[Ranges]:
+    """Neighbouring ranges in tasks of at most ``most`` bytes, unless one range has more."""
+    out, size = [], 0
+    for r in ranges:
+        own = r.size + OPEN_BYTES
+        if not out or size + own > most:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += own
+    return [Ranges(x) for x in out]
 
 
 def _lines(stream, offset: int, encoding: str, most: int = MAX_LINE) -> Iterator[tuple[int, str]]:
@@ -190,12 +214,17 @@ class PgnReader(DataSourceReader):
         """The part of a file from start to end in ranges; the last one of a file is open."""
         step = int(self.options.get("rangebytes", 64 << 20))
         cuts = [start, *range((start // step + 1) * step, end, step), end]
-        return [Range(path, a, None if b >= size else b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [Range(path, a, None if b >= size else b, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size, split in self.files() for r in (self.ranges(path, size, 0, size) if split else [Range(path, 0, None)])]
+    def partitions(self) -> list[Ranges]:
+        ranges = [r for path, size, split in self.files() for r in (self.ranges(path, size, 0, size) if split else [Range(path, 0, None, size)])]
+        return packed(ranges, int(self.options.get("rangebytes", 64 << 20)))
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for own in part.ranges:
+            yield from self._range(own)
+
+    def _range(self, part: Range) -> Iterator[pa.RecordBatch]:
         path = self.options["path"].split("\n")[0]
         system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
         if part.path.lower().endswith(ARCHIVES):
@@ -268,13 +297,13 @@ class PgnStream(DataSourceStreamReader):
                 out[path] = taken
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         sizes, out = {path: (size, split) for path, size, split in self.batch.files()}, []
         for path, to in sorted(end.items()):
             if start.get(path, 0) < 0 or start.get(path, 0) == to:
                 continue
             size, split = sizes[path]
-            out += self.batch.ranges(path, size, start.get(path, 0), size if to < 0 else to) if split else [Range(path, 0, None)]
+            out += self.batch.ranges(path, size, start.get(path, 0), size if to < 0 else to) if split else [Range(path, 0, None, size)]
         if self.progress:
             system, root = fs.FileSystem.from_uri(self.progress) if "://" in self.progress else (fs.LocalFileSystem(), self.progress)
             system.create_dir(root, recursive=True)
@@ -283,9 +312,9 @@ class PgnStream(DataSourceStreamReader):
             if not isinstance(system, fs.LocalFileSystem) and system.get_file_info(f"{root}/planned.json").type == fs.FileType.File:
                 system.delete_file(f"{root}/planned.json")
             system.move(f"{root}/planned.new", f"{root}/planned.json")
-        return out
+        return packed(out, int(self.batch.options.get("rangebytes", 64 << 20)))
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         return self.batch.read(part)
 
 
