@@ -11,17 +11,30 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NOISE = re.compile(r"https?:|www\.|@|\d|[<>{}\[\]_#]", re.I)
-#: Titles in front of names.
-TITLES = ("gm", "im", "fm", "cm", "wgm", "wim", "wfm", "wcm", "nm", "dr", "prof", "mr", "mrs", "ms")
-STOP = ("unknown", "anonymous", "n/a", "none", "player", "chess", "test", "admin")
-
-#: Writing of other alphabets in Latin letters, and Latin letters that do not decompose.
-ARABIC = {"\u0627": "a", "\u0623": "a", "\u0625": "i", "\u0622": "a", "\u0628": "b", "\u0629": "a", "\u062a": "t", "\u062b": "th", "\u062c": "j", "\u062d": "h", "\u062e": "kh", "\u062f": "d", "\u0630": "dh", "\u0631": "r", "\u0632": "z", "\u0633": "s", "\u0634": "sh", "\u0635": "s", "\u0636": "d", "\u0637": "t", "\u0638": "z", "\u0639": "a", "\u063a": "gh", "\u0641": "f", "\u0642": "q", "\u0643": "k", "\u0644": "l", "\u0645": "m", "\u0646": "n", "\u0647": "h", "\u0648": "w", "\u0624": "u", "\u064a": "y", "\u0649": "a", "\u0626": "i", "\u0621": "", "\u067e": "p", "\u0686": "ch", "\u0698": "zh", "\u06af": "g", "\u06a9": "k", "\u06cc": "y", "\u06c0": "e", "\ufefb": "la"}
-HEBREW = {"\u05d0": "a", "\u05d1": "b", "\u05d2": "g", "\u05d3": "d", "\u05d4": "h", "\u05d5": "v", "\u05d6": "z", "\u05d7": "h", "\u05d8": "t", "\u05d9": "y", "\u05db": "k", "\u05da": "k", "\u05dc": "l", "\u05de": "m", "\u05dd": "m", "\u05e0": "n", "\u05df": "n", "\u05e1": "s", "\u05e2": "a", "\u05e4": "p", "\u05e3": "p", "\u05e6": "ts", "\u05e5": "ts", "\u05e7": "k", "\u05e8": "r", "\u05e9": "sh", "\u05ea": "t"}
-LATIN = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i", "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "þ": "th", "Þ": "Th"}
+words = lambda text: frozenset(text.split())
+
+#: Words that names are judged and written by.
+TITLES = words("gm im fm cm nm wgm wim wfm wcm mr mrs ms miss dr prof professor coach")
+PARTICLES = words("al ap bin bint da das de del dela della der di dos du el la le st ten ter van von")
+SHORT = words("ai al an bo da de do du fu gu he hu im jo ju ko le li lu ma md mi mo ng ni om or qi sa so to tu vo wu xu ya yi yu")
+NUMERALS = words("ii iii iv vi vii viii ix x")
+ANYWHERE = words("account anonymous authorized chess deleted facebook guest instagram official private settings speedrun stream tactics tiktok twitch twitter unknown youtube")
+WHOLE = words("anonymous chess none nobody null player private someone unknown")
+JOKES = words("animal attack bobred captain chucky coachren dracula fantomas general goatplayer hedgehog krypton lamassu mirage number9 powder rockula shadow shuqamuna skibidi snoopy sonic spider spot tarzan thecrusher undercover victory witchboy")
+BAD = words("alligator anonymous bye chess clash daily executioner grandmaster hi incognito item me mister naming no one patriot player russian title tv unknown you yt")
+BAD_PAIRS = frozenset({"actually, inform", "doopy, snoopy", "general of, krypton", "man, spider", "player, chess", "sonic the, hedgehog", "winner, aggressive"})
+BAD_ANYWHERE = re.compile(r"\b(id|elo|expert|fearsome|hungry|gonna|crush|detective|cloaked|greatest|ultrabullet|barking|madman|slayer|god bless|no title|you know|thinking about|expert on|dark of)\b")
+
+#: The writing of Arabic and Hebrew in Latin letters.
+ARABIC = dict(x.split("=") for x in "ا=a أ=a إ=i آ=a ب=b ة=a ت=t ث=th ج=j ح=h خ=kh د=d ذ=dh ر=r ز=z س=s ش=sh ص=s ض=d ط=t ظ=z ع=a غ=gh ف=f ق=q ك=k ل=l م=m ن=n ه=h و=w ؤ=u ي=y ى=a ئ=i ء= پ=p چ=ch ژ=zh گ=g ک=k ی=y ۀ=e ﻻ=la".split())
+HEBREW = dict(x.split("=") for x in "א=a ב=b ג=g ד=d ה=h ו=v ז=z ח=h ט=t י=y כ=k ך=k ל=l מ=m ם=m נ=n ן=n ס=s ע=a פ=p ף=p צ=ts ץ=ts ק=k ר=r ש=sh ת=t".split())
+#: Latin letters that do not decompose.
+LATIN = dict(x.split("=") for x in "ł=l Ł=L ø=o Ø=O đ=d Đ=D ð=d Ð=D ħ=h Ħ=H ŧ=t Ŧ=T ı=i ß=ss ẞ=SS æ=ae Æ=Ae œ=oe Œ=Oe þ=th Þ=Th".split())
 IN_LATIN = str.maketrans(ARABIC | HEBREW | LATIN)
 
+NOISE = re.compile(r"https?://|www\.|\.com|(^|[\s(])@[a-z0-9_]|\d|(.)\2{4}|[?;:<>{}\[\]|~*=+\U00010000-\U0010ffff]", re.I)
+WRITTEN = str.maketrans({**dict.fromkeys("\u200b\u200c\u200d\u2060"), "、": ",", ";": ",", "“": '"', "”": '"', "’": "'", "‘": "'", "_": " "})
+
 
 CELLS = 1 << 22
 
@@ -76,26 +89,62 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def _part(text: str, given: bool) -> str:
+    """A last or given name in Latin letters, without wrappers, marks, titles at its ends and, if given, initials."""
+    text = re.sub(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ", text).translate(IN_LATIN)
+    text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    text = unicodedata.normalize("NFC", text).replace("`", "").replace('"', "")
+    own = re.sub(r"[^\w .'-]|[_\d]", " ", text).split()
+    bare = [w.rstrip(".") for w in own]
+    keep = [k for k, w in enumerate(bare) if w.lower() not in TITLES]
+    if not keep:
+        return ""
+    inner = range(keep[0], keep[-1] + 1)
+    if given and len(inner) > 1 and any(len(bare[k]) > 1 for k in inner):
+        inner = [k for k in inner if not (len(bare[k]) == 1 and bare[k].isalpha())]
+    return " ".join(own[k] for k in inner).strip(" .,'-")
+
+
+def _is_initial(word: str) -> bool:
+    return len(word) == 1 and word.isupper() or len(word) in (2, 3) and word.isalpha() and word.isupper() and not set(word) & set("AEIOUY")
+
+
+def _written(word: str, first: bool, given: bool) -> str:
+    """A word in ordinary writing."""
+    low, capitals = word.lower(), word.isalpha() and word.isupper()
+    if low in NUMERALS:
+        return low.upper()
+    if not given and not first and low in PARTICLES:
+        return low
+    if capitals and (len(word) == 1 or len(word) < 4 and low not in SHORT and (not given or not set(low) & set("aeiouy"))):
+        return word
+    cap = lambda x: "Mc" + x[2:].capitalize() if re.fullmatch("mc[a-z]+", x) else x[:1].upper() + x[1:]
+    return "".join(map(cap, re.split("([-'])", low)))
+
+
 def clean_name_of(raw: str | None) -> str | None:
-    """A real name in ordinary writing ("First Last"), or None where the text is hardly one."""
-    x = unicodedata.normalize("NFKC", html.unescape(raw or "")).strip()
-    x = re.sub(r"\(.*?\)|\".*?\"", " ", x)
-    if not x or NOISE.search(x):
+    """A real name as "Last, First", or None where the text is hardly one: links, digits, symbols, words that no name has,
+    one word alone, initials only, or a script that has no writing in Latin letters here (Han characters among them)."""
+    text = " ".join(unicodedata.normalize("NFKC", html.unescape(raw or "")).translate(WRITTEN).split())
+    low = text.lower()
+    if NOISE.search(text) or any(w in low for w in ANYWHERE) or not any(c.isalpha() for c in text) or any(unicodedata.category(c) in ("So", "Co", "Cs") for c in text):
+        return None
+    parts = [p for p in (p.strip() for p in text.split(",")) if p] if "," in text else [text.rpartition(" ")[2], text.rpartition(" ")[0]]
+    if len(parts) < 2 or not parts[1]:
+        return None
+    last, first = _part(parts[0], False), _part(" ".join(parts[1:]), True)
+    if not all(re.fullmatch(r"[A-Za-z .'-]+", p) for p in (last, first)):
+        return None
+    both = [last.lower(), first.lower()]
+    whole = ", ".join(both)
+    tokens = {w for p in both for w in p.split(" ")}
+    if WHOLE & set(both) or tokens & (JOKES | BAD) or whole in BAD_PAIRS or BAD_ANYWHERE.search(whole):
         return None
-    if x.count(",") == 1:
-        last, first = (p.strip() for p in x.split(","))
-        x = f"{first} {last}"
-    x = "".join(c for c in unicodedata.normalize("NFD", x.translate(IN_LATIN)) if not unicodedata.combining(c))
-    if any(c.isalpha() and not c.isascii() for c in x):  # of a script that has no map here
+    if both[0] == both[1] and len(both[0]) < 4 or all(len(p) <= 2 and p.isalpha() for p in both) or all(len(p) == 1 for p in both):
         return None
-    words = [w for w in re.split(r"[^A-Za-z'-]+", x) if w]
-    while words and words[0].lower().strip(".") in TITLES:
-        words = words[1:]
-    words = [w for w in words if len(w.strip(".'-")) > 1]
-    if len(words) < 2 or any(w.lower() in STOP for w in words):
+    if all(_is_initial(w) for p in (last, first) for w in p.split()):
         return None
-    cap = lambda w: "-".join(p[:1].upper() + p[1:].lower() for p in w.split("-"))
-    return " ".join(cap(w) if w.islower() or w.isupper() else w for w in words)
+    return ", ".join(" ".join(_written(w, k == 0, given) for k, w in enumerate(p.split())) for p, given in ((last, False), (first, True)))
 
 
 def clean_name(c: Column) -> Column:

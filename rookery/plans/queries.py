@@ -538,10 +538,52 @@ def resume_ledger(spark, d):
     return landed.resume(events.select(F.col("event_id").cast("int").alias("event_id")), ledger)
 
 
-@query("SELECT game_id, CASE WHEN c_custkey % 2 = 0 THEN 'Real ' || c_mktsegment ELSE white END AS white, CASE WHEN c_custkey % 3 = 0 AND white_elo IS NOT NULL THEN CAST(1000 + c_custkey AS VARCHAR) ELSE white_elo END AS white_elo FROM games JOIN customer ON c_name = white")
+#: Names as players write them, and as they are written into games (None: no real name, the user's stays).
+REAL_NAMES = {
+    "Jan van der Berg": "Berg, Jan Van Der",
+    "van der Berg, Jan": "Van der Berg, Jan",
+    "GM Müller, Jörg": "Muller, Jorg",
+    "Mr Bean Official": None,
+    "Dr. Ann B. LEE": "LEE, Ann",
+    "ann LI": "Li, Ann",
+    "O''BRIEN-mcdonald, conan": "O''Brien-McDonald, Conan",
+    "Henry Tudor VIII": "VIII, Henry Tudor",
+    "Sonic The Hedgehog": None,
+    "J. K.": None,
+    "Bob": None,
+    "xx_9": None,
+    "Ann (chess coach) Lee": None,
+    "Ann (the one) Lee": "Lee, Ann",
+    "דוד כהן": "Khn, Dvd",
+    "محمد علي": "Aly, Mhmd",
+    "李小龙": None,
+    "Иван Петров": None,
+    "Łukasz Żółty": "Zolty, Lukasz",
+    "see www.a.org now": None,
+    "Anna &amp; Bo Lind; x": "Anna Bo Lind, X",
+    "Professor Smith, Miss Jane Coach": "Smith, Jane",
+    "NG, Anna": "Ng, Anna",
+    "NG, TJ": None,
+    "Aaaaaa Lee": None,
+}
+
+
+def _real_name(at: str, quoted: bool) -> str:
+    text = lambda x: "NULL" if x is None else "'" + x + "'"
+    return f"CASE {at} % {len(REAL_NAMES)} " + " ".join(f"WHEN {k} THEN {text(v if quoted else n)}" for k, (n, v) in enumerate(REAL_NAMES.items())) + " END"
+
+
+@query(f"SELECT game_id, coalesce({_real_name('c_custkey', True)}, white) AS white, CASE WHEN c_custkey % 3 = 0 AND white_elo IS NOT NULL THEN CAST(1000 + c_custkey AS VARCHAR) ELSE white_elo END AS white_elo FROM games JOIN customer ON c_name = white")
 def enrich_players(spark, d):
-    known = table(spark, d, "customer").select(F.lower("c_name").alias("user"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Real "), "c_mktsegment")).alias("real_name"), F.when(F.col("c_custkey") % 3 == 0, (1000 + F.col("c_custkey")).cast("int")).alias("fide"))
-    return landed.enrich_players(g.games(spark, d), known).select("game_id", h.tag("White").alias("white"), h.tag("WhiteElo").alias("white_elo"))
+    names = F.element_at(F.array(*(F.lit(n.replace("''", "'")) for n in REAL_NAMES)), (F.col("c_custkey") % len(REAL_NAMES) + 1).cast("int"))
+    players = table(spark, d, "customer").select(F.concat(F.upper("c_name"), F.lit(" ")).alias("username"), names.alias("name"), F.when(F.col("c_custkey") % 3 == 0, (1000 + F.col("c_custkey")).cast("int")).alias("fide"))
+    return landed.enrich_players(g.games(spark, d), landed.profiles(players)).select("game_id", h.tag("White").alias("white"), h.tag("WhiteElo").alias("white_elo"))
+
+
+@query(f"SELECT game_id, CAST(row_number() OVER (ORDER BY upper(regexp_extract(event, '^\\D+')), CAST(regexp_extract(event, '\\d+') AS INT), CAST(regexp_extract(site, '\\d+') AS INT), {NATURAL}, white, game_id) - 1 AS BIGINT) AS rank FROM games")
+def sort_games(spark, d):
+    """Places in the order of ``sort_games`` by several criteria."""
+    return co.numbered(g.games(spark, d), ["Event", "Site", "Round", "White"], "rank").select("game_id", "rank")
 
 
 @query("SELECT event_id FROM events WHERE user_id = 7 AND event_type IN ('click', 'view') AND event_id % 3 = 0", base="")
