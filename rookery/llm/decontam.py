@@ -2,8 +2,10 @@
 
 Impacts (BM25 contributions) are divided by their item's threshold, ``ratio`` of the score it has with itself, so an item
 is retrieved where its impacts add up to 1. Items lie in blocks of neighbours, and blocks in at most ``GROUPS`` groups;
-the index has the greatest impact of each term in each block and group. Passages are windows of every text, twice as long
-as the longest item and overlapping by half, so an item lies in one window wherever it begins. The bounds of all passages
+the index has the greatest impact of each term in each block and group. Passages are windows of every text, overlapping by
+half. Items go by length, in classes up to a power of two, and each class has an index and windows of its own, of twice
+that power: an item lies in one window wherever it begins, and which windows it meets depends on its own length alone. The
+bounds of all passages
 in all groups are summed at once; only groups whose bound reaches 1 are searched, by block-max WAND: cursors over the
 posting lists of the passage's terms, a pivot where the lists' greatest impacts reach 1, blocks skipped whose own greatest
 impacts don't. Bounds are never below scores, so every item above its threshold is retrieved. Retrieved items are
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType
 
 from ._shared import plain_object, saved, slices, split_words
@@ -69,7 +72,8 @@ def grams(words: list, n: int) -> set[tuple]:
 
 
 class Index:
-    """Impacts of some items by term and block. ``found``, ``n``, ``mean`` and ``longest`` are about all items."""
+    """Impacts of some items by term and block. ``found``, ``n`` and ``mean`` are about all items;
+    none of these has more than ``longest`` words."""
 
     def __init__(self, items: list[tuple], ratio: float, found: dict[str, int], n: int, mean: float, longest: int):
         items = [(i, t) for i, t in items if terms_of(t)]
@@ -157,20 +161,26 @@ class Index:
         return share(self.question[item], self.sizes[item][0]), share(self.answer[item], self.sizes[item][1])
 
 
-def _search_texts(index: Index, texts: pa.Array, overlap: float) -> list[dict[int, tuple[float, float, float]]]:
-    """For each text the verified items with their best score and overlaps."""
+def _terms(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct terms of some texts, which of them stands at each place, and where each text begins and ends."""
     words, ends = split_words(texts)
+    coded = words.dictionary_encode()
+    terms, codes = [normal(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+    full = np.array([w != "" for w in terms], bool)
+    if not full.all():  # punctuation only: no word
+        before = np.concatenate(([0], np.cumsum(full[codes])))
+        codes, ends = codes[full[codes]], before[ends]
+    return terms, codes, ends
+
+
+def _search_texts(index: Index, terms: list[str], codes: np.ndarray, ends: np.ndarray, overlap: float) -> list[dict[int, tuple[float, float, float]]]:
+    """For each text the verified items with their best score and overlaps."""
     out: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(ends) - 1)]
-    if not len(words) or not index.ids:
+    if not len(codes) or not index.ids:
         return out
-    coded = words.dictionary_encode()
     unknown = len(index.vocabulary)
-    kept = [normal(w) for w in coded.dictionary.to_pylist()]
-    ids = np.array([index.vocabulary.get(w, unknown) if w else -1 for w in kept], np.int64)[coded.indices.to_numpy()]
-    if (ids < 0).any():  # punctuation only: no word
-        before = np.concatenate(([0], np.cumsum(ids >= 0)))
-        ids, ends = ids[ids >= 0], before[ends]
-    # window w of a text covers its stretches w and w + 1 of the length of the longest item
+    ids = np.array([index.vocabulary.get(w, unknown) for w in terms], np.int64)[codes]
+    # window w of a text covers its stretches w and w + 1 of the length that items have at most
     step, n = index.longest, np.diff(ends)
     count = np.maximum(1, -(-n // step) - 1)
     first = np.concatenate(([0], np.cumsum(count)))
@@ -225,10 +235,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap:
     schema = docs.select("doc_id").schema.add("node", "long").add("item_id", item)
     for name in ("score", "question_overlap", "answer_overlap"):
         schema = schema.add(name, "double")
-    kinds = [f.dataType for f in schema]
+    kind = to_arrow_type(item)
     out = spark.createDataFrame([], schema)
     items = _items(benchmark)
-    n, total, longest = items.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    n, total = items.agg(F.count("*"), F.sum("n")).first()
     chunks = -(-(total or 0) // CHUNK_WORDS)
     terms = items.select("item_id", "text", F.explode("terms").alias("term"))
     found = saved(terms.groupBy("term").agg(F.count("*").alias("found")), "terms")
@@ -236,15 +246,22 @@ def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap:
         mine = F.pmod(F.xxhash64("text"), F.lit(chunks)) == chunk
         own = [(r["item_id"], r["text"]) for r in items.where(mine).collect()]  # about CHUNK_WORDS words
         counts = dict(terms.where(mine).select("term").distinct().join(found, "term").collect())
-        sent = spark.sparkContext.broadcast(vars(Index(own, ratio, counts, n, total / n, longest)))
+        classes: dict[int, list[tuple]] = {}
+        for i, text in own:
+            classes.setdefault((len(terms_of(text)) - 1).bit_length(), []).append((i, text))
+        sent = spark.sparkContext.broadcast([vars(Index(x, ratio, counts, n, total / n, 1 << c)) for c, x in sorted(classes.items())])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = plain_object(Index, sent.value)
+            indexes = [plain_object(Index, x) for x in sent.value]
             for part in slices(batches, 2, SLICE, SLICE_BYTES):
                 ids, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
-                hits = _search_texts(index, part.column(2), overlap)
-                if rows := [(ids[r], nodes[r], index.ids[k], *x) for r, own in enumerate(hits) for k, x in sorted(own.items())]:
-                    types = [part.schema.field(0).type, pa.int64(), pa.int64() if "Long" in str(kinds[2]) else None, *[pa.float64()] * 3]
+                words = _terms(part.column(2))
+                rows = []
+                for index in indexes:
+                    hits = _search_texts(index, *words, overlap)
+                    rows += [(ids[r], nodes[r], index.ids[k], *x) for r, own in enumerate(hits) for k, x in sorted(own.items())]
+                if rows:
+                    types = [part.schema.field(0).type, pa.int64(), kind, *[pa.float64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), types, strict=True)], names=schema.names)
 
         out = out.union(rows.mapInArrow(run, schema))

@@ -248,6 +248,26 @@ def test_decontamination(spark, docs, none):
     assert decontam.find(none, bench).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_decontamination_of_an_item_does_not_depend_on_others(spark, kind):
+    """An item in pieces far apart is none, whether a long item is there or not; its id may be of any type."""
+    rng = random.Random(12)
+    items = [prose(rng, 25).capitalize() + ". " + prose(rng, 6).capitalize() + "." for _ in range(20)]
+    w = items[7].split()
+    apart = " ".join([*w[:11], prose(rng, 150), *w[11:22], prose(rng, 150), *w[22:]])
+    long = prose(rng, 3000)
+    texts = [apart, prose(rng, 90) + " " + items[3] + " " + prose(rng, 3000), long, prose(rng, 40) + " " + long + " " + prose(rng, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = int if kind != "string" else str
+
+    def hits(own):
+        bench = spark.createDataFrame([(key(k), t) for k, t in enumerate(own)], f"item_id {kind}, text string")
+        return sorted((r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect())
+
+    assert hits(items) == [(1, key(3))]
+    assert hits([*items, long]) == [(1, key(3)), (2, key(20)), (3, key(20))]
+
+
 def items_index(items, ratio):
     words = [decontam.terms_of(t) for _, t in items]
     found = Counter(w for x in words for w in set(x))
