@@ -15,7 +15,7 @@ from ..operators import filters as fi
 from ..operators import info, landed, lookups, tournaments
 from ..operators import plies as pl
 from ..operators.tables import new_folder, saved
-from ..sources import pgn, pgn_files
+from ..sources import landed_json, pgn, pgn_files
 from . import games as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,15 +185,16 @@ def sort_brands(spark, d):
     return co.global_index(parts, ["_k", "p_partkey"], "rank").select("p_partkey", "rank")
 
 
-TWICE = "twice AS (SELECT game_id, 0 AS part FROM games UNION ALL SELECT game_id, 1 FROM games WHERE game_id % 3 = 0)"
-
-
-@query(f", {TWICE} SELECT game_id, 0 AS part FROM twice WHERE part = 0")
+@query("SELECT game_id, 'orders' AS source_file FROM games UNION ALL SELECT game_id, 'orders again' FROM games WHERE game_id % 15 = 0")
 def deduplicate_games(spark, d):
-    games = g.games(spark, d)
+    """A third of the games comes a second time, with its tags in another order and its moves annotated; of these
+    every fifth has a move more, and so is another game."""
+    games = _unique(g.games(spark, d))
     again = games.where("game_id % 3 = 0").withColumn("source_file", F.lit("orders again"))
-    own = co.deduplicate(_unique(games).unionByName(_unique(again)))
-    return own.select("game_id", F.lit(0).alias("part"))
+    turned = F.reverse(F.transform("headers", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    text = F.when(F.col("game_id") % 5 == 0, F.concat("movetext", F.lit(" Zz9"))).otherwise(F.concat(F.lit("{again} (1. a3 {x}) "), "movetext", F.lit(" ; end")))
+    again = again.withColumn("headers", turned).withColumn("movetext", text)
+    return co.deduplicate(games.unionByName(again)).select("game_id", "source_file")
 
 
 def _unique(games: DataFrame) -> DataFrame:
@@ -790,6 +791,17 @@ def tournament_files(spark, d):
     return _read_back(spark, path)
 
 
+@query("SELECT 'landed-' || (game_id // 500) || '.pgn' AS file, row_number() OVER (PARTITION BY game_id // 500 ORDER BY game_id) AS position, game_id FROM games")
+def month_files(spark, d):
+    """Payload files of up to 500 games each, landed as JSON, read and written as PGN files of their names."""
+    landed_at, path = new_folder(spark, "landed"), new_folder(spark, "months")
+    rows = _unique(g.games(spark, d)).select(F.expr("game_id div 500").alias("part"), F.struct("game_id", pgn.pgn_text().alias("pgn")).alias("x"))
+    rows.groupBy("part").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["pgn"].alias("pgn"))).alias("games")).write.partitionBy("part").json(landed_at)
+    payload = landed_json.read_month(spark, landed_at)
+    landed_json.write_months(payload, path, lambda f: F.concat(F.lit("landed-"), F.regexp_extract(f, r"part=(\d+)/", 1), F.lit(".pgn")))
+    return _read_back(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

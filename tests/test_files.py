@@ -98,3 +98,17 @@ def test_tournaments_as_files(spark, tmp_path):
     assert tournaments.write_tournaments(make(spark, games), f"file://{tmp_path}", 2400, 3) == 1
     (name,) = os.listdir(tmp_path)
     assert name.startswith("2450-2500-alpha-open-rome-2024-") and (tmp_path / name).read_text().count("[Event ") == 6
+
+
+def test_months_of_landed_payloads(spark, tmp_path):
+    from rookery.sources import landed_json
+
+    (tmp_path / "in").mkdir()
+    game = lambda k: {"pgn": f'[Event "E"]\n[Id "{k}"]\n\n1. e4 *\n', "white": {"username": "a", "rating": 1}}
+    for name, ids_ in {"ann-2024-01.json": [3, 1, 2], "ann-2024-02.json": [5, 4], "bob-2024-01.json": []}.items():
+        (tmp_path / "in" / name).write_text(json.dumps({"games": [game(k) for k in ids_] + [{"pgn": None}, {"pgn": "  "}]}))
+    payload = landed_json.read_month(spark, f"{tmp_path}/in")
+    name = lambda f: F.regexp_replace(F.element_at(F.split(f, "/"), -1), r"\.json$", ".pgn")
+    assert landed_json.write_months(payload, f"{tmp_path}/out", name) == (5, 2)
+    assert sorted(os.listdir(tmp_path / "out")) == ["ann-2024-01.pgn", "ann-2024-02.pgn"]
+    assert ids(tmp_path / "out/ann-2024-01.pgn") == ["3", "1", "2"] and ids(tmp_path / "out/ann-2024-02.pgn") == ["5", "4"]
