@@ -1,34 +1,46 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of running text. A classifier of a block's wording and of the asides it is in gives two costs:
-that of calling it content and that of calling it boilerplate. They are the capacities to source and sink; smoothness
-edges join blocks that follow each other and blocks that are neighbours below one parent, the more weakly the farther
-apart they are in the document tree and across the border of an aside. An article or main element is a node of its own,
-likely content, with an edge to each of its blocks outside asides; so a short heading is content by its edges. The
-minimum cut (maximum flow, after fixing every node whose own cost outweighs all its edges) separates content from
-boilerplate.
+A page is cut into blocks of running text. A classifier of a block's wording (words, share of links, end of a sentence, heading or not)
+gives its log odds of being content; they and the costs of the asides it is in are its capacity to source or sink. The
+classifier is trained here, on the pages themselves: blocks of article elements outside asides count as content, blocks
+in asides as boilerplate, and the logarithms of the two balanced counts of each of 84 cells, drawn towards odds set by
+hand while there are few, are the odds (``learn``: one job over all pages, whose result has at most 168 rows).
+
+Smoothness edges join blocks that follow each other and blocks that are neighbours below one parent, the more weakly the
+farther apart they are in the document tree and across the border of an aside. An article or main element is a node of
+its own, likely content, with a weak edge to each of its blocks outside asides. So a block whose wording speaks against
+it is content where its neighbours are. The minimum cut (maximum flow, after fixing every node whose own cost
+outweighs all its edges) separates content from boilerplate.
+
+An element is in an aside for its tag, for being hidden, or for a class, id or role all of whose words are those of
+asides or general ones (``sidebar``, ``ad-box``). A name that only contains such a word (``login-history``) is a hint,
+which counts outside articles only and which wording and neighbours can outweigh.
 
 Defined cases: a null or empty page has the text "". Unclosed, misplaced or unknown tags are tolerated, as are character
-references without a semicolon. Pages of any length are read whole. Repeated rows get equal results; other columns
-are ignored.
+references without a semicolon. Formulas keep their characters. What is not shown as text (``svg``, ``canvas``, media and
+their fallbacks, templates, annotations of formulas) is markup; ``noscript`` is text inside an article and a notice
+outside. Pages of any length are read whole. Repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = set("script style noscript template textarea title iframe object svg math canvas audio video".split())
+RAW = set("script style template textarea title iframe object svg canvas audio video annotation annotation-xml".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 PARAGRAPH_STAYS_OPEN = set("button body html".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,6 +51,11 @@ ASIDE_WORDS = set(
     "form login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related "
     "replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+GENERAL_WORDS = set(
+    "a area article bar block body bottom box bubble button buttons card center col column container content entry field fixed global group header icon icons "
+    "info inline inner item items js label large left link links list listing main mobile module nested news outer page pane panel popular post posts primary "
+    "reader region right row secondary section site slot small sticky stories story text title top user users view visible wrap wrapper".split()
+)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -47,19 +64,29 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(
 class Costs:
     """Weights of the classifier (log odds of content) and of the smoothness edges."""
 
-    article: float = 12.0  # of an article or main element itself
-    inside: float = 3.0  # between it and a block in it
-    aside_tag: float = -8.0
+    article: float = 4.0  # of an article or main element itself
+    inside: float = 0.2  # between it and a block in it
+    inside_heading: float = 0.6
+    hint: float = -3.0  # outside article and main elements
     aside_word: float = -6.0
+    aside_tag: float = -8.0
     hidden: float = -9.0
     base: float = -0.5
     words: float = 2.0  # reached at ``words_full`` words
     words_full: int = 24
     links: float = -3.0  # times the share of linked characters
     sentence: float = 0.4
-    smooth: float = 0.8  # of blocks that follow each other, over 1 + distance in the tree
-    sibling: float = 0.4
+    smooth: float = 2.4  # of blocks that follow each other, over 1 + distance in the tree
+    sibling: float = 1.2
     contrast: float = 0.1  # times this where one block is in an aside and the other isn't
+    prior: float = 50.0  # blocks that the odds by hand count as in each cell
+    most: float = 2.0  # what wording can speak for a block, or against one with links
+    against: float = 0.4  # what wording can speak against a block without links
+    learned: dict[int, float] = field(default_factory=dict)  # log odds of a cell; by hand where there are none
+
+
+#: Kinds of asides, the weakest first.
+HINT, WORD, ELEMENT, HIDDEN = 1, 2, 3, 4
 
 
 @dataclass
@@ -69,7 +96,8 @@ class Block:
     far: int  # distance in the tree to the block before
     parent: int
     article: int  # number of the innermost article or main element around it, 0 if there is none
-    aside: int  # 0, or 1 for a word, 2 for a tag, 3 for hidden
+    aside: int  # 0 or the strongest kind around it
+    heading: bool
 
 
 @dataclass
@@ -80,19 +108,29 @@ class _Element:
     aside: int
 
 
+def _kind(names: str, article: int) -> int:
+    """What the words of a class, id or role say of an element."""
+    out = 0
+    for name in names.split():
+        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+        if words & ASIDE_WORDS or "header" in words and not article:
+            out = max(out, WORD if words <= ASIDE_WORDS | GENERAL_WORDS else HINT)
+    return out
+
+
 def _open(name: str, attributes: str, number: int, parent: _Element) -> _Element:
-    article, aside = number if name in ("article", "main") else parent.article, parent.aside
-    if name in ASIDE_TAGS or name == "header" and not article:
-        aside = max(aside, 2)
+    article, aside = parent.article, parent.aside
+    if name in ("article", "main"):
+        article, aside = number, aside if aside > HINT else 0
+    if name in ASIDE_TAGS or name in ("header", "noscript") and not article:
+        aside = max(aside, ELEMENT)
     if attributes and name not in ("html", "body", "main"):
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                aside = 3
+                aside = HIDDEN
             elif key in ("class", "id", "role"):
-                words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)}
-                if words & ASIDE_WORDS or "header" in words and not article:
-                    aside = max(aside, 1)
+                aside = max(aside, _kind(value, article))
                 article = number if key == "role" and value in ("main", "article") else article
     return _Element(name, number, article, aside)
 
@@ -108,11 +146,11 @@ class _Open:
     def last(self, name: str) -> int:
         return self.at[name][-1] if self.at.get(name) else 0
 
-    def push(self, element: _Element) -> None:
+    def push(self, element: _Element, block: bool) -> None:
         k = len(self.stack)
         self.stack.append(element)
         self.at.setdefault(element.name, []).append(k)
-        if element.name in BLOCKS:
+        if block:
             self.blocks.append(k)
         if element.name in SCOPES:
             self.scopes.append(k)
@@ -141,7 +179,7 @@ def blocks_of(page: str) -> list[Block]:
             top, inner = tree.blocks[-1], stack[-1]
             depth = top + 1
             far = before + depth - 2 * min(before, depth, low)
-            out.append(Block(text, linked / max(1, total), far, stack[top - 1].number if top else -1, inner.article, inner.aside))
+            out.append(Block(text, linked / max(1, total), far, stack[top - 1].number if top else -1, inner.article, inner.aside, stack[top].name in HEADINGS))
             low, before = len(stack), depth
         parts.clear()
         total = linked = 0
@@ -182,7 +220,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "br":
             parts.append(" ")
-        if name in BLOCKS:
+        block = name in BLOCKS or name == "noscript" and not stack[-1].article
+        if block:
             flush()
             if name not in PARAGRAPH_STAYS_OPEN and stack[tree.blocks[-1]].name == "p":
                 close(tree.blocks[-1])
@@ -190,29 +229,62 @@ def blocks_of(page: str) -> list[Block]:
                 close(k)
         if name not in VOID and not m[3].endswith("/"):
             count += 1
-            tree.push(_open(name, m[3], count, stack[-1]))
+            tree.push(_open(name, m[3], count, stack[-1]), block)
     text_until(len(page))
     flush()
     return out
 
 
+def cell_of(block: Block) -> int:
+    """The cell of a block: its words in powers of two, how much of it is linked, whether a sentence ends, and whether it is a heading."""
+    n = min(7, (block.text.count(" ") + 1).bit_length())
+    linked = 0 if not block.linked else 1 if block.linked < 0.5 else 2
+    return n * 12 + linked * 4 + block.text.endswith((".", "!", "?", "…")) * 2 + block.heading
+
+
+def by_hand(cell: int, c: Costs) -> float:
+    """Log odds of a cell where nothing has been learned."""
+    n, linked, sentence = 1.5 * 2 ** (cell // 12 - 1), (0.0, 0.25, 1.0)[cell % 12 // 4], cell % 4 // 2
+    return c.base + c.words * min(1.0, n / c.words_full) + c.links * linked + c.sentence * sentence
+
+
+def learn(pages: DataFrame, costs: Costs | None = None) -> Costs:
+    """``costs`` with the log odds of all pages' blocks in and outside article elements; without any, those by hand."""
+    c = costs or Costs()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[tuple[int, bool]] = Counter()
+        for batch in batches:
+            for page in batch.column(0):
+                found.update((cell_of(b), not b.aside) for b in blocks_of(page.as_py() or "") if b.aside > HINT or b.article and not b.aside)
+        yield pa.RecordBatch.from_pylist([{"cell": k, "content": x, "n": n} for (k, x), n in found.items()], schema=pa.schema([("cell", pa.int32()), ("content", pa.bool_()), ("n", pa.int64())]))
+
+    rows = pages.select("html").mapInArrow(run, "cell int, content boolean, n long").groupBy("cell", "content").agg(F.sum("n").alias("n")).collect()
+    n = {(r.cell, r.content): r.n for r in rows}
+    good, bad = (sum(x for (_, content), x in n.items() if content is side) for side in (True, False))
+    learned = {}
+    for cell in {k for k, _ in n} if good and bad else ():
+        p = 1 / (1 + math.exp(-by_hand(cell, c)))
+        learned[cell] = math.log((n.get((cell, True), 0) + c.prior * p) / (n.get((cell, False), 0) * good / bad + c.prior * (1 - p)))
+    return Costs(**{**c.__dict__, "learned": learned})
+
+
 def odds(block: Block, c: Costs) -> float:
-    """Log odds that a block is content, by its place and wording alone."""
-    n = block.text.count(" ") + 1
-    out = c.base + c.words * min(1.0, n / c.words_full) + c.links * block.linked
-    out += c.sentence * block.text.endswith((".", "!", "?", "…"))
-    return out + (0.0, c.aside_word, c.aside_tag, c.hidden)[block.aside]
+    """Log odds that a block is content, by its wording and the asides it is in."""
+    cell = cell_of(block)
+    wording = c.learned[cell] if cell in c.learned else by_hand(cell, c)
+    return max(-(c.most if block.linked else c.against), min(c.most, wording)) + (0.0, 0.0 if block.article else c.hint, c.aside_word, c.aside_tag, c.hidden)[block.aside]
 
 
 def edges_of(blocks: list[Block], c: Costs) -> dict[tuple[int, int], float]:
     """Smoothness edges (i < j) with their weights."""
     out: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, int], int] = {}
+    last: dict[tuple[int, bool], int] = {}
     for j, b in enumerate(blocks):
         if j:
-            alike = (b.aside > 0) == (blocks[j - 1].aside > 0)
+            alike = (b.aside > HINT) == (blocks[j - 1].aside > HINT)
             out[j - 1, j] = c.smooth / (1 + b.far) * (1 if alike else c.contrast)
-        parent = (b.parent, b.aside)
+        parent = (b.parent, b.aside > HINT)
         if parent in last:
             out[last[parent], j] = out.get((last[parent], j), 0.0) + c.sibling
         last[parent] = j
@@ -300,25 +372,26 @@ def _max_flow(nodes: list[int], pull: list[float], near: list[list[tuple[int, fl
                 break
 
 
-def labelled(page: str | None, costs: Costs = Costs()) -> tuple[list[Block], list[float], list[bool]]:
+def labelled(page: str | None, costs: Costs | None = None) -> tuple[list[Block], list[float], list[bool]]:
     """The blocks of a page, their own log odds and the labels of the minimum cut."""
-    blocks = blocks_of(page or "")
+    costs, blocks = costs or Costs(), blocks_of(page or "")
     own, edges = [odds(b, costs) for b in blocks], edges_of(blocks, costs)
     articles: dict[int, int] = {}
     for k, b in enumerate(blocks):
-        if b.article and not b.aside:
-            edges[k, articles.setdefault(b.article, len(blocks) + len(articles))] = costs.inside
+        if b.article and b.aside <= HINT:
+            edges[k, articles.setdefault(b.article, len(blocks) + len(articles))] = costs.inside_heading if b.heading else costs.inside
     labels = minimum_cut(own + [costs.article] * len(articles), edges)
     return blocks, own, labels[: len(blocks)]
 
 
-def main_text(page: str | None, costs: Costs = Costs()) -> str:
+def main_text(page: str | None, costs: Costs | None = None) -> str:
     blocks, _, labels = labelled(page, costs)
     return "\n\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 
-def extract(pages: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """page_id, url and the main text of every row of ``pages``."""
+def extract(pages: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """page_id, url and the main text of every row of ``pages``, by ``costs`` or by what these pages teach."""
+    costs = costs or learn(pages)
     schema = pages.select("page_id", "url").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

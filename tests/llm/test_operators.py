@@ -1,6 +1,7 @@
 """Small cases of the corpus operators against plain Python: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import base64
+import dataclasses
 import hashlib
 import itertools
 import os
@@ -9,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +351,92 @@ def test_html_edges_decide_and_deep_pages(spark):
     assert html_cut.extract(pages).count() == 4
 
 
+class _Article(HTMLParser):
+    """Text of blocks below <article>, outside what is named as left out: another reading of the same pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("h1", "h2", "p", "div", "li", "ul", "section", "article", "aside", "blockquote"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag != "meta":
+            self.open.append((tag, dict(attrs).get("class") in ("comments", "ad-box")))
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+        if tag not in ("b", "a", "i"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if "article" in tags and "aside" not in tags and not any(x for _, x in self.open):
+            self.blocks[-1] += data
+
+
+def article_of(page):
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def words(rng, lo, hi):
+    return prose(rng, rng.randrange(lo, hi))
+
+
+def test_html_query_against_another_parser(spark, tmp_path):
+    """Whole result of the query on pages of many templates, and on the driver's."""
+    rng, rows = random.Random(11), [(0, "u0", None), (1, "u1", "")]
+    for k in range(2, 400):
+        menu = "".join(f"<li><a href=x>{words(rng, 1, 3)}</a></li>" for _ in range(rng.randrange(3, 9)))
+        paragraphs = [f"<p>{words(rng, 1, 90)}{rng.choice(('.', '.', ''))}</p>" for _ in range(rng.randrange(2, 9))]
+        paragraphs.insert(1, f'<p class="{rng.choice(("login-history", "x", "tags-of-war"))}">{words(rng, 2, 30)}.</p>')
+        paragraphs.insert(rng.randrange(len(paragraphs)), rng.choice((f'<div class="ad-box">{words(rng, 5, 20)}.</div>', f"<aside><p>{words(rng, 30, 60)}.</p></aside>", "")))
+        comments = f'<section class="comments"><p>{words(rng, 20, 40)}.</p></section>'
+        inner, outer = (comments, "") if k % 2 else ("", comments)
+        html = f"<html><body><nav><ul>{menu}</ul></nav><div class=ad>{words(rng, 6, 12)}.</div><article><h1>{words(rng, 4, 12)} &amp; {k}</h1>{''.join(paragraphs)}{inner}</article>{outer}<footer>&copy; {words(rng, 5, 20)}.</footer></body></html>"
+        rows.append((k, f"u{k}", html))
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in queries.op8_html_extraction(spark, f"file://{tmp_path}").collect()}
+    want = {(k, u): (article_of(x), len(article_of(x))) for k, u, x in rows}
+    assert got == want
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op8_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r.page_id: (article_of(r.html), len(article_of(r.html))) for r in pages}
+
+
+def test_html_smoothness_edges_decide(spark):
+    """Without the smoothness edges, blocks whose wording is that of boilerplate would go."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    costs = html_cut.learn(pages)
+    alone = dataclasses.replace(costs, smooth=0.0, sibling=0.0)
+    changed = lost = 0
+    for r in pages.where("page_id % 5 = 0").collect():
+        _, _, label = html_cut.labelled(r.html, costs)
+        changed += sum(a != b for a, b in zip(label, html_cut.labelled(r.html, alone)[2], strict=True))
+        lost += html_cut.main_text(r.html, costs) != article_of(r.html)
+    assert changed > 100 and lost == 0
+
+
+def test_html_names_formulas_and_notices(spark, none):
+    long = "This is a paragraph of running text that has quite a few words, so it is content by itself, with a full stop at its end."
+    for inner in (f'<p class="login-history">{long}</p>', f'<div class="tags-of-war">{long}</div>', f"<noscript>{long}</noscript>", '<p class="search-party">Short one.</p>'):
+        page = f"<article><h1>Head line</h1><p>{long}</p>{inner}<p>{long}</p></article>"
+        assert html_cut.main_text(page) == "\n\n".join(["Head line", long, re.sub("<[^>]*>", "", inner), long])
+    assert html_cut.main_text(f"<article><p>{long}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> holds.</p></article>") == f"{long}\n\nSo x=1 holds."
+    for inner in ('<div class="sidebar-left">', '<div class="adBox ad-300x250">', '<ul id="comments-list">', '<div class="cookie-notice">', "<noscript>"):
+        assert html_cut.main_text(f"<body>{inner}{long}</div></ul></noscript><article><p>{long}</p></article>") == long
+    assert html_cut.main_text(f'<div class="page-with-sidebar"><article><h2>Head</h2><p>{long}</p></article></div>') == f"Head\n\n{long}"
+    plain = spark.createDataFrame([(1, f"<div><p>{long}</p></div>"), (2, None)], "page_id long, html string")
+    assert html_cut.learn(plain).learned == {} and html_cut.learn(plain.limit(0)).learned == {}
+
+
 def brute_classes(texts):
     sets = []
     for x in texts:
