@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from rookery.sources import bz2_blocks
+
 SCHEMA = "source_file string, seq long, headers array<struct<key:string,value:string>>, tags map<string,string>, movetext string"
 PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
 ARROW = pa.schema([("source_file", pa.string()), ("seq", pa.int64()), ("headers", pa.list_(PAIR)), ("tags", pa.map_(pa.string(), pa.string())), ("movetext", pa.string())])
@@ -207,7 +209,7 @@ class PgnReader(DataSourceReader):
             system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
             info = system.get_file_info(root)
             found = [info] if info.type == fs.FileType.File else [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
-            out += [(x.path, x.size, split and not x.path.lower().endswith((".gz", ".bz2", ".zst", *ARCHIVES))) for x in sorted(found, key=lambda x: x.path) if x.size]
+            out += [(x.path, x.size, split and not x.path.lower().endswith((".gz", ".zst", *ARCHIVES))) for x in sorted(found, key=lambda x: x.path) if x.size]
         return out
 
     def ranges(self, path: str, size: int, start: int, end: int) -> list[Range]:
@@ -232,6 +234,11 @@ class PgnReader(DataSourceReader):
                 for name, stream in _entries(part.path, file):
                     yield from self._batches(f"{part.path}!{name}", _lines(stream, 0, self.encoding, self.most))
             return
+        if part.path.lower().endswith(".bz2") and self.options.get("splittable", "true") != "false":
+            with system.open_input_file(part.path) as stream:
+                found = bz2_blocks.lines(stream, part.start, self.encoding, self.most, part.path)
+                yield from self._batches(part.path, range_lines(found, part.start, None if part.end is None else part.end << bz2_blocks.PLACE_BITS))
+            return
         if part.start:
             stream = system.open_input_file(part.path)
             stream.seek(part.start - 1)
