@@ -223,7 +223,7 @@ class PgnReader(DataSourceReader):
         return packed(ranges, int(self.options.get("rangebytes", 64 << 20)))
 
     def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
-        for own in part.ranges:
+        for own in part.ranges if part is not None else ():  # Spark asks for one part where there is none
             yield from self._range(own)
 
     def _range(self, part: Range) -> Iterator[pa.RecordBatch]:
