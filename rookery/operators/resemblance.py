@@ -8,8 +8,8 @@ any pair above the threshold meets under one of these keys. Jaro-Winkler adds to
 are sought once for each length of it: the prefix is part of the key, and j is what its bonus leaves to be had.
 
 No key stands for an initial, a length or a block alone, so a hot block is split by its letters; only blocks of at most
-``FEW`` strings are joined as they are. The index is Spark
-functions; pairs that meet are scored in batches (``jaro_winkler``). Scores are rounded to nine digits, since pairs of
+``FEW`` strings are joined as they are. All joins are marked for merging: Spark estimates an index by the strings it is made
+of, and would broadcast many times their number of rows. The index is Spark functions; pairs that meet are scored in batches (``jaro_winkler``). Scores are rounded to nine digits, since pairs of
 equal similarity may differ in the last bit.
 """
 
@@ -68,15 +68,15 @@ def candidates(left: DataFrame, right: DataFrame, least: float, alike: list[str]
     alike, out = alike or [], None
     if alike:
         sizes = right.groupBy(*alike).agg(F.count("*").alias("_few")).where(F.col("_few") <= FEW).select(*alike)
-        out = left.join(right.join(sizes, alike, "left_semi"), alike).where("length(a) > 0 and length(b) > 0").select(*alike, "a", "b")
-        right = right.join(sizes, alike, "left_anti")
-        left = left.join(right.select(*alike).distinct(), alike, "left_semi")
+        out = left.join(right.join(sizes.hint("merge"), alike, "left_semi").hint("merge"), alike).where("length(a) > 0 and length(b) > 0").select(*alike, "a", "b")
+        right = right.join(sizes.hint("merge"), alike, "left_anti")
+        left = left.join(right.select(*alike).distinct().hint("merge"), alike, "left_semi")
     for prefix in range(int(initial), PREFIX + 1):
         share = shared(least, prefix)
         if not 1 < share <= 2:
             raise ValueError("the index needs a similarity above 0.8, of at most 1")
         probes, index = postings(left, "a", share, prefix, True, alike), postings(right, "b", share, prefix, False, alike)
-        met = probes.join(index, [*alike, "_head", "_n", "_groups", "_g", "_key"]).where("_probe + _own <= 1").select(*alike, "a", "b")
+        met = probes.join(index.hint("merge"), [*alike, "_head", "_n", "_groups", "_g", "_key"]).where("_probe + _own <= 1").select(*alike, "a", "b")
         out = met if out is None else out.unionByName(met)
     return out.distinct()
 
