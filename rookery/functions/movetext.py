@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .headers import once
+
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 DEPTH = 6
 
@@ -154,7 +156,11 @@ def book_mainline(text: Column) -> Column:
     variations from the inside out; an unclosed one takes the rest."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\{[^}]*(\}|$)|;[^\r\n]*|\[[^\]]*(\]|$)", " ")
     for _ in range(DEPTH):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
+        out = once(out, lambda x: F.when(F.contains(x, F.lit("(")), F.regexp_replace(x, r"\([^()]*\)", " ")).otherwise(x))
+    return once(out, lambda x: F.when(F.contains(x, F.lit("(")), _deeper(x)).otherwise(x))
+
+
+def _deeper(out: Column) -> Column:
     # what is nested deeper has at most as many levels left as openers
     left = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(out, F.lit(r"\("))))
     out = F.when(out.rlike(r"\([^()]*\)"), F.aggregate(left, out, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", " "))).otherwise(out)
@@ -163,15 +169,17 @@ def book_mainline(text: Column) -> Column:
 
 def normal_tokens(text: Column) -> Column:
     """The moves of a main line: without numbers, dots, NAGs, marks; up to the first result."""
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return once(F.filter(F.split(text, r"\s+"), lambda x: x != ""), _normal)
+
 
+def _normal(words: Column) -> Column:
     def clean(x: Column) -> Column:
         x = F.regexp_replace(x, r"^\d+\.+", "")
         x = F.regexp_replace(x, r"\$\d*$", "")
         x = F.regexp_replace(x, r"[+#!?]+$", "")
         x = F.regexp_replace(x, r"(?i)e\.?p\.?$", "")
-        x = F.when(F.upper(x).isin("O-O-O", "0-0-0"), F.lit("O-O-O")).when(F.upper(x).isin("O-O", "0-0"), F.lit("O-O")).otherwise(x)
-        return F.when(x.rlike(r"^(\d+|[.]+|\$\d*|[!?+#]*)$"), F.lit("")).otherwise(x)
+        x = once(x, lambda y: F.when(F.upper(y).isin("O-O-O", "0-0-0"), F.lit("O-O-O")).when(F.upper(y).isin("O-O", "0-0"), F.lit("O-O")).otherwise(y))
+        return once(x, lambda y: F.when(y.rlike(r"^(\d+|[.]+|\$\d*|[!?+#]*)$"), F.lit("")).otherwise(y))
 
     end = F.array_position(F.transform(words, lambda x: x.isin(*RESULTS)), F.lit(True)).cast("int")
     words = F.when(end > 0, F.slice(words, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(words)

@@ -107,7 +107,7 @@ def mated_payload() -> Column:
 
 def in_month(day: Column, year: int, month: int) -> Column:
     first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    return _or_false(day.between(first, F.last_day(first)))
+    return _or_false(F.exists(F.array(day), lambda d: d.between(first, F.last_day(first))))
 
 
 def payload_class(body: Column) -> Column:
@@ -150,7 +150,7 @@ def filter_games(
         out = out.where(mate_user()).where(mt.has_mate(F.col("movetext")))  # the cheap test first
     if min_plies is not None or max_plies is not None:
         plies = mt.ply_count(F.col("movetext"), "filter")
-        out = out.where(plies.between(min_plies or 0, max_plies if max_plies is not None else 2**31 - 1))
+        out = out.where(F.exists(F.array(plies), lambda n: n.between(min_plies or 0, max_plies if max_plies is not None else 2**31 - 1)))  # counted once
     if strip:
         out = out.withColumn("_text", mt.strip(F.col("movetext")))
         out = out.withColumn("modified", F.col("_text") != F.col("movetext")).withColumn("movetext", F.col("_text")).drop("_text")
