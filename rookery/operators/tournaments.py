@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import blank, integer, key_hash, leading_elo, player, set_tag, slug, tag, tournament_date, with_headers, year_text
 from ..sources.pgn_files import write_files
+from .lookups import small
 from .tables import saved
 
 
@@ -17,17 +18,23 @@ def category_key() -> Column:
     return F.when(~blank(tag("Event")), F.concat_ws("\u001f", *map(part, (tag("Event"), tag("Site"), date, tag("Section"), tag("Stage")))))
 
 
-def best_ratings(games: DataFrame) -> DataFrame:
+def keyed(games: DataFrame) -> DataFrame:
+    """``games`` with the key of their event and their sides, written, so that what is counted from them reads no more.
+    Their tags go, since headers have them."""
+    sides = F.array(*(F.struct(F.upper(player(tag(s))).alias("player"), leading_elo(f"{s}Elo").alias("elo")) for s in ("White", "Black")))
+    return saved(games.withColumns({"key": category_key(), "_sides": sides}).drop("tags"), "keyed")
+
+
+def best_ratings(keyed_games: DataFrame) -> DataFrame:
     """(key, player, best) and games per key: the highest rating of each player at each event."""
-    sides = F.explode(F.array(*(F.struct(F.upper(player(tag(s))).alias("player"), leading_elo(f"{s}Elo").alias("elo")) for s in ("White", "Black"))))
-    rows = games.select(category_key().alias("key"), sides.alias("x")).where("key is not null and x.player is not null")
+    rows = keyed_games.select("key", F.explode("_sides").alias("x")).where("key is not null and x.player is not null")
     return rows.groupBy("key", F.col("x.player").alias("player")).agg(F.max("x.elo").alias("best"))
 
 
-def event_categories(games: DataFrame) -> DataFrame:
+def event_categories(keyed_games: DataFrame) -> DataFrame:
     """(key, category): 1 for an average of 2251 to 2275, and so on, of events of six games and enough of them."""
-    played = games.select(category_key().alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("games"))
-    rated = best_ratings(games).where("best is not null").groupBy("key").agg(F.count("*").alias("players"), F.avg("best").alias("mean"))
+    played = keyed_games.where("key is not null").groupBy("key").agg(F.count("*").alias("games"))
+    rated = best_ratings(keyed_games).where("best is not null").groupBy("key").agg(F.count("*").alias("players"), F.avg("best").alias("mean"))
     both = played.join(rated, "key")
     good = "games >= 6 and players >= 2 and 2.0 * games / players >= 0.6 and mean >= 2251"
     return both.where(good).select("key", (1 + F.floor((F.col("mean") - 2251) / 25)).cast("int").alias("category"))
@@ -35,8 +42,9 @@ def event_categories(games: DataFrame) -> DataFrame:
 
 def tag_categories(games: DataFrame) -> DataFrame:
     """``games`` with the EventCategory tag after Event where the event has a category."""
-    out = games.withColumn("key", category_key()).join(event_categories(games), "key", "left")
-    return with_headers(out, set_tag(F.col("headers"), "EventCategory", F.col("category").cast("string"), after="Event")).drop("key", "category")
+    own = keyed(games)
+    out = own.join(small(saved(event_categories(own), "categories")), "key", "left")
+    return with_headers(out, set_tag(F.col("headers"), "EventCategory", F.col("category").cast("string"), after="Event")).drop("key", "category", "_sides")
 
 
 def spelled_key() -> Column:
