@@ -71,17 +71,18 @@ def profiles(players: DataFrame) -> DataFrame:
 
 def enrich_players(games: DataFrame, known: DataFrame, require_real_names: bool = False) -> DataFrame:
     """``games`` with real names for users, and known ratings for ratings that were there."""
-    out = games
+    # what the joins ask of tags goes with the headers, the tags themselves do not: they are made anew
+    out = games.withColumns({f"_user{s}": F.lower(F.trim(tag(s))) for s in ("White", "Black")} | {f"_rated{s}": elo(f"{s}Elo").isNotNull() for s in ("White", "Black")}).drop("tags")
     for side in ("White", "Black"):
-        mine = known.toDF("_user", f"_name{side}", f"_fide{side}")
-        out = out.withColumn("_user", F.lower(F.trim(tag(side)))).join(mine, "_user", "left").drop("_user")
+        mine = known.toDF(f"_user{side}", f"_name{side}", f"_fide{side}")
+        out = out.join(mine, f"_user{side}", "left").drop(f"_user{side}")
     if require_real_names:
         out = out.where("_nameWhite is not null and _nameBlack is not null")
     head = F.col("headers")
     for side in ("White", "Black"):
         head = set_tag(head, side, F.col(f"_name{side}"))
-        head = set_tag(head, f"{side}Elo", F.when(elo(f"{side}Elo").isNotNull() & (F.col(f"_fide{side}") > 0), F.col(f"_fide{side}").cast("string")))
-    return with_headers(out, head).drop("_nameWhite", "_fideWhite", "_nameBlack", "_fideBlack")
+        head = set_tag(head, f"{side}Elo", F.when(F.col(f"_rated{side}") & (F.col(f"_fide{side}") > 0), F.col(f"_fide{side}").cast("string")))
+    return with_headers(out, head).drop("_nameWhite", "_fideWhite", "_nameBlack", "_fideBlack", "_ratedWhite", "_ratedBlack")
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, levels: int, cap: int | None = None) -> DataFrame:
