@@ -26,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,7 +237,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap:
     for name in ("score", "question_overlap", "answer_overlap"):
         schema = schema.add(name, "double")
     kind = to_arrow_type(item)
-    out = spark.createDataFrame([], schema)
+    out: list[DataFrame] = []
     items = _items(benchmark)
     n, total = items.agg(F.count("*"), F.sum("n")).first()
     chunks = -(-(total or 0) // CHUNK_WORDS)
@@ -264,8 +265,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.5, overlap:
                     types = [part.schema.field(0).type, pa.int64(), kind, *[pa.float64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), types, strict=True)], names=schema.names)
 
-        out = out.union(rows.mapInArrow(run, schema))
-    return out
+        out.append(rows.mapInArrow(run, schema))
+    if not out:  # no items; an empty table made by createDataFrame would start Python workers of another kind beside these
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema[2:]]
+        return rows.where(F.lit(False)).select("doc_id", "node", *empty)
+    return reduce(DataFrame.union, out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

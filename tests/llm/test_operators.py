@@ -635,3 +635,17 @@ def test_query_near_duplicates(spark, given):
 def test_broadcasts_need_no_installed_package():
     for state in (items_index([(1, "a b c d e. f g h."), (2, "a c x y z. k l.")], 0.5), katz.Words(np.array([3, 1], np.uint64), np.array([1, 2]), 12)):
         assert b"rookery" not in pickle.dumps(vars(state))
+
+
+def test_decontamination_starts_one_kind_of_python_worker(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and slept. it was warm there."), (2, "x")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "the cat sat on the mat and slept. it was warm there.")], "item_id long, text string")
+    folder = docs.sparkSession.conf.get("spark.checkpoint.dir") + "/one-kind"
+    docs.write.mode("overwrite").parquet(folder)
+    docs = spark.read.parquet(folder)
+    found = decontam.find(docs, items)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 7)]
+    none = decontam.find(docs, items.where("item_id < 0"))
+    assert none.schema.simpleString() == found.schema.simpleString() and none.count() == 0
+    assert decontam.decontaminate(docs, items.where("item_id < 0")).count() == 2
