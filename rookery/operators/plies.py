@@ -1,12 +1,17 @@
 """Games as plies: the moves of the main line with what their notation, marks and comments say; and games made of plies.
 
 A text is cut into pieces (comments, parentheses, words). Nesting is a running sum of its parentheses that never falls
-below zero, the number of a ply a running count of moves: two windows over the pieces of one game, all in Spark functions.
+below zero, the number of a ply a running count of moves: sums over the pieces of whole Arrow batches, where what a piece
+says is found once for each distinct one. A game stays one row until its plies are known, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headers as h
@@ -18,13 +23,10 @@ KEY = ("source_file", "seq")
 PIECE = r"\{[^}]*(?:\}|\z)|;[^\r\n]*|[()]|[^\s(){};]+"
 
 
-def _marks(token: Column) -> dict[str, Column]:
+def _marks(token: str, bare: str) -> dict[str, int]:
     """How often a move says of itself that it is bad: ?? or $4, else ?! or $6, else ? or $2."""
-    n = lambda k: F.regexp_count(token, F.lit(rf"\${k}(?!\d)"))
-    bare = F.regexp_replace(token, r"\$\d+", "")
-    has = lambda mark: F.contains(bare, F.lit(mark))
-    glyph = F.when(has("??"), "blunder").when(has("?!"), "dubious").when(has("?"), "mistake").otherwise("")
-    return {name: n(k) + (glyph == name).cast("int") for name, k in (("blunder", 4), ("mistake", 2), ("dubious", 6))}
+    glyph = "blunder" if "??" in bare else "dubious" if "?!" in bare else "mistake" if "?" in bare else ""
+    return {name: len(re.findall(rf"\${k}(?![0-9])", token)) + (glyph == name) for name, k in (("blunder", 4), ("mistake", 2), ("dubious", 6))}
 
 
 def plies_of(games: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -35,33 +37,78 @@ def plies_of(games: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     says so. Defined cases: variations, line comments, results, numbers and other words make no ply; a comment that is
     not closed takes the rest and evaluates nothing; a null or empty text has no plies.
     """
-    ordered = Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.posexplode(F.regexp_extract_all(F.col("movetext"), F.lit(PIECE), F.lit(0))).alias("_at", "_x")
-    x = F.col("_x")
-    rows = games.select(*key, h.black_to_move(h.tag("FEN")).alias("_black"), cut)
-    rows = rows.withColumn("_sum", F.sum(F.when(x == "(", 1).when(x == ")", -1).otherwise(0)).over(ordered))
-    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(ordered)))
-    rows = rows.where((F.col("_depth") == 0) & ~x.rlike("^[();]"))
-    comment, mark = x.startswith("{"), x.rlike(r"^\$\d+$")
-    token = F.regexp_replace(x, r"^(\d+\.+|\.+)+", "")
-    bare = F.regexp_replace(token, r"\$\d+", "")
-    move = F.regexp_replace(bare, "[!?+#]+$", "")
-    is_move = ~comment & ~mark & ~token.isin(*RESULTS) & move.rlike("^([KQRBNa-h]|[Oo0]-[Oo0])") & ~F.lower(move).isin("ep", "e.p.")
-    said = F.when(comment & x.endswith("}"), h.eval_centipawns(F.regexp_replace(x, r"^\{|\}$", "")))
-    rows = rows.select("*", is_move.alias("_is"), token.alias("_token"), bare.alias("_bare"), said.alias("_eval"), mark.alias("_mark"))
-    rows = rows.withColumn("ply", F.sum(F.col("_is").cast("int")).over(ordered).cast("int")).where("ply > 0")
-    own = lambda c: F.max(F.when(F.col("_is"), c))  # noqa: E731  # one piece of a ply is its move
-    has = lambda c: F.contains("_bare", F.lit(c))
-    flags = {"is_capture": has("x"), "is_check": has("+"), "is_mate": has("#"), "is_promotion": has("=")}
-    signals = {k: F.sum(F.when(F.col("_is") | F.col("_mark"), c).otherwise(0)).cast("int").alias(k) for k, c in _marks(F.col("_token")).items()}
-    return rows.groupBy(*key, "ply").agg(
-        F.max((F.col("ply") % 2 == 1) != F.col("_black")).alias("is_white"),
-        own(F.regexp_replace("_bare", "[!?]+$", "")).alias("san"),
-        *(own(c).alias(k) for k, c in flags.items()),
-        own(~(has("x") | has("+") | has("#") | has("="))).alias("is_quiet"),
-        *signals.values(),
-        F.max_by("_eval", F.when(F.col("_eval").isNotNull(), F.col("_at"))).alias("eval_white_cp"),
-    )
+    pieces = F.regexp_extract_all(F.col("movetext"), F.lit(PIECE), F.lit(0))
+    rows = games.select(*key, h.black_to_move(h.tag("FEN")).alias("_black"), F.inline(F.array(F.struct(pieces.alias("_pieces")))))  # made once
+    made = F.arrow_udf(_plies_of, f"array<struct<{PLY}>>")("_pieces", "_black")
+    rows = rows.select(*key, made.alias("_plies")).select(*key, F.inline("_plies"))
+    earlier = F.filter(F.transform("_said", h.eval_centipawns), lambda x: x.isNotNull())
+    said = F.coalesce(h.eval_centipawns(F.try_element_at("_said", F.lit(-1))), F.when(F.size("_said") > 1, F.try_element_at(earlier, F.lit(-1))))
+    return rows.select("*", said.alias("eval_white_cp")).drop("_said")
+
+
+PLY = "ply int, is_white boolean, san string, is_capture boolean, is_check boolean, is_mate boolean, is_promotion boolean, is_quiet boolean, blunder int, mistake int, dubious int, _said array<string>"
+#: $ of the regular expressions of Spark, which also stands before a last line break; words hold no others.
+END = r"(?=[\u0085\u2028\u2029]?\Z)"
+#: Batches of games go through the steps in groups of about so many pieces.
+GROUP = 1 << 18
+
+
+def _plies_of(pieces: pa.Array, black: pa.Array) -> pa.Array:
+    """The plies of each game from its pieces and whether black begins; ``_said``: the comments after a ply that may evaluate it."""
+    ends = np.cumsum(pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(pieces):
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + GROUP, side="right")) - at)
+        out.append(_group_plies(*(c.slice(at, n) for c in (pieces, black))))
+        at += n
+    return pa.concat_arrays(out) if out else _group_plies(pieces, black)
+
+
+def _group_plies(pieces: pa.Array, black: pa.Array) -> pa.Array:
+    n = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pieces.flatten().cast(pa.large_string()).dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    owner, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    running = lambda v: np.cumsum(v) - np.concatenate(([0], np.cumsum(v)))[start][owner]  # noqa: E731  # of each game
+    depth = running(np.array([(w == "(") - (w == ")") for w in words], np.int64)[code])
+    below = owner * (2 * len(code) + 1)  # a later game's sums are less than all before them
+    depth = depth - np.minimum(0, np.minimum.accumulate(depth - below) + below)
+    facts = [_word(w) for w in words]
+    column = lambda k, kind: np.array([f[k] for f in facts], kind)[code]
+    is_move, counts = column("move", bool), column("counts", bool)
+    on = (depth == 0) & ~np.array([w[0] in "();" for w in words], bool)[code] if len(code) else np.zeros(0, bool)
+    is_move &= on
+    ply = running(is_move.astype(np.int64))
+    on &= ply > 0
+    ends, heads = np.cumsum(is_move) - 1, np.flatnonzero(is_move)  # the move that a piece belongs to, and where moves stand
+    number = ply[heads]
+    first = black.to_numpy(zero_copy_only=False).astype(bool)[owner[heads]]
+    own = np.flatnonzero(on & counts)
+    marks = [np.bincount(ends[own], column(k, np.int64)[own], len(heads)).astype(np.int32) for k in ("blunder", "mistake", "dubious")]
+    heard = np.flatnonzero(on & column("said", bool))
+    at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(ends[heard], minlength=len(heads))))), pa.int32())
+    said = pa.ListArray.from_arrays(at, pa.array([w[1:-1] for w in words], pa.string()).take(pa.array(code[heard])))
+    flags = [pa.array(column(k, bool)[heads]) for k in ("capture", "check", "mate", "promotion", "quiet")]
+    san = pa.array([f["san"] for f in facts], pa.string()).take(pa.array(code[heads]))
+    columns = [pa.array(number, pa.int32()), pa.array((number % 2 == 1) != first), san, *flags, *map(pa.array, marks), said]
+    rows = pa.StructArray.from_arrays(columns, names=[x.split(" ")[0] for x in PLY.split(", ")])
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[heads], minlength=len(n)))))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)
+
+
+def _word(piece: str) -> dict:
+    """What a piece says, wherever it stands: whether it is a move, counts with a move, its SAN, flags and marks."""
+    comment, mark = piece.startswith("{"), re.search(r"^\$[0-9]+" + END, piece) is not None
+    token = re.sub(r"^([0-9]+\.+|\.+)+", "", piece)
+    bare = re.sub(r"\$[0-9]+", "", token)
+    move = re.sub("[!?+#]+" + END, "", bare)
+    is_move = not comment and not mark and token not in RESULTS and re.match("[KQRBNa-h]|[Oo0]-[Oo0]", move) is not None and move.lower() not in ("ep", "e.p.")
+    said = comment and piece.endswith("}") and "[%eval" in piece
+    out = {"move": is_move, "counts": is_move or mark, "said": said, "san": re.sub("[!?]+" + END, "", bare)}
+    out |= {k: c in bare for k, c in (("capture", "x"), ("check", "+"), ("mate", "#"), ("promotion", "="))}
+    out["quiet"] = not (out["capture"] or out["check"] or out["mate"] or out["promotion"])
+    return out | _marks(token, bare)
 
 
 def score_games(games: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

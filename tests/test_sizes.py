@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from rookery.functions import headers as h
 from rookery.operators import lookups, resemblance, tables, tournaments
+from rookery.operators import plies as pl
+from rookery.operators.tables import saved
 from rookery.plans import queries
 from rookery.sources import pgn
 
@@ -36,3 +39,14 @@ def test_no_tournament_qualifies(spark, tmp_path):
     back = queries._read_back(spark, f"file://{tmp_path}/out")
     assert back.collect() == [] and back.columns == ["file", "position", "game_id"]
     assert pgn.read_pgn(spark, f"file://{tmp_path}/out").count() == 0
+
+
+def test_plies_are_made_without_a_shuffle(spark):
+    """Nesting and numbers begin anew with each game of a batch; what a piece says is kept to its game."""
+    texts = ["1. e4 (1. d4 (d5) Nf6 ( e5", ") 1. e4 ) e5 {[%eval 0.50]} {x} {[%eval #-2]} {[%eval y]} $4", None, "", "{[%eval 1.0]} $2 1... e5?? {[%eval 3", "d4 d5 1-0"]
+    games = spark.createDataFrame(list(enumerate(texts)), "game_id int, movetext string").coalesce(1).withColumn("tags", F.create_map(F.lit("x"), F.lit("y")))
+    out = pl.plies_of(games, ("game_id",))
+    assert "Exchange" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r["game_id"], r["ply"], r["san"], r["blunder"], r["mistake"], r["eval_white_cp"]) for r in out.collect()]
+    assert sorted(rows) == [(0, 1, "e4", 0, 0, None), (1, 1, "e4", 0, 0, None), (1, 2, "e5", 1, 0, -99800), (4, 1, "e5", 1, 0, None), (5, 1, "d4", 0, 0, None), (5, 2, "d5", 0, 0, None)]
