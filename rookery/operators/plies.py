@@ -123,11 +123,11 @@ def annotate_games(games: DataFrame, plies: DataFrame, depth: int, annotator: st
     none. A game without plies keeps its text and tags."""
     keyed = plies.select(F.struct(*key).alias("game_id"), *(c for c in plies.columns if c not in key))
     texts = annotate(keyed).select("game_id.*", F.col("movetext").alias("_text"))
-    out = games.join(texts, list(key), "left")
+    out = games.withColumn("_result", h.tag("Result")).drop("tags").join(texts, list(key), "left")  # tags are made anew below
     last = F.element_at(F.split(F.rtrim(F.coalesce("movetext", F.lit(""))), r"\s+"), -1)
-    result = F.when(last.isin(*RESULTS), last).otherwise(F.coalesce(h.tag("Result"), F.lit("*")))
+    result = F.when(last.isin(*RESULTS), last).otherwise(F.coalesce("_result", F.lit("*")))
     done = F.col("_text").isNotNull()
     text = F.concat_ws(" ", "_text", F.when(~h.blank(result), result))
     head = h.set_tag(F.col("headers"), "Annotator", F.when(done, F.lit(annotator)))
     head = h.set_tag(head, "AnalysisDepth", F.when(done, F.lit(str(depth))))
-    return h.with_headers(out.withColumn("movetext", F.when(done, text).otherwise(F.col("movetext"))), head).drop("_text")
+    return h.with_headers(out.withColumn("movetext", F.when(done, text).otherwise(F.col("movetext"))), head).drop("_text", "_result")

@@ -50,3 +50,13 @@ def test_plies_are_made_without_a_shuffle(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     rows = [(r["game_id"], r["ply"], r["san"], r["blunder"], r["mistake"], r["eval_white_cp"]) for r in out.collect()]
     assert sorted(rows) == [(0, 1, "e4", 0, 0, None), (1, 1, "e4", 0, 0, None), (1, 2, "e5", 1, 0, -99800), (4, 1, "e5", 1, 0, None), (5, 1, "d4", 0, 0, None), (5, 2, "d5", 0, 0, None)]
+
+
+def test_tags_do_not_travel_to_annotated_games(spark):
+    games = saved(h.with_headers(spark.createDataFrame([(1, "s", 1, [("Result", "1-0")], "e4")], f"game_id int, source_file string, seq int, headers {h.HEADER_TYPE}, movetext string"), F.col("headers")), "games")
+    plies = saved(spark.createDataFrame([(1, 1, True, "e4", 20)], "game_id int, ply int, is_white boolean, san string, eval_white_cp int"), "plies")
+    out = pl.annotate_games(games, plies, 12, key=("game_id",))
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    left = lines[next(k for k, x in enumerate(lines) if "Join LeftOuter" in x) + 1]
+    assert "movetext#" in left and ", tags#" not in left.replace("element_at(tags#", "")
+    assert [(r["movetext"], r["tags"]["annotator"]) for r in out.collect()] == [("1. e4 { [%eval 0.20] } 1-0", "rookery")]
