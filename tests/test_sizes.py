@@ -52,6 +52,18 @@ def test_plies_are_made_without_a_shuffle(spark):
     assert sorted(rows) == [(0, 1, "e4", 0, 0, None), (1, 1, "e4", 0, 0, None), (1, 2, "e5", 1, 0, -99800), (4, 1, "e5", 1, 0, None), (5, 1, "d4", 0, 0, None), (5, 2, "d5", 0, 0, None)]
 
 
+def test_tags_set_in_turn_cost_a_pass_each(spark):
+    games = spark.createDataFrame([([("Event", "a")],)], f"headers {h.HEADER_TYPE}")
+
+    def plan(n: int) -> str:
+        head = F.col("headers")
+        for k in range(n):
+            head = h.set_tag(head, f"T{k}", F.lit(str(k)))
+        return games.select(head)._jdf.queryExecution().analyzed().toString()
+
+    assert len(plan(4)) < 3 * len(plan(2))
+
+
 def test_tags_do_not_travel_to_annotated_games(spark):
     games = saved(h.with_headers(spark.createDataFrame([(1, "s", 1, [("Result", "1-0")], "e4")], f"game_id int, source_file string, seq int, headers {h.HEADER_TYPE}, movetext string"), F.col("headers")), "games")
     plies = saved(spark.createDataFrame([(1, 1, True, "e4", 20)], "game_id int, ply int, is_white boolean, san string, eval_white_cp int"), "plies")
