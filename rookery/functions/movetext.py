@@ -169,11 +169,14 @@ def _deeper(out: Column) -> Column:
 
 def normal_tokens(text: Column) -> Column:
     """The moves of a main line: without numbers, dots, NAGs, marks; up to the first result."""
-    return once(F.filter(F.split(text, r"\s+"), lambda x: x != ""), _normal)
+    return once(F.filter(F.split(text, r"\s+"), lambda x: (x != "") & ~x.rlike(r"^\d+\.*\z")), _normal)
 
 
 def _normal(words: Column) -> Column:
-    def clean(x: Column) -> Column:
+    def clean(x: Column) -> Column:  # e4, Nf3, exd5: nothing to take away
+        return F.when(x.rlike(r"^[A-Za-z]\w*\d\z"), x).otherwise(bare(x))
+
+    def bare(x: Column) -> Column:
         x = F.regexp_replace(x, r"^\d+\.+", "")
         x = F.regexp_replace(x, r"\$\d*$", "")
         x = F.regexp_replace(x, r"[+#!?]+$", "")

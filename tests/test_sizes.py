@@ -72,3 +72,11 @@ def test_tags_do_not_travel_to_annotated_games(spark):
     left = lines[next(k for k, x in enumerate(lines) if "Join LeftOuter" in x) + 1]
     assert "movetext#" in left and ", tags#" not in left.replace("element_at(tags#", "")
     assert [(r["movetext"], r["tags"]["annotator"]) for r in out.collect()] == [("1. e4 { [%eval 0.20] } 1-0", "rookery")]
+
+
+def test_openings_and_ply_counts_make_no_tags_first(spark, monkeypatch):
+    seen = []
+    real = lookups.with_moves
+    monkeypatch.setattr(queries.lookups, "with_moves", lambda games: seen.append(games.columns) or real(games))
+    queries.QUERIES["eco_longest_prefix"](spark, "/root/testdata/sf0.001")
+    assert seen == [["game_id", "eco", "movetext"]]
