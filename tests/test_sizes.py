@@ -80,3 +80,5 @@ def test_openings_and_ply_counts_make_no_tags_first(spark, monkeypatch):
     monkeypatch.setattr(queries.lookups, "with_moves", lambda games: seen.append(games.columns) or real(games))
     queries.QUERIES["eco_longest_prefix"](spark, "/root/testdata/sf0.001")
     assert seen == [["game_id", "eco", "movetext"]]
+    plan = queries.QUERIES["add_ply_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1
