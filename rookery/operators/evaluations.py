@@ -70,14 +70,21 @@ def game_metrics(plies: DataFrame, full_eval: bool = False) -> DataFrame:
     turned = trend_breaks(source).groupBy("game_id").agg(n(F.col("trend_break")).alias("trend_breaks"))
     out = base.join(moved, "game_id", "left").join(turned, "game_id", "left")
     errors = [F.greatest(F.lit(0) if full_eval else F.col(f"a_{c}"), F.coalesce(f"e_{c}", F.lit(0))).alias(f"{c}s") for c in ("blunder", "mistake", "dubious")]
-    return out.select(
+    return measured(out.select("*", *errors))
+
+
+def measured(counts: DataFrame) -> DataFrame:
+    """Metrics of counts per game; where there is none, or no swing, the default."""
+    return counts.select(
         "game_id",
         "plies",
         "evaluated",
         (100.0 * F.col("forcing") / F.col("plies")).alias("forcing_share"),
         F.coalesce("quiet_improvements", F.lit(0)).alias("quiet_improvements"),
         F.coalesce("trend_breaks", F.lit(0)).alias("trend_breaks"),
-        *errors,
+        "blunders",
+        "mistakes",
+        "dubiouss",
         F.coalesce("mean_swing", F.lit(DEFAULT_SWING)).alias("mean_swing"),
         F.coalesce("deviation", F.lit(DEFAULT_DEVIATION)).alias("deviation"),
     )
