@@ -23,6 +23,8 @@ from ..functions.movetext import RESULTS
 from .evaluations import annotate, elegance, measured
 
 KEY = ("source_file", "seq")
+#: The only tags that plies are made of.
+TAGS = ("FEN",)
 PIECE = re.compile(r"\{[^}]*(?:\}|\Z)|;[^\r\n]*|[()]|[^\s(){};]+", re.ASCII)
 
 
