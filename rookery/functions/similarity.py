@@ -79,6 +79,88 @@ def jaro_winkler_of(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+class Strings:
+    """Strings whose pairs are to be compared: their letters as numbers, a bit for each of their letters (``sign``, a
+    letter's second and later places apart) and how many letters have fallen on others' bits (``spare``). Of strings of
+    more than ``MOST`` characters only the length is known, and they count as sharing anything."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.length = np.array([len(x) for x in texts], np.int64)
+        rows = _letters([x if len(x) <= MOST else "" for x in texts])
+        there = rows != 0
+        self.alphabet, codes = np.unique(rows[there], return_inverse=True)
+        self.codes = np.full(rows.shape, len(self.alphabet), np.int64)
+        self.codes[there] = codes
+        own, place = np.sort(self.codes, axis=1), np.arange(rows.shape[1])
+        again = np.zeros(own.shape, bool)
+        again[:, 1:] = own[:, 1:] == own[:, :-1]
+        turn = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)
+        bits = np.where(own < len(self.alphabet), np.uint64(1) << ((own + 29 * turn) % 64).astype(np.uint64), np.uint64(0))
+        self.sign = np.bitwise_or.reduce(bits, axis=1)
+        self.spare = np.where(self.length > MOST, 128, self.length - np.bitwise_count(self.sign)).astype(np.uint8)
+        self._places = None
+
+    def places(self) -> np.ndarray:
+        """For each string and letter, the set of its places."""
+        if self._places is None:
+            self._places, rows = np.zeros((len(self.texts), len(self.alphabet) + 1), np.uint64), np.arange(len(self.texts))
+            for j in range(self.codes.shape[1]):
+                self._places[rows, self.codes[:, j]] |= np.uint64(1 << j)
+            self._places[:, -1] = 0
+        return self._places
+
+    def prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of pairs, up to 4 characters."""
+        out, on = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for j in range(min(4, self.codes.shape[1])):
+            on &= (self.codes[a, j] == self.codes[b, j]) & (self.codes[a, j] < len(self.alphabet))
+            out += on
+        return out
+
+
+#: Strings up to so long are compared as sets of places; so are those of an alphabet up to ``LETTERS``.
+MOST, LETTERS = 64, 512
+
+
+def jaro_winkler_reaching(x: Strings, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of places in ``x`` those whose Jaro-Winkler similarity reaches ``least``, and these similarities: as
+    ``jaro_winkler_of``, with sets of places for arrays of letters."""
+    other = (x.length[a] > MOST) | (x.length[b] > MOST) | (len(x.alphabet) > LETTERS)
+    if other.any():
+        own = jaro_winkler_of([x.texts[k] for k in a[other]], [x.texts[k] for k in b[other]])
+        rest = jaro_winkler_reaching(x, a[~other], b[~other], least) if not other.all() else None
+        found = a[other][own >= least], b[other][own >= least], own[own >= least]
+        return found if rest is None else tuple(np.concatenate(both) for both in zip(found, rest, strict=True))
+    one, places = np.uint64(1), x.places()
+    n, m = x.length[a], x.length[b]
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    mine, theirs = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    for i in range(int(n.max(initial=0))):
+        low = (one << np.maximum(i - reach, 0).astype(np.uint64)) - one
+        high = (np.uint64(2) << np.minimum(i + reach, 63).astype(np.uint64)) - one
+        free = places[b, x.codes[a, i]] & high & ~low & ~theirs
+        theirs |= free & (~free + one)
+        mine |= (free != 0).astype(np.uint64) << np.uint64(i)
+    k, prefix = np.bitwise_count(mine).astype(np.int64), x.prefix(a, b)
+
+    def scored(k: np.ndarray, n: np.ndarray, m: np.ndarray, moved: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        jaro = (k / np.maximum(n, 1) + k / np.maximum(m, 1) + (k - moved / 2) / np.maximum(k, 1)) / 3
+        return np.where(k > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+
+    able = np.flatnonzero(scored(k, n, m, np.zeros(len(a)), prefix) >= least)
+    a, b, n, m, k, prefix, mine, theirs = (v[able] for v in (a, b, n, m, k, prefix, mine, theirs))
+    moved = np.zeros(len(a), np.int64)
+    for j in range(int(k.max(initial=0))):
+        at, to = (np.bitwise_count((v & (~v + one)) - one).astype(np.int64) % 64 for v in (mine, theirs))
+        width = x.codes.shape[1] - 1
+        moved += (j < k) & (x.codes[a, np.minimum(at, width)] != x.codes[b, np.minimum(to, width)])
+        mine, theirs = mine & (mine - one), theirs & (theirs - one)
+    out = scored(k, n, m, moved, prefix)
+    good = out >= least
+    return a[good], b[good], out[good]
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """The same over columns; null counts as empty."""
 
