@@ -11,14 +11,17 @@ A line or a game beyond the limits is an error; with ``mode=PERMISSIVE`` games t
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import re
 import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +34,18 @@ PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
 ARROW = pa.schema([("source_file", pa.string()), ("seq", pa.int64()), ("headers", pa.list_(PAIR)), ("tags", pa.map_(pa.string(), pa.string())), ("movetext", pa.string())])
 TAG = re.compile(r"""\s*\[([^\s\]]+)\s+(?:"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)'|([^\]"']*?))\s*\]\s*$""")
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*$")
+PLAIN = re.compile(r'\[([A-Za-z][A-Za-z0-9_]*) "([^"\\]*)"\]\Z')  # what nearly all tags are like, and TAG takes alike
+NESTING = re.compile(r"[{}();]")
 MAX_LINE, MAX_TEXT = 262_144, 10 << 20
+#: Games of a batch.
+BATCH = 1000
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz")
 
 
 def parse_tag(line: str, in_moves: bool) -> tuple[str, str] | None:
-    m = TAG.match(line)
+    if m := PLAIN.match(line):
+        return m.groups()
+    m = TAG.match(line) if line[:1] in "[" or line.lstrip()[:1] == "[" else None
     if not m or in_moves and (m[4] is not None or not NAME.match(m[1])):
         return None
     quoted = m[2] if m[2] is not None else m[3]
@@ -45,9 +54,7 @@ def parse_tag(line: str, in_moves: bool) -> tuple[str, str] | None:
 
 def scan_nesting(line: str, brace: bool, depth: int) -> tuple[bool, int]:
     """Whether the line ends inside a comment, and in how many variations."""
-    i = 0
-    while i < len(line):
-        c = line[i]
+    for c in NESTING.findall(line):
         if brace:
             brace = c != "}"
         elif c == "{":
@@ -58,7 +65,6 @@ def scan_nesting(line: str, brace: bool, depth: int) -> tuple[bool, int]:
             depth += 1
         elif c == ")":
             depth = max(0, depth - 1)
-        i += 1
     return brace, depth
 
 
@@ -112,8 +118,13 @@ def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_
 
 
 def batch_of(games: list[tuple[str, int, list[tuple[str, str]], str]], headers_only: bool = False) -> pa.RecordBatch:
-    rows = [{"source_file": f, "seq": at, "headers": [{"key": k, "value": v} for k, v in head], "tags": [(k.lower(), v) for k, v in head], "movetext": None if headers_only else text} for f, at, head, text in games]
-    return pa.RecordBatch.from_pylist(rows, schema=ARROW)
+    ends = pa.array([0, *itertools.accumulate(len(head) for _, _, head, _ in games)], pa.int32())
+    keys, values = (pa.array([x[k] for _, _, head, _ in games for x in head], pa.string()) for k in (0, 1))
+    lower = pa.array([k.lower() for _, _, head, _ in games for k, _ in head], pa.string())
+    headers = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([keys, values], names=["key", "value"]))
+    texts = pa.nulls(len(games), pa.string()) if headers_only else pa.array([g[3] for g in games], pa.string())
+    own = [pa.array([g[0] for g in games], pa.string()), pa.array([g[1] for g in games], pa.int64())]
+    return pa.RecordBatch.from_arrays([*own, headers, pa.MapArray.from_arrays(ends, lower, values), texts], schema=ARROW)
 
 
 class Range:
@@ -148,8 +159,18 @@ def packed(ranges: list[Range], most: int) -> list[Ranges]:
 def _lines(stream, offset: int, encoding: str, most: int = MAX_LINE) -> Iterator[tuple[int, str]]:
     """Lines and their offsets. Of a line of more than ``most`` characters so much is kept that it shows."""
     rest, at, lost, bound = b"", offset, 0, 4 * most + 8
+    ascii_like = codecs.lookup(encoding).name in ("utf-8", "ascii", "iso8859-1", "cp1252")
     while True:
         data = stream.read(1 << 20)
+        if ascii_like and data and not lost and data.isascii() and rest.isascii() and b"\r" not in data and b"\r" not in rest and len(rest) <= bound:
+            *found, last = (rest + data).decode("ascii").split("\n")  # bytes and characters are alike
+            for x in found:
+                yield at, x
+                at += len(x) + 1
+            rest = last.encode()
+            if len(rest) > bound:
+                lost, rest = len(rest) - bound, rest[:bound]
+            continue
         parts = (rest + data).split(b"\n")
         rest = b"" if not data else parts.pop()
         for k, x in enumerate(parts):
@@ -178,8 +199,16 @@ def _entries(path: str, file) -> Iterator[tuple[str, object]]:
 
 def range_lines(lines: Iterator[tuple[int, str]], start: int, end: int | None) -> Iterator[tuple[int, str]]:
     """The lines of the games that belong to a range."""
-    begun, ripe, other, blank = start == 0, False, False, True
+    begun, ripe, other, blank, said, last = start == 0, False, False, True, None, None
     for offset, line in lines:
+        if begun and (end is None or offset < end):  # what was said last counts where the range ends
+            yield offset, line
+            last = line
+            if line and not line.isspace():
+                said = line
+            continue
+        if last is not None:
+            other, blank, last = parse_tag(said, True) is None if said is not None else other, not last.strip(), None
         is_tag = parse_tag(line, True) is not None
         if is_tag and blank and other:  # a game starts here
             if end is not None and offset >= end and ripe:
@@ -259,7 +288,7 @@ class PgnReader(DataSourceReader):
         limits = self.most, int(self.options.get("maxmovetext", MAX_TEXT))
         for at, head, text in parse_games(lines, *limits, self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE"):
             games.append((name, at, head, text))
-            if len(games) >= 1000:
+            if len(games) >= BATCH:
                 yield batch_of(games, self.headers_only)
                 games = []
         if games:
@@ -347,50 +376,66 @@ def read_pgn(spark: SparkSession, paths: str | list[str], **options: str) -> Dat
     return spark.read.format("pgn").options(path="\n".join(paths), **options).load()
 
 
-def parse_texts(texts: DataFrame) -> DataFrame:
-    """Games of whole PGN texts (source_file, value), batch or streaming."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines, at = [], 0
-                for line in (text or "").split("\n"):
-                    lines.append((at, line.rstrip("\r")))
-                    at += len(line) + 1
-                if games := [(name, *g) for g in parse_games(lines)]:
+def text_lines(text: str) -> Iterator[tuple[int, str]]:
+    at = 0
+    for line in text.split("\n"):
+        yield at, line.rstrip("\r")
+        at += len(line) + 1
+
+
+def games_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Games of batches of texts, in batches of many texts' games, since a batch for each costs more than its games."""
+    games = []
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for game in parse_games(text_lines(text or "")):
+                games.append((name, *game))
+                if len(games) >= BATCH:
                     yield batch_of(games)
+                    games = []
+    if games:
+        yield batch_of(games)
 
-    return texts.select("source_file", "value").mapInArrow(run, SCHEMA)
+
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """Games of whole PGN texts (source_file, value), batch or streaming."""
+    return texts.select("source_file", "value").mapInArrow(games_of, SCHEMA)
 
 
 def wrap_moves(text: str, width: int = 80) -> str:
     """Lines of at most ``width`` characters; lines with a ; comment stay as they are."""
+    if len(text) <= width and "\n" not in text:
+        return text
+    whole = re.compile(rf"(?! )(?:.{{1,{width}}}|[^ ]+)(?= |$)")  # as many words as fit, or a longer word
     out = []
     for line in text.split("\n"):
         if ";" in line or len(line) <= width:
             out.append(line)
-            continue
-        now = ""
-        for word in line.split():
-            if now and len(now) + 1 + len(word) > width:
-                out.append(now)
-                now = word
-            else:
-                now = f"{now} {word}" if now else word
-        out.append(now)
+        else:
+            out += whole.findall(" ".join(line.split())) or [""]
     return "\n".join(out)
 
 
-def pgn_text() -> Column:
-    """A game as PGN: headers in their order, a blank line, wrapped moves."""
+def texts_of(headers: pa.Array, moves: pa.Array) -> pa.Array:
+    """Games as PGN: headers in their order, a blank line, wrapped moves. A header without a key is left out."""
+    flat, lengths = headers.flatten(), headers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    key, value = flat.field("key"), flat.field("value").fill_null("")
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    if key.null_count:
+        there = key.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(there)])[ends]
+        key, value = key.filter(pa.array(there)), value.filter(pa.array(there))
+    escaped = pc.replace_substring_regex(value, r'([\\"])', r"\\\1")
+    lines = pc.binary_join_element_wise("[", key, ' "', escaped, '"]', "")
+    head = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines), "\n")
+    wrapped = pa.array([wrap_moves(t or "") for t in moves.to_pylist()], pa.string())
+    out = pc.binary_join_element_wise(head, wrapped, "\n\n")
+    return pc.if_else(headers.is_valid(), out, pa.scalar(None, pa.string())) if headers.null_count else out
 
-    @F.pandas_udf("string")
-    def wrapped(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: wrap_moves(t or ""))
 
-    escaped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r'([\\"])', r"\\$1")
-    head = F.array_join(F.transform("headers", lambda x: F.concat(F.lit("["), x["key"], F.lit(' "'), escaped(x["value"]), F.lit('"]'))), "\n")
-    return F.concat(head, F.lit("\n\n"), wrapped(F.col("movetext")))
+def pgn_text() -> Column:
+    """A game as PGN, from its headers and moves."""
+    return F.arrow_udf(texts_of, "string")(F.col("headers"), F.col("movetext"))
 
 
 def write_pgn(games: DataFrame, path: str, bucket: str | None = None) -> None:
