@@ -4,8 +4,9 @@ Games are dealt by range of (file, order), so a file with many games is spread o
 what it has of a file as one part under a staged name; what counts is what successful tasks return, so attempts that were
 lost leave nothing but unnamed parts. Offsets of parts inside their file are a prefix sum over their sizes. A file of one
 part is finished by a rename. Files of several parts are put together first: where the file system takes writes at a
-position (local or mounted folders), all tasks copy their parts to their offsets at once; elsewhere one task per file
-streams them in order. Neither holds more than ``COPY`` bytes.
+position (local or mounted folders), all tasks copy their parts to their offsets at once, and a part that is in its place
+is cut to nothing, so that the text lies on disk once; elsewhere one task per file streams the parts in order. Neither
+holds more than ``COPY`` bytes.
 
 All files appear when the job commits. The list of renames is written before the first one, and ``recover`` finishes what a
 driver that was lost had begun. A job that fails leaves the folder as it was.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..operators.tables import saved
-from .pgn import pgn_text
+from .pgn import texts_of
 
 COPY = 8 << 20
 STAGING, PENDING = "_staged-", "_pending-"
@@ -40,7 +42,7 @@ def folder(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_parts(rows: DataFrame, path: str, staging: str) -> DataFrame:
-    """Writes sorted rows (key, name, section, text) as parts; returns a row per part. Between games lies a blank line, two
+    """Writes sorted rows (key, name, section, headers, movetext) as parts; returns a row per part. Between games lies a blank line, two
     where the section changes; what goes before a part is left to who puts parts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +57,14 @@ def write_parts(rows: DataFrame, path: str, staging: str) -> DataFrame:
 
         try:
             for batch in batches:
-                for key, name, section, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, names, sections = (batch.column(k) for k in range(3))
+                texts = texts_of(batch.column(3), batch.column(4)).to_pylist()
+                starts = [0, *(pc.indices_nonzero(pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(sections[1:], sections[:-1]))).to_numpy() + 1).tolist()] if len(texts) else []
+                for start, end in zip(starts, [*starts[1:], len(texts)], strict=True):  # games of one file and section
+                    key, section = keys[start].as_py(), sections[start].as_py()
                     if at is None or key != at[0]:
                         close()
+                        name = names[start].as_py()
                         if "/" in name or name.startswith(("_", ".")) or not name:
                             raise ValueError(f"no name for a file: {name!r}")
                         at, staged, first, games, size = (key, name), uuid.uuid4().hex, section, 0, 0
@@ -65,9 +72,9 @@ def write_parts(rows: DataFrame, path: str, staging: str) -> DataFrame:
                         gap = ""
                     else:
                         gap = "\n" if section == last else "\n\n"
-                    data = f"{gap}{text}\n".encode()
+                    data = f"{gap}{'\n\n'.join(texts[start:end])}\n".encode()
                     out.write(data)
-                    last, games, size = section, games + 1, size + len(data)
+                    last, games, size = section, games + end - start, size + len(data)
             close()
         finally:
             if out is not None and not out.closed:
@@ -92,7 +99,7 @@ def placed(parts: DataFrame) -> DataFrame:
 
 
 def named_parts(placed_parts: DataFrame) -> DataFrame:
-    return placed_parts.select("key", "name", "part", "staged", "gap", "offset", "parts")
+    return placed_parts.select("key", "name", "part", "staged", "gap", "offset", "parts", "bytes")
 
 
 @dataclass
@@ -135,12 +142,16 @@ class FilesWriter(DataSourceArrowWriter):
     def _place(self, part: str, whole: str, row: dict) -> None:
         target = os.open(whole, os.O_RDWR | os.O_CREAT, 0o644)
         try:
-            at = row["offset"] + os.pwrite(target, b"\n" * row["gap"], row["offset"])
+            begin = row["offset"] + os.pwrite(target, b"\n" * row["gap"], row["offset"])
+            at = begin
             with open(part, "rb") as source:
                 while data := source.read(COPY):
                     while data:
                         n = os.pwrite(target, data, at)
                         at, data = at + n, data[n:]
+            if at - begin != row["bytes"] and os.path.getsize(part):  # an empty one was put in its place by another attempt
+                raise OSError(f"a part of {row['name']} has {at - begin} bytes, not {row['bytes']}")
+            os.truncate(part, 0)
         finally:
             os.close(target)
 
@@ -201,18 +212,18 @@ def write_files(games: DataFrame, path: str, name: Column | str, *, order: tuple
     job = uuid.uuid4().hex
     staging = f"{STAGING}{job}"
     label = F.col(name) if isinstance(name, str) else name
-    rows = games.select(label.alias("_name"), (F.lit("") if section is None else section.cast("string")).alias("_section"), *order, "headers", "movetext")
+    rows = games.select(label.alias("_name"), (F.lit("") if section is None else F.coalesce(section.cast("string"), F.lit(""))).alias("_section"), *order, "headers", "movetext")
     rows = saved(rows.withColumn("_key", F.upper("_name")), "named")  # ranges are sampled from the written names
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "_key", *order).sortWithinPartitions("_key", *order)
     system, root = folder(path)
     system.create_dir(f"{root}/{staging}", recursive=True)
     try:
-        parts = saved(write_parts(dealt.select(F.coalesce("_key", F.lit("")).alias("key"), F.coalesce("_name", F.lit("")).alias("name"), "_section", pgn_text().alias("text")), path, staging), "parts")
+        parts = saved(write_parts(dealt.select(F.coalesce("_key", F.lit("")).alias("key"), F.coalesce("_name", F.lit("")).alias("name"), "_section", "headers", "movetext"), path, staging), "parts")
         total = parts.agg(F.coalesce(F.sum("games"), F.lit(0)), F.countDistinct("key")).first()
         ready = placed(parts)
-        if not isinstance(system, fs.LocalFileSystem):
-            ready = ready.repartition("key").sortWithinPartitions("key", "part")
+        # a file's parts are placed by key in one task, and go from there to all or, to be streamed, to one
+        ready = ready.repartition(n, "staged") if isinstance(system, fs.LocalFileSystem) else ready.repartition("key").sortWithinPartitions("key", "part")
         named_parts(ready).write.format("pgn_files").mode("append").options(path=path, staging=staging, job=job).save()
     except Exception:
         FilesWriter({"path": path, "staging": staging, "job": job}).abort([])
