@@ -36,9 +36,18 @@ TAG = re.compile(r"""\s*\[([^\s\]]+)\s+(?:"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*$")
 PLAIN = re.compile(r'\[([A-Za-z][A-Za-z0-9_]*) "([^"\\]*)"\]\Z')  # what nearly all tags are like, and TAG takes alike
 NESTING = re.compile(r"[{}();]")
+#: Nearly all games: such tags, a blank line, lines that begin neither as tags nor as comments that hide a line. Then comes
+#: a blank line and the next such tag, or the end.
+_TAG, _MOVES = r'\[[A-Za-z][A-Za-z0-9_]* "[^"\\\r\n]*"\]\n', r"(?:[0-9A-Za-z*({.$][^\r\n]*\n)++"
+USUAL = re.compile(rf"((?:{_TAG})++)\n({_MOVES})\n++(?={_TAG})".encode())
+LAST = rf"((?:{_TAG})++)\n((?:[0-9A-Za-z*({{.$][^\r\n]*(?:\n|\Z))++)\n*\Z"
+USUAL_END, USUAL_TEXT = re.compile(LAST.encode()), re.compile(LAST)
+TAGS = re.compile(r'\[([A-Za-z0-9_]+) "([^"]*)"\]\n')
 MAX_LINE, MAX_TEXT = 262_144, 10 << 20
-#: Games of a batch.
-BATCH = 1000
+#: Games of a batch, and bytes read at once.
+BATCH, STEP = 1000, 1 << 20
+#: Encodings in which bytes below 128 are ASCII, and lines can be told before they are decoded.
+ASCII_LIKE = ("utf-8", "ascii", "iso8859-1", "cp1252")
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz")
 
 
@@ -117,10 +126,75 @@ def parse_games(lines: Iterable[tuple[int, str]], max_line: int = MAX_LINE, max_
         yield done()
 
 
+def once_each(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of a repeated tag the last value, at its first place."""
+    if len({*"\n".join([name for name, _ in pairs]).lower().split("\n")}) == len(pairs):
+        return pairs
+    out = {}
+    for name, value in pairs:
+        key = name.lower()
+        out[key] = (out[key][0] if key in out else name, value)
+    return list(out.values())
+
+
+def is_closed(moves: str) -> bool:
+    """Whether no comment and no variation is open after some lines."""
+    brace, depth = False, 0
+    if NESTING.search(moves):
+        for line in moves.split("\n"):
+            brace, depth = scan_nesting(line, brace, depth)
+    return not brace and not depth
+
+
+def usual_game(text: str) -> tuple[int, list[tuple[str, str]], str] | None:
+    """What ``parse_games`` finds in a text of one usual game; None for any other text."""
+    m = USUAL_TEXT.match(text) if len(text) <= MAX_LINE else None
+    return m and (0, once_each(TAGS.findall(m[1])), m[2].rstrip("\n"))
+
+
+class Ahead:
+    """A stream some bytes of which have been read already."""
+
+    def __init__(self, data: bytes, stream):
+        self.data, self.stream = data, stream
+
+    def read(self, n: int) -> bytes:
+        if not self.data:
+            return self.stream.read(n)
+        out, self.data = self.data[:n], self.data[n:]
+        return out
+
+
+def usual_games(stream, offset: int, end: int | None, encoding: str, most: int, headers_only: bool, rest: list) -> Iterator[tuple[int, list[tuple[str, str]], str]]:
+    """The games of a range from ``offset``, where one begins, as long as they are usual; as ``range_lines`` and
+    ``parse_games`` find them. Where one isn't, its place and a stream from there are put into ``rest``."""
+    data, at, last, ripe = b"", 0, False, False
+    while True:
+        if end is not None and offset >= end and ripe:
+            return
+        m = USUAL.match(data, at)
+        while m is None and not last and len(data) - at <= 2 * STEP:
+            more = stream.read(STEP)
+            data, at, last = data[at:] + more, 0, not more
+            m = USUAL.match(data, at)
+        if m is None and last:
+            if at >= len(data):
+                return
+            m = USUAL_END.match(data, at)
+        if m is None or m.end() - at > most or not is_closed(moves := m[2].decode(encoding, "replace")):
+            rest.append((offset, Ahead(data[at:], stream)))
+            return
+        yield offset, once_each(TAGS.findall(m[1].decode(encoding, "replace"))), "" if headers_only else moves.rstrip("\n")
+        ripe = end is not None and offset - at + m.start(2) + m[2].rstrip(b"\n").rfind(b"\n") + 1 >= end
+        offset, at = offset + m.end() - at, m.end()
+
+
 def batch_of(games: list[tuple[str, int, list[tuple[str, str]], str]], headers_only: bool = False) -> pa.RecordBatch:
     ends = pa.array([0, *itertools.accumulate(len(head) for _, _, head, _ in games)], pa.int32())
-    keys, values = (pa.array([x[k] for _, _, head, _ in games for x in head], pa.string()) for k in (0, 1))
-    lower = pa.array([k.lower() for _, _, head, _ in games for k, _ in head], pa.string())
+    pairs = [x for _, _, head, _ in games for x in head]
+    names = [k for k, _ in pairs]
+    keys, values = pa.array(names, pa.string()), pa.array([v for _, v in pairs], pa.string())
+    lower = pa.array("\n".join(names).lower().split("\n") if names else [], pa.string())
     headers = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([keys, values], names=["key", "value"]))
     texts = pa.nulls(len(games), pa.string()) if headers_only else pa.array([g[3] for g in games], pa.string())
     own = [pa.array([g[0] for g in games], pa.string()), pa.array([g[1] for g in games], pa.int64())]
@@ -159,7 +233,7 @@ def packed(ranges: list[Range], most: int) -> list[Ranges]:
 def _lines(stream, offset: int, encoding: str, most: int = MAX_LINE) -> Iterator[tuple[int, str]]:
     """Lines and their offsets. Of a line of more than ``most`` characters so much is kept that it shows."""
     rest, at, lost, bound = b"", offset, 0, 4 * most + 8
-    ascii_like = codecs.lookup(encoding).name in ("utf-8", "ascii", "iso8859-1", "cp1252")
+    ascii_like = codecs.lookup(encoding).name in ASCII_LIKE
     while True:
         data = stream.read(1 << 20)
         if ascii_like and data and not lost and data.isascii() and rest.isascii() and b"\r" not in data and b"\r" not in rest and len(rest) <= bound:
@@ -230,6 +304,7 @@ class PgnReader(DataSourceReader):
         self.encoding = options.get("encoding", "utf-8")
         self.headers_only = options.get("columns", "") == "headers"
         self.most = int(options.get("maxlinelength", MAX_LINE))
+        self.limits = self.most, int(options.get("maxmovetext", MAX_TEXT))
 
     def files(self) -> list[tuple[str, int, bool]]:
         """Path, size, and whether it can be read by ranges, of each file that isn't empty."""
@@ -281,12 +356,33 @@ class PgnReader(DataSourceReader):
             stream.seek(offset)
         else:
             stream, offset = system.open_input_stream(part.path, compression="detect"), 0
-        yield from self._batches(part.path, range_lines(_lines(stream, offset, self.encoding, self.most), part.start, part.end))
+        yield from self._batched(part.path, self._found(stream, offset, part))
+
+    def _found(self, stream, offset: int, part: Range) -> Iterator[tuple[int, list[tuple[str, str]], str]]:
+        """The games of a range: usual ones at once, from the first other one on line by line."""
+        if codecs.lookup(self.encoding).name not in ASCII_LIKE:
+            yield from self._parsed(range_lines(_lines(stream, offset, self.encoding, self.most), part.start, part.end))
+            return
+        if part.start:
+            first = next(range_lines(_lines(stream, offset, self.encoding, self.most), part.start, part.end), None)
+            if first is None:
+                return
+            offset = first[0]
+            stream.seek(offset)
+        rest: list = []
+        yield from usual_games(stream, offset, part.end, self.encoding, min(self.limits), self.headers_only, rest)
+        for at, stream in rest:
+            yield from self._parsed(range_lines(_lines(stream, at, self.encoding, self.most), 0, part.end))
+
+    def _parsed(self, lines: Iterator[tuple[int, str]]) -> Iterator[tuple[int, list[tuple[str, str]], str]]:
+        return parse_games(lines, *self.limits, self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE")
 
     def _batches(self, name: str, lines: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        return self._batched(name, self._parsed(lines))
+
+    def _batched(self, name: str, found: Iterator[tuple[int, list[tuple[str, str]], str]]) -> Iterator[pa.RecordBatch]:
         games = []
-        limits = self.most, int(self.options.get("maxmovetext", MAX_TEXT))
-        for at, head, text in parse_games(lines, *limits, self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE"):
+        for at, head, text in found:
             games.append((name, at, head, text))
             if len(games) >= BATCH:
                 yield batch_of(games, self.headers_only)
@@ -388,7 +484,8 @@ def games_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     games = []
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for game in parse_games(text_lines(text or "")):
+            usual = usual_game(text or "")
+            for game in (usual,) if usual else parse_games(text_lines(text or "")):
                 games.append((name, *game))
                 if len(games) >= BATCH:
                     yield batch_of(games)
